@@ -64,7 +64,7 @@ class Words:
 
     def __init__(self, column: pa.Array, lower: bool = False):
         data, offsets = column_bytes(column)
-        self.data = _LOWER[data] if lower else data
+        self.data, self.offsets = _LOWER[data] if lower else data, offsets
         n = len(data)
         solid = ~_SPACE[data]
         breaks = np.zeros(n + 1, bool)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import ngram_join, quality_rules, sharding, substring_dedup, token_counts, warc_zip
+from quillspark.llm import ngram_join, ppm_score, quality_rules, sharding, substring_dedup, token_counts, warc_zip
 from quillspark.llm.common import table
 
 #: Vocabulary of the token counts; a name known to the ``public_tokenizers`` package.
@@ -19,6 +19,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), limit=512)
 
 
+def op3_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_ppm_score": op3_ppm_score,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op8_warc_zip": op8_warc_zip,
