@@ -1,16 +1,16 @@
 """N-gram Jaccard self-join: size-banded tiles, hashed bitmap signatures, exact sorted-array intersection.
 
 Documents with equal shingle sets are one class, found by a digest of the set. A class meets others in
-tiles: the key of a tile is a size band and one of the class's rarest shingles (two sets that reach the
-threshold share one of their first n - ceil(t n) + 1 shingles under any common order; the order here is
-by counts in a table of fixed size, so frequent shingles come last and hot tiles stay few). In a tile,
-the bits that differ between two bitmaps bound the overlap from above; pairs that pass get the exact
-intersection of their sorted arrays.
+tiles: the key of a tile is a size band and one of the class's rarest shingles. Two sets that reach the
+threshold t share l of their first n - ceil(t n) + l shingles under any common order; the order here is
+by counts in a table of fixed size, so frequent shingles come last and hot tiles stay few. Pairs that
+share so many tiles are held against their bitmaps: the bits that differ bound the overlap from above.
+Pairs that pass get the exact intersection of their sorted arrays.
 
-Tiles are compared in two passes. The first compares each class with one hub of the tile. The second
-takes the tiles whose classes are not yet in one component, and compares only classes of different
-components. Every link either is found or lies inside a component, so components are exact, and groups
-of near copies cost their size and not its square.
+Tiles are compared in two passes. The first compares each class with two of the tile, its smallest
+class and its neighbour by size. The second takes the tiles whose classes are not yet in one component,
+and compares only classes of different components. Every link either is found or lies inside a
+component, so components are exact, and groups of near copies cost their size and not its square.
 
 Shingles are 64-bit hashes of their words.
 
@@ -26,7 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import materialise, prepare_python, slices
@@ -36,6 +36,8 @@ from quillspark.llm.hashing import U, Words, mix
 
 #: Counters that order shingles by frequency: a table of fixed size, whatever the corpus.
 COUNT_BITS = 18
+#: Rare shingles that a pair must share before its bitmaps are compared.
+COMMON = 3
 #: Longs of a bitmap signature.
 LANES = 8
 #: Classes that a task remembers, to emit the copies of a text once a task.
@@ -78,13 +80,19 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
+def least_common(n: int, percent: int) -> int:
+    """Shingles that a set of size n has in common with any that reaches the threshold."""
+    return -(-percent * n // 100)
+
+
 def prefix_length(n: int, percent: int) -> int:
-    """Shingles of which two sets that reach the threshold share at least one."""
-    return n - -(-percent * n // 100) + 1
+    """Shingles of which two sets that reach the threshold share COMMON at least (fewer if they are smaller)."""
+    return min(n, n - least_common(n, percent) + COMMON)
 
 
 def _heads(docs: DataFrame, size: int) -> DataFrame:
-    """A row a document: id, set size, class; and partial tables of shingle counts, which have ``part``."""
+    """A row a document: id, set size, class, bitmap; and partial tables of shingle counts, which have ``part``."""
+    names = ["doc_id", "n", "cls", "bits", "part", "counts"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNT_BITS, np.int64)
@@ -93,16 +101,17 @@ def _heads(docs: DataFrame, size: int) -> DataFrame:
             everything = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             counts += np.bincount(bucket(everything, COUNT_BITS), minlength=len(counts))
             m = batch.num_rows
+            bits = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([bitmap(s) for s in sets])), LANES).cast(pa.list_(pa.int64()))
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
-                names=["doc_id", "n", "cls", "part", "counts"],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([class_of(s) for s in sets], pa.int64()), bits, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                names=names,
             )
         if counts.any():
             parts, blobs = part_rows(counts)
-            none = pa.nulls(len(parts), pa.int64())
-            yield pa.record_batch([none, none, none, parts, blobs], names=["doc_id", "n", "cls", "part", "counts"])
+            m = len(parts)
+            yield pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), parts, blobs], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, part int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, cls long, bits array<long>, part int, counts binary")
 
 
 def _unseen(seen: set[int], cls: int) -> bool:
@@ -137,24 +146,20 @@ def _tile_rows(docs: DataFrame, size: int, percent: int, counts: np.ndarray) ->
     return docs.select("text").mapInArrow(run, "shingle long, cls long, n int")
 
 
-def _arrays(docs: DataFrame, size: int, passes: KeyFilter) -> DataFrame:
-    """(cls, n, bitmap, sorted array) of the classes that pass the filter, the copies of a class once a task."""
-    shared = docs.sparkSession.sparkContext.broadcast(passes)
+def _arrays(docs: DataFrame, size: int, wanted: KeyFilter) -> DataFrame:
+    """(cls, body) with the sorted shingles of the classes that pass the filter, the copies of a class once a task."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, seen = shared.value, set()
+        seen: set[int] = set()
         for batch in slices(batches):
-            rows = []
             sets = shingle_sets(batch.column("text"), size)
             classes = np.array([class_of(s) for s in sets], np.int64)
-            for s, cls, pass_ in zip(sets, classes.tolist(), wanted.passes(classes).tolist(), strict=True):
-                if pass_ and len(s) and _unseen(seen, cls):
-                    rows.append((cls, len(s), bitmap(s).tolist(), s.tobytes()))
+            rows = [(cls, s.tobytes()) for s, cls, pass_ in zip(sets, classes.tolist(), shared.value.passes(classes).tolist(), strict=True) if pass_ and len(s) and _unseen(seen, cls)]
             if rows:
-                cols = list(zip(*rows, strict=True))
-                yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary())], names=["cls", "n", "bits", "body"])
+                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["cls", "body"])
 
-    return docs.select("text").mapInArrow(run, "cls long, n int, bits array<long>, body binary")
+    return docs.select("text").mapInArrow(run, "cls long, body binary")
 
 
 def needed_overlap(n1: Column, n2: Column, percent: int) -> Column:
@@ -167,10 +172,12 @@ def overlap_bound(bits1: Column, bits2: Column, n1: Column, n2: Column) -> Colum
     return (n1 + n2 - differing) / 2
 
 
-def _verify(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets reach the threshold, by exact intersection."""
-    left = arrays.select(F.col("cls").alias("a"), F.col("body").alias("x"))
-    right = arrays.select(F.col("cls").alias("b"), F.col("body").alias("y"))
+    pairs = materialise(pairs.select("a", "b"), "pairs")
+    classes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    wanted = key_filter(classes, "cls", bits_for(2 * pairs.count()))
+    arrays = materialise(_arrays(docs, size, wanted).join(classes, "cls", "left_semi").dropDuplicates(["cls"]), "arrays")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,52 +190,62 @@ def _verify(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(s) + len(t) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    left = arrays.select(F.col("cls").alias("a"), F.col("body").alias("x"))
+    right = arrays.select(F.col("cls").alias("b"), F.col("body").alias("y"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return materialise(joined, "links")
+
+
+def _fits(n1: Column, n2: Column, percent: int) -> Column:
+    return (n1 * 100 >= n2 * percent) & (n2 * 100 >= n1 * percent)
 
 
-def _banded(rows: DataFrame, percent: int) -> DataFrame:
-    """Each row in the tile of its own size band and, as the smaller partner, in that of the next."""
+def _likely(met: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that met in enough tiles and whose bitmaps allow the threshold."""
+    enough = F.least(F.lit(COMMON), F.ceil(F.least("n1", "n2") * percent / F.lit(100) - F.lit(1e-9)))
+    counted = met.groupBy("a", "b", "n1", "n2").agg(F.count("*").alias("tiles")).filter(F.col("tiles") >= enough)
+    signs = classes.select("cls", "bits")
+    bound = overlap_bound(F.col("s"), F.col("t"), F.col("n1"), F.col("n2")) >= needed_overlap(F.col("n1"), F.col("n2"), percent)
+    return counted.join(signs.withColumnsRenamed({"cls": "a", "bits": "s"}), "a").join(signs.withColumnsRenamed({"cls": "b", "bits": "t"}), "b").filter(bound).select("a", "b")
+
+
+def _band(percent: int) -> Column:
     width = math.log(100 / percent) if percent < 100 else 1e-9
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("long")
-    return rows.withColumn("band", F.explode(F.array(band, band + 1)))
-
-
-def linked_classes(docs: DataFrame, size: int, percent: int, counts: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """Exact links between classes that suffice for the components, and the classes' arrays."""
-    rows = _tile_rows(docs, size, percent, counts).repartition("shingle").dropDuplicates(["shingle", "cls"])
-    spread = rows.groupBy("shingle").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("shingle")
-    tiles = materialise(rows.join(spread, "shingle", "left_semi"), "tiles")
-    classes = materialise(tiles.select("cls").distinct(), "classes")
-    passes = key_filter(classes, "cls", bits_for(classes.count()))
-    arrays = materialise(_arrays(docs, size, passes).dropDuplicates(["cls"]), "arrays")
-    signs = arrays.select("cls", "bits")
-
-    fits = (F.col("n1") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n1") * percent)
-    banded = _banded(tiles, percent)
-    hubs = banded.groupBy("shingle", "band").agg(F.min(F.struct("cls", "n")).alias("hub"))
-    stars = (
-        banded.join(hubs, ["shingle", "band"])
-        .select(F.col("hub.cls").alias("a"), F.col("hub.n").alias("n1"), F.col("cls").alias("b"), F.col("n").alias("n2"))
-        .filter((F.col("a") != F.col("b")) & fits)
-        .distinct()
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int")
+
+
+def linked_classes(docs: DataFrame, size: int, percent: int, counts: np.ndarray, classes: DataFrame) -> DataFrame:
+    """Exact links between classes that suffice for the components. ``classes``: cls, n, bits."""
+    by_shingle = Window.partitionBy("shingle")
+    me = F.struct("cls", "n")
+    tiles = materialise(
+        _tile_rows(docs, size, percent, counts)
+        .repartition("shingle")
+        .dropDuplicates(["shingle", "cls"])
+        .withColumns({"hub": F.min(me).over(by_shingle), "last": F.max("cls").over(by_shingle), "near": F.lag(me).over(by_shingle.orderBy("n", "cls"))})
+        .filter(F.col("hub.cls") != F.col("last"))
+        .drop("last"),
+        "tiles",
     )
-    bound = overlap_bound(F.col("s"), F.col("t"), F.col("n1"), F.col("n2")) >= needed_overlap(F.col("n1"), F.col("n2"), percent)
-    stars = stars.join(signs.select(F.col("cls").alias("a"), F.col("bits").alias("s")), "a").join(signs.select(F.col("cls").alias("b"), F.col("bits").alias("t")), "b").filter(bound)
-    first = materialise(_verify(stars, arrays, percent), "links")
+    star = F.explode(F.array_distinct(F.array("hub", "near")))
+    met = (
+        tiles.select("cls", "n", star.alias("o"))
+        .filter(F.col("o").isNotNull() & (F.col("o.cls") != F.col("cls")))
+        .select(F.least("cls", "o.cls").alias("a"), F.greatest("cls", "o.cls").alias("b"), F.when(F.col("cls") < F.col("o.cls"), F.col("n")).otherwise(F.col("o.n")).alias("n1"), F.when(F.col("cls") < F.col("o.cls"), F.col("o.n")).otherwise(F.col("n")).alias("n2"))
+        .filter(_fits(F.col("n1"), F.col("n2"), percent))
+    )
+    # a class can meet another as hub in one tile and as neighbour in the next, so tiles met here need not reach COMMON
+    first = _verify(_likely(met, classes, percent), docs, size, percent)
 
     labels = components(first).withColumnsRenamed({"node": "cls", "component": "label"})
-    known = tiles.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    mixed = known.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("shingle")
-    again = _banded(known.join(mixed, "shingle", "left_semi"), percent).join(signs, "cls")
-    x = again.select("shingle", "band", F.col("cls").alias("a"), F.col("n").alias("n1"), F.col("label").alias("l1"), F.col("bits").alias("s"))
-    y = again.select(F.col("shingle").alias("shingle2"), F.col("band").alias("band2"), F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("label").alias("l2"), F.col("bits").alias("t"))
-    across = (
-        x.join(y, (F.col("shingle") == F.col("shingle2")) & (F.col("band") == F.col("band2")) & (F.col("a") < F.col("b")) & (F.col("l1") != F.col("l2")) & fits & bound)
-        .select("a", "b")
-        .distinct()
-    )
-    second = materialise(_verify(across, arrays, percent), "links")
-    return first.union(second), arrays
+    known = tiles.select("shingle", "cls", "n").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    mixed = known.withColumns({"lo": F.min("label").over(by_shingle), "hi": F.max("label").over(by_shingle)}).filter("lo <> hi").select("shingle", "cls", "n", "label", _band(percent).alias("band"))
+    mixed = materialise(mixed, "mixed")
+    x = mixed.select("shingle", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("cls").alias("a"), F.col("n").alias("n1"), F.col("label").alias("l1"))
+    y = mixed.select("shingle", "band", F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("label").alias("l2"))
+    smaller = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("a") < F.col("b")))
+    across = x.join(y, ["shingle", "band"]).filter(smaller & (F.col("l1") != F.col("l2")) & _fits(F.col("n1"), F.col("n2"), percent)).select("a", "b", "n1", "n2")
+    return first.union(_verify(_likely(across, classes, percent), docs, size, percent))
 
 
 def groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
@@ -237,14 +254,14 @@ def groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     docs = docs.select("doc_id", "text")
     heads = materialise(_heads(docs, size), "heads")
     counts = sum_parts(heads.filter("part is not null"), COUNT_BITS)
-    heads = heads.filter("part is null").select("doc_id", "n", "cls")
-    links, _ = linked_classes(docs, size, percent, counts)
-
-    names = materialise(heads.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("name")), "classes")
+    heads = heads.filter("part is null")
+    names = materialise(heads.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("name"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
+    links = linked_classes(docs, size, percent, counts, names)
     edges = links.join(names.select(F.col("cls").alias("a"), F.col("name").alias("u")), "a").join(names.select(F.col("cls").alias("b"), F.col("name").alias("v")), "b")
     found = components(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).filter("a is not null and b is not null"))
+    heads, names = heads.select("doc_id", "n", "cls"), names.select("cls", "name")
     named = names.join(found, names["name"] == found["node"], "left").select("cls", F.coalesce("component", "name").alias("component_id"))
-    return heads.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return heads.join(named, "cls", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
