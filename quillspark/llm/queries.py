@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import ngram_join, ppm_score, quality_rules, sharding, substring_dedup, token_counts, warc_zip
+from quillspark.llm import ngram_join, pii_feistel, ppm_score, quality_rules, sharding, substring_dedup, token_counts, warc_zip
 from quillspark.llm.common import table
 
 #: Vocabulary of the token counts; a name known to the ``public_tokenizers`` package.
@@ -31,6 +31,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_feistel.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ppm_score": op3_ppm_score,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
+    "op6_pii_pseudonyms": op6_pii_pseudonyms,
     "op8_warc_zip": op8_warc_zip,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
