@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import ngram_join, pii_feistel, ppm_score, quality_rules, sharding, substring_dedup, token_counts, warc_zip
+from quillspark.llm import decontaminate, mixing, ngram_join, pii_feistel, ppm_score, quality_rules, sharding, substring_dedup, token_counts, warc_zip
 from quillspark.llm.common import table
 
 #: Vocabulary of the token counts; a name known to the ``public_tokenizers`` package.
@@ -19,6 +19,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), limit=512)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_score.score(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,10 @@ def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_feistel.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.round_trip(table(spark, sf_dir, "pages")).drop("url")
 
@@ -49,10 +57,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_mixing": op2_mixing,
     "op3_ppm_score": op3_ppm_score,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op6_pii_pseudonyms": op6_pii_pseudonyms,
+    "op7_decontaminate": op7_decontaminate,
     "op8_warc_zip": op8_warc_zip,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
