@@ -21,28 +21,34 @@ def bucket(values: np.ndarray, bits: int) -> np.ndarray:
     return (mix(values.view(np.uint64) ^ SALT) >> U(64 - bits)).astype(np.int64)
 
 
-def part_rows(counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """A table in parts, as the columns (part, counts)."""
-    return pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in np.split(counts, PARTS)], pa.binary())
+def part_rows(table: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """A table of bytes in compressed parts, as the columns (part, counts)."""
+    codec = pa.Codec("zstd", compression_level=1)
+    return pa.array(range(PARTS), pa.int32()), pa.array([codec.compress(x.tobytes(), asbytes=True) for x in np.split(table, PARTS)], pa.binary())
 
 
-def sum_parts(tables: DataFrame, bits: int, kind: str = "counts") -> np.ndarray:
-    """Add up (``counts``: int64) or unite (``filter``: bytes) the partial tables that tasks have made."""
-    dtype, join = (np.int64, np.add) if kind == "counts" else (np.uint8, np.bitwise_or)
+def saturating(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum of two tables of counters that stop at 255."""
+    return np.minimum(a.astype(np.uint16) + b, 255).astype(np.uint8)
+
+
+def sum_parts(tables: DataFrame, size: int, join=saturating) -> np.ndarray:
+    """Add up (or unite) the partial tables of ``size`` bytes that tasks have made."""
+    step = size // PARTS
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        codec, total = pa.Codec("zstd"), {}
         for batch in batches:
             for part, blob in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                x = np.frombuffer(blob, dtype)
+                x = np.frombuffer(codec.decompress(blob, step, asbytes=True), np.uint8)
                 total[part] = join(total[part], x) if part in total else x
-        yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
+        pack = pa.Codec("zstd", compression_level=1)
+        yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([pack.compress(x.tobytes(), asbytes=True) for x in total.values()], pa.binary())], names=["part", "counts"])
 
-    out = np.zeros(1 << (bits if kind == "counts" else bits - 3), dtype)
-    step = len(out) // PARTS
+    out, codec = np.zeros(size, np.uint8), pa.Codec("zstd")
     for row in tables.select("part", "counts").repartition(8, "part").mapInArrow(add, "part int, counts binary").collect():
         at = slice(row["part"] * step, (row["part"] + 1) * step)
-        out[at] = join(out[at], np.frombuffer(row["counts"], dtype))
+        out[at] = join(out[at], np.frombuffer(codec.decompress(bytes(row["counts"]), step, asbytes=True), np.uint8))
     return out
 
 
@@ -68,7 +74,7 @@ def key_filter(keys: DataFrame, column: str, bits: int) -> KeyFilter:
         if table.any():
             yield pa.record_batch(list(part_rows(table)), names=["part", "counts"])
 
-    return KeyFilter(bits, sum_parts(keys.select(column).mapInArrow(run, "part int, counts binary"), bits, "filter"))
+    return KeyFilter(bits, sum_parts(keys.select(column).mapInArrow(run, "part int, counts binary"), 1 << (bits - 3), np.bitwise_or))
 
 
 def bits_for(n: int, least: int = 16, most: int = 30) -> int:

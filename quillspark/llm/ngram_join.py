@@ -3,12 +3,12 @@
 Documents with equal shingle sets are one class, found by a digest of the set. A class meets others in
 tiles: the key of a tile is a size band and one of the class's rarest shingles. Two sets that reach the
 threshold t share l of their first n - ceil(t n) + l shingles under any common order; the order here is
-by counts in a table of fixed size, so frequent shingles come last and hot tiles stay few. Pairs that
+by counts in a table of bounded size, so frequent shingles come last and hot tiles stay few. Pairs that
 share so many tiles are held against their bitmaps: the bits that differ bound the overlap from above.
 Pairs that pass get the exact intersection of their sorted arrays.
 
-Tiles are compared in two passes. The first compares each class with two of the tile, its smallest
-class and its neighbour by size. The second takes the tiles whose classes are not yet in one component,
+Tiles are compared in two passes. The first compares each class with a few of the tile: the neighbour by
+size, and the first and the neighbour in each of three random orders. The second takes the tiles whose classes are not yet in one component,
 and compares only classes of different components. Every link either is found or lies inside a
 component, so components are exact, and groups of near copies cost their size and not its square.
 
@@ -34,8 +34,11 @@ from quillspark.llm.components import components
 from quillspark.llm.fixed_tables import KeyFilter, bits_for, bucket, key_filter, part_rows, sum_parts
 from quillspark.llm.hashing import U, Words, mix
 
-#: Counters that order shingles by frequency: a table of fixed size, whatever the corpus.
-COUNT_BITS = 18
+#: One-byte counters that order shingles by frequency: one for so many bytes of text, at most 2^27 (128 MB).
+BYTES_A_COUNTER = 32
+COUNT_BITS = (16, 27)
+#: Random orders in which a tile's classes meet their neighbours.
+ORDERS = 3
 #: Rare shingles that a pair must share before its bitmaps are compared.
 COMMON = 3
 #: Longs of a bitmap signature.
@@ -90,20 +93,21 @@ def prefix_length(n: int, percent: int) -> int:
     return min(n, n - least_common(n, percent) + COMMON)
 
 
-def _heads(docs: DataFrame, size: int) -> DataFrame:
+def _heads(docs: DataFrame, size: int, bits: int) -> DataFrame:
     """A row a document: id, set size, class, bitmap; and partial tables of shingle counts, which have ``part``."""
     names = ["doc_id", "n", "cls", "bits", "part", "counts"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNT_BITS, np.int64)
+        counts = np.zeros(1 << bits, np.uint8)
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"), size)
             everything = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            counts += np.bincount(bucket(everything, COUNT_BITS), minlength=len(counts))
+            at, n = np.unique(bucket(everything, bits), return_counts=True)
+            counts[at] = np.minimum(counts[at] + n, 255)
             m = batch.num_rows
-            bits = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([bitmap(s) for s in sets])), LANES).cast(pa.list_(pa.int64()))
+            marks = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([bitmap(s) for s in sets])), LANES).cast(pa.list_(pa.int64()))
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([class_of(s) for s in sets], pa.int64()), bits, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([class_of(s) for s in sets], pa.int64()), marks, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
                 names=names,
             )
         if counts.any():
@@ -125,7 +129,8 @@ def _unseen(seen: set[int], cls: int) -> bool:
 
 def _tile_rows(docs: DataFrame, size: int, percent: int, counts: np.ndarray) -> DataFrame:
     """(shingle, cls, n) for the rarest shingles of each class."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int64))  # 2^18 counters
+    shared = docs.sparkSession.sparkContext.broadcast(counts)  # at most 2^27 bytes
+    bits = len(counts).bit_length() - 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = shared.value, set()
@@ -136,7 +141,7 @@ def _tile_rows(docs: DataFrame, size: int, percent: int, counts: np.ndarray) ->
                 if not n or not _unseen(seen, cls := class_of(s)):
                     continue
                 p = prefix_length(n, percent)
-                rare = s if p >= n else s[np.lexsort((s, order[bucket(s, COUNT_BITS)]))[:p]]
+                rare = s if p >= n else s[np.lexsort((s, order[bucket(s, bits)]))[:p]]
                 keys.append(rare)
                 classes.append(np.full(len(rare), cls, np.int64))
                 sizes.append(np.full(len(rare), n, np.int32))
@@ -218,23 +223,26 @@ def linked_classes(docs: DataFrame, size: int, percent: int, counts: np.ndarray,
     """Exact links between classes that suffice for the components. ``classes``: cls, n, bits."""
     by_shingle = Window.partitionBy("shingle")
     me = F.struct("cls", "n")
-    tiles = materialise(
+    tiles = (
         _tile_rows(docs, size, percent, counts)
         .repartition("shingle")
         .dropDuplicates(["shingle", "cls"])
-        .withColumns({"hub": F.min(me).over(by_shingle), "last": F.max("cls").over(by_shingle), "near": F.lag(me).over(by_shingle.orderBy("n", "cls"))})
-        .filter(F.col("hub.cls") != F.col("last"))
-        .drop("last"),
-        "tiles",
+        .withColumns({"lo": F.min("cls").over(by_shingle), "hi": F.max("cls").over(by_shingle)})
+        .filter("lo <> hi")
+        .drop("lo", "hi")
     )
-    star = F.explode(F.array_distinct(F.array("hub", "near")))
+    partners = [F.lag(me).over(by_shingle.orderBy("n", "cls"))]
+    for k in range(ORDERS):
+        order = by_shingle.orderBy(F.xxhash64(F.lit(k), "cls"))
+        partners += [F.lag(me).over(order), F.first(me).over(order)]
+    tiles = materialise(tiles.withColumn("others", F.array_distinct(F.array(*partners))), "tiles")
     met = (
-        tiles.select("cls", "n", star.alias("o"))
+        tiles.select("cls", "n", F.explode("others").alias("o"))
         .filter(F.col("o").isNotNull() & (F.col("o.cls") != F.col("cls")))
         .select(F.least("cls", "o.cls").alias("a"), F.greatest("cls", "o.cls").alias("b"), F.when(F.col("cls") < F.col("o.cls"), F.col("n")).otherwise(F.col("o.n")).alias("n1"), F.when(F.col("cls") < F.col("o.cls"), F.col("o.n")).otherwise(F.col("n")).alias("n2"))
         .filter(_fits(F.col("n1"), F.col("n2"), percent))
     )
-    # a class can meet another as hub in one tile and as neighbour in the next, so tiles met here need not reach COMMON
+    # a pair may be neighbours in some of its tiles only: fewer than COMMON meetings leave it to the second pass
     first = _verify(_likely(met, classes, percent), docs, size, percent)
 
     labels = components(first).withColumnsRenamed({"node": "cls", "component": "label"})
@@ -252,8 +260,10 @@ def groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """Per row of ``docs`` (``doc_id``, ``text``): id, number of shingles, smallest id reachable by links."""
     prepare_python(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    heads = materialise(_heads(docs, size), "heads")
-    counts = sum_parts(heads.filter("part is not null"), COUNT_BITS)
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    bits = min(COUNT_BITS[1], max(COUNT_BITS[0], (total // BYTES_A_COUNTER).bit_length()))
+    heads = materialise(_heads(docs, size, bits), "heads")
+    counts = sum_parts(heads.filter("part is not null"), 1 << bits)
     heads = heads.filter("part is null")
     names = materialise(heads.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("name"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
     links = linked_classes(docs, size, percent, counts, names)
