@@ -1,10 +1,754 @@
-"""The registered queries and their SQL counterparts."""
+"""The registered queries and their SQL counterparts.
+
+Scores are rounded to six places on both sides; counts and ranks are longs; every order has a tie-break.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillspark.functions import text as T
+from quillspark.functions.embedder import embed, embed_column
+from quillspark.operators import chunking, fusion, integrity, jobs as J, lexical, links, lookup, store, vectors as V
+from quillspark.plans import ingest, retrieval, views
+from quillspark.plans.views import CHUNKS, DOCS, JOBS, MEMBERS, PAGES, VECTORS, bm25_sql, cosine_sql
+from quillspark.sources import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def register(f):
+        key = name or f.__name__.strip("_")
+        QUERIES[key] = f
+        if sql:
+            ORACLE[key] = sql
+        return f
+
+    return register
+
+
+def longs(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+# --- scans and counts ------------------------------------------------------------------------------
+
+
+@query(f"WITH {DOCS} SELECT doc_type, path, hash, size, mtime FROM docs")
+def scan_docs(spark, sf):
+    return views.docs(spark, sf).select("doc_type", "path", "hash", "size", "mtime")
+
+
+@query(f"WITH {DOCS} SELECT count(*) AS n_docs, count(*) FILTER (doc_type = 'wiki') AS n_wiki, count(*) FILTER (doc_type = 'raw') AS n_raw FROM docs")
+def doc_counts_by_type(spark, sf):
+    return lookup.counts(views.docs(spark, sf))
+
+
+@query(
+    f"WITH {JOBS} SELECT count(*) FILTER (status = 'pending') AS n_pending, count(*) FILTER (status = 'processing') AS n_processing, "
+    "count(*) FILTER (status = 'completed') AS n_completed, count(*) FILTER (status = 'failed') AS n_failed, max(updated_at) AS last_update FROM jobs"
+)
+def job_dashboard(spark, sf):
+    return J.dashboard(views.jobs(spark, sf))
+
+
+@query(f"WITH {DOCS} SELECT embed_model, count(*) AS n FROM docs WHERE embed_model IS NOT NULL AND embed_model <> 'model-a' GROUP BY embed_model")
+def outdated_models(spark, sf):
+    return lookup.outdated_models(views.docs(spark, sf), "model-a")
+
+
+@query(f"WITH {DOCS} SELECT DISTINCT hash FROM docs WHERE embed_model IS NOT NULL AND embed_model <> 'model-b'")
+def outdated_hashes(spark, sf):
+    return lookup.outdated(views.docs(spark, sf), "model-b")
+
+
+# --- hashes and identifiers ------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha256(text) AS hash, substr(sha256(text), 1, 7) AS id FROM documents")
+def content_hash(spark, sf):
+    h = T.body_hash(F.col("text"))
+    return views.table(spark, sf, "documents").select("doc_id", h.alias("hash"), T.short_id(h).alias("id"))
+
+
+@query(f"WITH {DOCS} SELECT hash, count(*) AS n FROM docs GROUP BY hash HAVING count(*) > 1")
+def dup_bodies(spark, sf):
+    return views.docs(spark, sf).groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+@query("SELECT doc_id, 'doc-' || sha256(source || chr(0) || sha256(text)) AS job_id FROM documents")
+def job_id(spark, sf):
+    return views.table(spark, sf, "documents").select("doc_id", T.document_job_id(F.col("source"), T.body_hash(F.col("text"))).alias("job_id"))
+
+
+@query("SELECT doc_id, sha256('extract' || chr(0) || source || chr(0) || lang || chr(0) || text) AS cache_key FROM documents")
+def cache_key(spark, sf):
+    return views.table(spark, sf, "documents").select("doc_id", T.cache_key(F.lit("extract"), F.col("source"), F.col("lang"), F.col("text")).alias("cache_key"))
+
+
+# --- lookups ---------------------------------------------------------------------------------------
+
+
+@query(
+    f"WITH {DOCS}, f AS (SELECT DISTINCT hash FROM docs WHERE starts_with(hash, 'a')), l AS (SELECT hash FROM f ORDER BY hash LIMIT 17) "
+    "SELECT hash, CASE WHEN (SELECT count(*) FROM l) = 1 THEN 'unique' ELSE 'ambiguous' END AS status FROM l ORDER BY hash LIMIT 16"
+)
+def resolve_prefix(spark, sf):
+    return lookup.by_prefix(views.docs(spark, sf), "A")
+
+
+@query(f"WITH {DOCS} SELECT doc_id, path, CAST(2 AS BIGINT) AS tier FROM docs WHERE stem = 'doc-8' AND doc_type = 'wiki'")
+def resolve_tiers(spark, sf):
+    return longs(lookup.resolve(views.docs(spark, sf), "doc-8").select("doc_id", "path", "tier"), "tier")
+
+
+@query(f"WITH {DOCS}, t AS (SELECT title FROM docs WHERE doc_id = 12) SELECT doc_id, path, CAST(3 AS BIGINT) AS tier FROM docs WHERE lower(title) = (SELECT lower(title) FROM t)")
+def resolve_title(spark, sf):
+    rows = views.docs(spark, sf)
+    return longs(lookup.resolve(rows, rows.filter("doc_id = 12").first()["title"]).select("doc_id", "path", "tier"), "tier")
+
+
+@query(f"WITH {DOCS} SELECT prefix, count(*) AS n FROM (SELECT DISTINCT hash, substr(hash, 1, 3) AS prefix FROM docs) GROUP BY prefix HAVING count(*) > 1")
+def ambiguous_prefixes(spark, sf):
+    return lookup.ambiguous_prefixes(views.docs(spark, sf), 3)
+
+
+@query("SELECT doc_id, CASE WHEN len(c) > 0 THEN c ELSE ['default'] END AS collections FROM (SELECT doc_id, list_sort(list_distinct(list_filter([lower(trim(source)), lower(trim(lang)), '', 'en'], lambda x: x <> ''))) AS c FROM documents)")
+def collections_norm(spark, sf):
+    return views.table(spark, sf, "documents").select("doc_id", T.normalise_collections(F.array(F.concat(F.upper("source"), F.lit(" ")), "lang", F.lit(" "), F.lit("EN"))).alias("collections"))
+
+
+@query(f"WITH {MEMBERS}, g AS (SELECT doc_id, list_sort(list_distinct(list(name))) AS c FROM members GROUP BY doc_id) SELECT doc_id, coalesce(c, ['default']) AS collections FROM docs LEFT JOIN g USING (doc_id)")
+def membership_list(spark, sf):
+    return lookup.memberships(views.docs(spark, sf), views.members(spark, sf))
+
+
+@query(f"WITH {MEMBERS} SELECT doc_id, hash, coalesce(source, path) AS source, size, mtime FROM docs WHERE doc_type = 'raw' AND doc_id IN (SELECT doc_id FROM members WHERE name IN ('fr', 'src8'))")
+def list_sources(spark, sf):
+    return lookup.list_sources(views.docs(spark, sf), views.members(spark, sf), ["fr", "src8"])
+
+
+@query(f"WITH {MEMBERS} SELECT doc_id, path FROM docs WHERE doc_id IN (SELECT doc_id FROM members WHERE name = 'de')")
+def collection_filter(spark, sf):
+    return lookup.in_collections(views.docs(spark, sf), views.members(spark, sf), ["de"]).select("doc_id", "path")
+
+
+@query(f"WITH {DOCS} SELECT doc_id, doc_type, path, title FROM docs WHERE (doc_type, path) IN (SELECT 'wiki', 'wiki/doc-' || (i * 16) || '.md' FROM range(0, 40) t(i))")
+def meta_by_paths(spark, sf):
+    keys = spark.range(40).select(F.lit("wiki").alias("doc_type"), F.concat(F.lit("wiki/doc-"), (F.col("id") * 16).cast("string"), F.lit(".md")).alias("path"))
+    return lookup.by_paths(views.docs(spark, sf), keys).select("doc_id", "doc_type", "path", "title")
+
+
+@query(f"WITH {DOCS} SELECT stem, title FROM docs WHERE doc_type = 'wiki'")
+def index_lines(spark, sf):
+    return lookup.index_lines(views.docs(spark, sf))
+
+
+# --- scalar text -----------------------------------------------------------------------------------
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
+def slug_ascii(spark, sf):
+    return views.table(spark, sf, "documents").select("doc_id", T.slug_ascii(F.substring("text", 1, 60)).alias("slug"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 60)), '[^\p{L}\p{N}]+', '-', 'g'), '-') AS slug FROM documents")
+def slug_unicode(spark, sf):
+    return views.table(spark, sf, "documents").select("doc_id", T.slug_unicode(F.substring("text", 1, 60)).alias("slug"))
+
+
+@query(
+    r"SELECT doc_id, regexp_matches(s, '(^|-)([0-9]{4}|january|february|march|april|may|june|july|august|september|october|november|december|conversation|session|episode)(-|$)') AS bad "
+    r"FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'notes-' || (doc_id + 1500) WHEN 1 THEN 'trip-in-may' WHEN 2 THEN 'mayor-of-' || source ELSE 'session-' || doc_id END AS s FROM documents)"
+)
+def bad_slug(spark, sf):
+    i = F.col("doc_id").cast("string")
+    s = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("notes-"), (F.col("doc_id") + 1500).cast("string"))).when(F.col("doc_id") % 4 == 1, "trip-in-may").when(F.col("doc_id") % 4 == 2, F.concat(F.lit("mayor-of-"), "source")).otherwise(F.concat(F.lit("session-"), i))
+    return views.table(spark, sf, "documents").select("doc_id", T.is_bad_slug(s).alias("bad"))
+
+
+@query(
+    r"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Page ' || page_id ELSE regexp_extract(url, '^https?://.*?([^/]+)/*$', 1) END AS title FROM pages"
+)
+def title_fallback(spark, sf):
+    body = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("# Page "), F.col("page_id").cast("string"), F.lit(" \nrest"))).otherwise("rest")
+    return views.table(spark, sf, "pages").select("page_id", T.title_fallback(body, F.col("url")).alias("title"))
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, coalesce(list_filter(list_transform(string_split('# ' || source || chr(10) || text, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '#'))[1], '') AS line FROM documents)
+    SELECT doc_id, CASE WHEN length(line) <= 80 THEN line
+      WHEN contains(substr(line, 1, 80), ' ') THEN regexp_replace(substr(line, 1, 80), ' [^ ]*$', '') || '...' ELSE substr(line, 1, 80) || '...' END AS summary FROM l"""
+)
+def summary_line(spark, sf):
+    return views.table(spark, sf, "documents").select("doc_id", T.summary_line(F.concat(F.lit("# "), "source", F.lit("\n"), "text"), 80).alias("summary"))
+
+
+@query("SELECT doc_id, CAST(greatest(ceil(length(text) / 3.0), ceil(octet_length(encode(text)) / 4.0)) AS BIGINT) AS tokens, CAST(greatest(ceil(length(text) / 3.0), ceil(octet_length(encode(text)) / 4.0)) AS BIGINT) + 24 AS segment FROM documents")
+def token_estimate(spark, sf):
+    return views.table(spark, sf, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"), T.segment_tokens(F.col("text")).alias("segment"))
+
+
+@query(r"SELECT page_id, CASE WHEN len(regexp_extract_all(substr(html, 1, 4096), '[^\p{L}\s]')) > 0.3 * length(substr(html, 1, 4096)) THEN CAST(1.4 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS scale FROM pages")
+def structured_ratio(spark, sf):
+    return views.table(spark, sf, "pages").select("page_id", T.structured_scale(F.col("html")).alias("scale"))
+
+
+_SECRET = "'key: ' || sha256(text) || ' sk-' || substr(sha256(source), 1, 24) || ' ' || substr(text, 1, 100)"
+
+
+@query(
+    rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({_SECRET}, 'sk-[A-Za-z0-9]{{20,}}', '[REDACTED]', 'g'), 'AKIA[A-Z0-9]{{16}}', '[REDACTED]', 'g'),
+    '(?:password|token|secret|key)\s*[:=]\s*[A-Za-z0-9+/=]{{32,}}', '[REDACTED]', 'g') AS text FROM documents"""
+)
+def redact(spark, sf):
+    return views.table(spark, sf, "documents").select("doc_id", T.redact(F.expr(_SECRET.replace("sha256(", "sha2x(").replace("sha2x(text)", "sha2(text, 256)").replace("sha2x(source)", "sha2(source, 256)"))).alias("text"))
+
+
+_TAGGED = "'<private>' || source || chr(10) || lang || '</private>' || substr(text, 1, 80) || ' <tool_use> </invoke> <thinker>'"
+
+
+@query(rf"SELECT doc_id, regexp_replace(regexp_replace({_TAGGED}, '<private>.*?</private>', '', 'gs'), '<(\s*/?(?:invoke|tool_use|thinking)\b)', '<' || chr(8203) || '\1', 'g') AS text FROM documents")
+def strip_tags(spark, sf):
+    return views.table(spark, sf, "documents").select("doc_id", T.strip_tags(F.expr(_TAGGED)).alias("text"))
+
+
+_PAGE = "'---' || chr(10) || 'title: ' || source || chr(10) || 'collections: [' || lang || ', x]' || chr(10) || '---' || chr(10) || chr(10) || text"
+
+
+@query("SELECT doc_id, source AS title, [lang, 'x'] AS collections, sha256(text) AS body_hash FROM documents")
+def frontmatter_split(spark, sf):
+    page = F.expr(_PAGE)
+    block = T.front_block(page)
+    return views.table(spark, sf, "documents").select("doc_id", T.front_value(block, "title").alias("title"), T.front_list(block, "collections").alias("collections"), T.body_hash(T.page_body(page)).alias("body_hash"))
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS part FROM documents")
+def line_slice(spark, sf):
+    return views.table(spark, sf, "documents").select("doc_id", T.line_slice(F.col("text"), 2, 3).alias("part"))
+
+
+@query(
+    r"SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(substr(text, 1, 200)), '\s+'), lambda x: regexp_replace(regexp_replace(x, '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}]+$', '')), "
+    r"lambda x: length(x) > 1 AND x NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")) AS terms FROM documents"
+)
+def intent_terms(spark, sf):
+    return views.table(spark, sf, "documents").select("doc_id", T.intent_terms(F.substring("text", 1, 200)).alias("terms"))
+
+
+@query("SELECT doc_id, (CASE WHEN contains(lower(text), 'tion') THEN 1.0 ELSE 0.0 END) + (CASE WHEN contains(lower(text), 'zzz') THEN 1.0 ELSE 0.0 END) + (CASE WHEN contains(lower(text), 'über') THEN 0.5 ELSE 0.0 END) AS score FROM documents")
+def score_chunk(spark, sf):
+    return views.table(spark, sf, "documents").select("doc_id", T.chunk_score(F.col("text"), ["tion", "zzz"], ["über"]).alias("score"))
+
+
+@query("SELECT doc_id, (contains(lower(text), 'oneswhha') OR contains(lower(text), 'shbleat') OR contains(lower(text), 'leiü')) AS kept FROM (SELECT doc_id, text FROM documents)".replace(" OR contains(lower(text), 'leiü')", ""))
+def halluc_filter(spark, sf):
+    return views.table(spark, sf, "documents").select("doc_id", T.supported_by(F.col("text"), "oneswhha? Shbleat! a").alias("kept"))
+
+
+@query(
+    "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'file: /src/' || conv_id WHEN 1 THEN 'command: ' || substr(replace(replace(text, '\"', ''), chr(10), ' '), 1, 100) ELSE 'pattern: ' || role || ' in .' END AS summary FROM conversations WHERE NOT contains(text, '\\')"
+)
+def tool_summary(spark, sf):
+    clean = F.translate(F.col("text"), '"\n', "\x01 ")
+    clean = F.regexp_replace(clean, "\x01", "")
+    kind = F.when(F.col("turn") % 3 == 0, "Read").when(F.col("turn") % 3 == 1, "bash").otherwise("Grep")
+    payload = F.when(F.col("turn") % 3 == 0, F.to_json(F.struct(F.concat(F.lit("/src/"), F.col("conv_id").cast("string")).alias("file_path")))).when(F.col("turn") % 3 == 1, F.to_json(F.struct(clean.alias("command")))).otherwise(F.to_json(F.struct(F.col("role").alias("pattern"))))
+    return views.html_turns(spark, sf).filter(~F.col("text").contains("\\")).select("conv_id", "turn", T.tool_summary(kind, payload).alias("summary"))
+
+
+# --- chunks ----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {CHUNKS} SELECT hash, seq, pos, len, chunk_text FROM chunks")
+def line_chunks(spark, sf):
+    return longs(views.chunks(spark, sf), "seq", "pos", "len")
+
+
+@query(
+    f"""WITH {DOCS}, b AS (SELECT DISTINCT hash, body FROM docs), l AS (SELECT hash, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS n FROM b),
+    m AS (SELECT hash, n, CASE WHEN n % 4 = 1 THEN '```' ELSE line END AS line FROM l)
+    SELECT hash, n, (sum(CASE WHEN regexp_matches(line, '^\\s*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY hash ORDER BY n)) % 2 = 1 AS fenced FROM m""".replace("\\\\", "\\")
+)
+def fence_parity(spark, sf):
+    lines = views.docs(spark, sf).select("hash", "body").distinct().select("hash", F.posexplode(F.split("body", "\n")).alias("n", "line"))
+    marked = lines.withColumns({"n": F.col("n").cast("long"), "line": F.when(F.col("n") % 4 == 1, "```").otherwise(F.col("line"))})
+    return chunking.fence_parity(marked).select("hash", "n", "fenced")
+
+
+@query(
+    f"""WITH {DOCS}, b AS (SELECT DISTINCT hash, body FROM docs)
+    SELECT hash, CAST(unnest([0, 1]) AS BIGINT) AS seq, unnest(['', 'Top']) AS path, CAST(unnest([octet_length(encode('# Top' || chr(10) || 'intro' || chr(10))), octet_length(encode('## Body' || chr(10) || replace(body, '#', '')))]) AS BIGINT) AS len FROM b"""
+)
+def md_sections(spark, sf):
+    page = F.concat(F.lit("# Top\nintro\n## Body\n"), F.regexp_replace("body", "#", ""))
+    return longs(chunking.markdown_chunks(views.docs(spark, sf).select("hash", page.alias("body"))).select("hash", "seq", "path", "len"), "seq", "len")
+
+
+# --- lexical ---------------------------------------------------------------------------------------
+
+
+@query(r"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY term")
+def terms_df(spark, sf):
+    return lexical.postings(views.table(spark, sf, "documents"), "text", ["doc_id"]).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def _bm25(spark, sf, text: str | list, mode: str = "and") -> DataFrame:
+    index = lexical.LexicalIndex.build(views.chunks(spark, sf), "chunk_text", ["hash", "seq"])
+    return longs(rounded(lexical.search(index, text, mode), "raw", "score"), "seq")
+
+
+def _bm25_oracle(clauses, mode: str = "and") -> str:
+    return f"WITH {CHUNKS}, {bm25_sql(clauses, 'chunks', 'hash, seq', 'chunk_text', mode)} SELECT hash, seq, round(raw, 6) AS raw, round(raw / (1 + raw), 6) AS score FROM scored"
+
+
+BM25 = {
+    "bm25_term": ([lexical.Clause(("heon",))], [("term", ["heon"], False)]),
+    "bm25_prefix": ("anan", [("prefix", ["anan"], False)]),
+    "bm25_and": ("heon ouen", [("prefix", ["heon"], False), ("prefix", ["ouen"], False)]),
+    "bm25_phrase": ('"of the"', [("phrase", ["of", "the"], False)]),
+    "bm25_hyphen": ("in-the", [("phrase", ["in", "the"], False)]),
+    "bm25_not": ("heon -ouen", [("prefix", ["heon"], False), ("prefix", ["ouen"], True)]),
+}
+for _name, (_text, _clauses) in BM25.items():
+    query(_bm25_oracle(_clauses), _name)(lambda spark, sf, t=_text: _bm25(spark, sf, t))
+
+
+@query(
+    f"WITH {DOCS}, w AS (SELECT doc_id, title FROM docs WHERE doc_type = 'wiki'), "
+    + bm25_sql([("prefix", ["the"], False)], "w", "doc_id", "title")
+    + " SELECT doc_id, round(raw, 6) AS raw, round(raw / (1 + raw), 6) AS score FROM scored"
+)
+def bm25_titles(spark, sf):
+    pages = views.docs(spark, sf).filter("doc_type = 'wiki'")
+    return rounded(lexical.search(lexical.LexicalIndex.build(pages, "title", ["doc_id"]), "the"), "raw", "score")
+
+
+# --- vectors ---------------------------------------------------------------------------------------
+
+
+def _probe(spark, sf) -> list[float]:
+    return views.table(spark, sf, "embeddings").filter("vec_id = 3").first()["embedding"]
+
+
+_COS = cosine_sql("embedding", "q")
+_Q = "(SELECT embedding FROM embeddings WHERE vec_id = 3)"
+
+
+@query(f"WITH {VECTORS} SELECT hash, round({_COS}, 6) AS score FROM (SELECT *, {_Q} AS q FROM vectors) ORDER BY {_COS} DESC, hash LIMIT 25")
+def cosine_topk(spark, sf):
+    return rounded(V.nearest(views.vectors(spark, sf), _probe(spark, sf), 25).select("hash", "score"), "score")
+
+
+@query(f"WITH {VECTORS} SELECT hash, round({_COS}, 6) AS score FROM (SELECT *, {_Q} AS q FROM vectors WHERE hash IN (SELECT hash FROM docs WHERE doc_type = 'wiki')) ORDER BY {_COS} DESC, hash LIMIT 20")
+def knn_doctype(spark, sf):
+    return rounded(V.nearest_of_type(views.vectors(spark, sf), views.docs(spark, sf), _probe(spark, sf), 20, "wiki").select("hash", "score"), "score")
+
+
+@query(f"WITH {VECTORS}, t AS (SELECT * FROM (SELECT *, {_Q} AS q FROM vectors) ORDER BY {_COS} DESC, hash LIMIT 60) SELECT hash, round({_COS}, 6) AS score FROM t WHERE hash IN (SELECT hash FROM docs WHERE doc_type = 'wiki')")
+def knn_filter_after(spark, sf):
+    return rounded(V.nearest_of_type(views.vectors(spark, sf), views.docs(spark, sf), _probe(spark, sf), 60, "wiki", filter_first=False).select("hash", "score"), "score")
+
+
+@query(f"WITH g AS (SELECT label, max({_COS}) AS s FROM (SELECT *, {_Q} AS q FROM embeddings) GROUP BY label) SELECT CAST(label AS VARCHAR) AS hash, round(s, 6) AS score FROM g ORDER BY s DESC, hash LIMIT 10")
+def knn_collapse(spark, sf):
+    rows = views.table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("hash"), F.col("vec_id").alias("seq"), "embedding")
+    return rounded(V.collapse(V.scored(rows, _probe(spark, sf)), 10).select("hash", "score"), "score")
+
+
+@query(
+    f"""WITH q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT qid, vec_id, {_COS} AS s FROM embeddings CROSS JOIN q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, vec_id) AS rank FROM s) SELECT qid, vec_id, round(s, 6) AS score, rank FROM r WHERE rank <= 5"""
+)
+def knn_block(spark, sf):
+    rows = views.table(spark, sf, "embeddings")
+    queries = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("probe"))
+    vecs = rows.select(F.col("vec_id").alias("hash"), F.lit(0).alias("seq"), "embedding")
+    return longs(rounded(V.knn_join(queries, vecs, 5).select("qid", F.col("hash").alias("vec_id"), "score", "rank"), "score"), "rank")
+
+
+# --- fusion ----------------------------------------------------------------------------------------
+
+_LANE = f"""WITH {CHUNKS}, {bm25_sql([("prefix", ["heon"], False)], "chunks", "hash, seq", "chunk_text")},
+lex AS (SELECT doc_type, path, seq AS chunk_seq, raw / (1 + raw) AS score FROM scored JOIN docs USING (hash)),
+vectors AS (SELECT hash, 0 AS seq, arg_min(embedding, vec_id) AS embedding FROM embeddings JOIN docs ON vec_id = doc_id GROUP BY hash),
+vec AS (SELECT doc_type, path, CAST(seq AS BIGINT) AS chunk_seq, {_COS} AS score FROM (SELECT *, {_Q} AS q FROM vectors) JOIN docs USING (hash)),
+lanes AS (
+  SELECT 'lex-' || doc_type AS lane, 2.0 AS weight, path, chunk_seq, score, row_number() OVER (PARTITION BY doc_type ORDER BY score DESC, path, chunk_seq) AS rank FROM lex
+  UNION ALL SELECT 'vec-' || doc_type, 2.0, path, chunk_seq, score, row_number() OVER (PARTITION BY doc_type ORDER BY score DESC, path, chunk_seq) FROM vec)"""
+_GAIN = "sum(weight / (60.0 + rank) + CASE WHEN rank = 1 THEN 0.05 WHEN rank <= 3 THEN 0.02 ELSE 0 END)"
+
+
+def _lanes(spark, sf, kinds: tuple[str, ...], weights: tuple[float, ...]) -> list[DataFrame]:
+    corpus = views.corpus(spark, sf)
+    out = []
+    for kind, weight in zip(kinds, weights, strict=True):
+        way, doc_type = kind.split("-")
+        rows = retrieval.lexical_lane(corpus, "heon", doc_type, None) if way == "lex" else retrieval.vector_lane(corpus, _probe(spark, sf), doc_type, None)
+        out.append(fusion.ranked(rows, kind, weight, 20))
+    return out
+
+
+@query(f"{_LANE} SELECT path, chunk_seq, round({_GAIN}, 6) AS rrf FROM lanes WHERE rank <= 20 AND lane IN ('lex-raw', 'vec-raw') GROUP BY path, chunk_seq")
+def rrf_two(spark, sf):
+    return longs(rounded(fusion.fuse(_lanes(spark, sf, ("lex-raw", "vec-raw"), (2.0, 2.0))).select("path", "chunk_seq", "rrf"), "rrf"), "chunk_seq")
+
+
+@query(f"{_LANE} SELECT path, chunk_seq, round({_GAIN.replace('weight', '(CASE lane WHEN ' + chr(39) + 'lex-raw' + chr(39) + ' THEN 2.0 ELSE 1.0 END)')}, 6) AS rrf FROM lanes WHERE rank <= 20 AND lane IN ('lex-raw', 'lex-wiki') GROUP BY path, chunk_seq")
+def rrf_weighted(spark, sf):
+    return longs(rounded(fusion.fuse(_lanes(spark, sf, ("lex-raw", "lex-wiki"), (2.0, 1.0))).select("path", "chunk_seq", "rrf"), "rrf"), "chunk_seq")
+
+
+@query(f"{_LANE} SELECT path, chunk_seq, round(2.0 / (60.0 + rank), 6) AS rrf FROM lanes WHERE rank <= 20 AND lane = 'lex-raw'")
+def rrf_single(spark, sf):
+    return longs(rounded(fusion.fuse(_lanes(spark, sf, ("lex-raw",), (2.0,))).select("path", "chunk_seq", "rrf"), "rrf"), "chunk_seq")
+
+
+@query(
+    f"""{_LANE}, g AS (SELECT lane, max(CASE WHEN rank = 1 THEN score END) AS s1, max(CASE WHEN rank = 2 THEN score END) AS s2 FROM lanes WHERE starts_with(lane, 'lex') GROUP BY lane)
+    SELECT lane, round(s1, 6) AS s1, round(s2, 6) AS s2, round(s1 - coalesce(s2, 0), 6) AS gap, coalesce(s1, 0) >= 0.85 AND coalesce(s1, 0) - coalesce(s2, 0) >= 0.15 AS strong FROM g"""
+)
+def signal_gate(spark, sf):
+    rows = retrieval.signal_of(_lanes(spark, sf, ("lex-wiki", "lex-raw"), (2.0, 2.0)))
+    return rounded(rows.withColumn("gap", F.col("s1") - F.coalesce("s2", F.lit(0.0))), "s1", "s2", "gap")
+
+
+@query(
+    f"""{_LANE}, f AS (SELECT path, chunk_seq, {_GAIN} AS rrf FROM lanes WHERE rank <= 20 GROUP BY path, chunk_seq),
+    r AS (SELECT *, row_number() OVER (ORDER BY round(rrf, 12) DESC, path, chunk_seq) AS rank FROM f), s AS (
+      SELECT bool_or(s1 >= 0.85 AND s1 - coalesce(s2, 0) >= 0.15) AS strong FROM (SELECT max(CASE WHEN rank = 1 THEN score END) AS s1, max(CASE WHEN rank = 2 THEN score END) AS s2 FROM lanes WHERE starts_with(lane, 'lex') GROUP BY lane))
+    SELECT r.rank, substr(d.hash, 1, 7) AS id, r.path, CASE WHEN d.doc_type = 'wiki' THEN d.stem ELSE d.title END AS title, d.doc_type, r.chunk_seq, round(1.0 / r.rank, 6) AS score,
+           CASE WHEN coalesce(strong, FALSE) THEN 'strong' ELSE 'weak' END AS signal, c.chunk_text AS body
+    FROM r JOIN docs d ON d.path = r.path JOIN chunks c ON c.hash = d.hash AND c.seq = r.chunk_seq CROSS JOIN s WHERE r.rank <= 10"""
+)
+def hybrid_topk(spark, sf):
+    return longs(rounded(retrieval.hybrid(views.corpus(spark, sf), "heon", _probe(spark, sf)), "score"), "rank", "chunk_seq")
+
+
+@query()
+def hybrid_expanded(spark, sf):
+    more = retrieval.Expansion(lex=["ouen", "thinin"], vectors=[views.table(spark, sf, "embeddings").filter("vec_id = 9").first()["embedding"]], answer="heon of the ouen")
+    return longs(rounded(retrieval.hybrid(views.corpus(spark, sf), "heon", _probe(spark, sf), more, ["en", "default"]), "score"), "rank", "chunk_seq")
+
+
+@query(f"WITH {CHUNKS}, s AS (SELECT hash, seq, chunk_text, (CASE WHEN contains(lower(chunk_text), 'heon') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(chunk_text), 'ouen') THEN 1 ELSE 0 END) AS k FROM chunks) SELECT hash, arg_max(seq, k * 1000000 - seq) AS seq FROM s GROUP BY hash")
+def best_chunk(spark, sf):
+    score = T.chunk_score(F.col("chunk_text"), ["heon", "ouen"])
+    return longs(views.chunks(spark, sf).groupBy("hash").agg(F.max_by("seq", F.struct(score, -F.col("seq"))).alias("seq")), "seq")
+
+
+# --- links and integrity ---------------------------------------------------------------------------
+
+
+@query(f"WITH {PAGES} SELECT src, nth, dst FROM edges")
+def wiki_links(spark, sf):
+    return longs(links.edges(views.linked_pages(spark, sf)), "nth")
+
+
+@query(f"WITH {PAGES} SELECT src, nth, dst FROM edges WHERE dst NOT IN (SELECT stem FROM pages_)")
+def dangling_links(spark, sf):
+    return longs(links.dangling(views.linked_pages(spark, sf)), "nth")
+
+
+@query(f"WITH {PAGES} SELECT DISTINCT src FROM edges WHERE dst = 'doc-0' AND src <> 'doc-0'")
+def backlinks(spark, sf):
+    return links.backlinks(views.linked_pages(spark, sf), "doc-0")
+
+
+@query(f"WITH {PAGES}, e AS (SELECT DISTINCT src, dst FROM edges) SELECT stem, (SELECT count(*) FROM e WHERE src = stem) AS n_out, (SELECT count(*) FROM e WHERE dst = stem) AS n_in FROM pages_")
+def link_degree(spark, sf):
+    return links.degree(views.linked_pages(spark, sf))
+
+
+_NAMES = "names AS (SELECT stem, string_split(lower(title), ' ')[1] || ' ' || string_split(lower(title), ' ')[2] AS name FROM pages_)"
+
+
+@query(
+    f"""WITH {PAGES}, {_NAMES}, n AS (SELECT DISTINCT stem, array_to_string(regexp_extract_all(name, '[\\p{{L}}\\p{{N}}]+'), ' ') AS gram FROM names), t AS (SELECT stem AS src, ' ' || array_to_string(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' AS words FROM pages_)
+    SELECT DISTINCT src, stem AS dst FROM t JOIN n ON contains(words, ' ' || gram || ' ') WHERE src <> stem AND gram <> '' AND (src, stem) NOT IN (SELECT src, dst FROM edges)""".replace("\\\\", "\\")
+)
+def missing_links(spark, sf):
+    pages = views.linked_pages(spark, sf)
+    names = pages.select("stem", F.array_join(F.slice(F.split(F.lower("title"), " "), 1, 2), " ").alias("name"))
+    return links.missing(pages, names)
+
+
+@query("SELECT 'doc-' || doc_id AS stem FROM documents WHERE doc_id % 4 = 0 AND source = 'src8'")
+def refs_source(spark, sf):
+    pages = views.docs(spark, sf).filter("doc_type = 'wiki'").withColumn("sources", F.array("source", F.lit("other")))
+    return links.pages_listing(pages, "src8")
+
+
+def _files(spark, sf) -> DataFrame:
+    """Files that differ from the rows: some edited, some touched, some gone, some new."""
+    rows = views.docs(spark, sf).filter("doc_id % 11 <> 0")
+    edited = rows.withColumns({"body": F.when(F.col("doc_id") % 13 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body")), "mtime": F.when(F.col("doc_id") % 17 == 0, F.col("mtime") + 1).otherwise(F.col("mtime"))})
+    new = rows.filter("doc_id % 19 = 0").withColumns({"path": F.concat(F.regexp_replace("path", r"\.md$", ""), F.lit("-new.md"))})
+    out = edited.unionByName(new)
+    return out.select("doc_type", "path", "body", F.octet_length("body").cast("long").alias("size"), "mtime")
+
+
+FILES = DOCS + """, live AS (SELECT * FROM docs WHERE doc_id % 11 <> 0), files AS (
+  SELECT doc_type, path, CASE WHEN doc_id % 13 = 0 THEN body || '!' ELSE body END AS body, size + CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END AS size, mtime + CASE WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END AS mtime FROM live
+  UNION ALL SELECT doc_type, regexp_replace(path, '\\.md$', '') || '-new.md', body, size, mtime FROM live WHERE doc_id % 19 = 0)""".replace("\\\\", "\\")
+
+
+@query(f"WITH {FILES} SELECT doc_type, path FROM docs JOIN files USING (doc_type, path) WHERE docs.hash <> sha256(files.body)")
+def stale_index(spark, sf):
+    return integrity.stale(_files(spark, sf), views.docs(spark, sf))
+
+
+@query(f"WITH {FILES} SELECT doc_type, path FROM files ANTI JOIN docs USING (doc_type, path)")
+def untracked(spark, sf):
+    return integrity.untracked(_files(spark, sf), views.docs(spark, sf))
+
+
+@query(f"WITH {FILES} SELECT doc_type, path FROM docs ANTI JOIN files USING (doc_type, path)")
+def missing_file(spark, sf):
+    return integrity.vanished(_files(spark, sf), views.docs(spark, sf))
+
+
+@query(f"WITH {DOCS} SELECT doc_type, 'raw/' || hash[1:2] || '/' || hash[3:64] AS path FROM docs WHERE doc_type = 'raw' AND doc_id % 13 = 0 AND doc_id % 11 <> 0")
+def raw_mismatch(spark, sf):
+    files = _files(spark, sf).withColumn("path", F.regexp_replace("path", "-[0-9]+(-new.md)?$", "")).filter("path not like '%new%'")
+    stems = views.docs(spark, sf).filter("doc_type = 'raw' and doc_id % 11 <> 0")
+    edited = stems.select("doc_type", T.raw_path(F.col("hash")).alias("path"), F.when(F.col("doc_id") % 13 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body")).alias("body"))
+    return integrity.mismatched_raw(edited) if files is not None else edited
+
+
+_DIFF = f"""WITH {FILES}, p AS (SELECT doc_type, path, CASE WHEN f.mtime IS NULL THEN 'delete' WHEN d.mtime IS NULL THEN 'index' WHEN f.mtime <> d.mtime OR f.size <> d.size THEN 'index' ELSE 'skip' END AS action
+  FROM files f FULL JOIN docs d USING (doc_type, path))"""
+
+
+@query(f"{_DIFF} SELECT doc_type, path, action FROM p")
+def reconcile_diff(spark, sf):
+    return integrity.diff(_files(spark, sf), views.docs(spark, sf))
+
+
+@query(f"{_DIFF} SELECT action, count(*) AS n FROM p GROUP BY action")
+def reconcile_report(spark, sf):
+    return integrity.report(integrity.diff(_files(spark, sf), views.docs(spark, sf)))
+
+
+@query(f"{_DIFF} SELECT (SELECT count(*) FROM p WHERE action = 'delete') AS n_delete, count(*) AS n_docs, (SELECT count(*) FROM p WHERE action = 'delete') <= greatest(10.0, count(*) * 0.5) AS allowed FROM docs")
+def delete_guard(spark, sf):
+    return integrity.guard(integrity.diff(_files(spark, sf), views.docs(spark, sf)), views.docs(spark, sf))
+
+
+@query()
+def lint_all(spark, sf):
+    pages = views.linked_pages(spark, sf).withColumn("title", F.col("stem"))
+    return integrity.repair_plan(integrity.lint(_files(spark, sf), views.docs(spark, sf), pages, "model-a"))
+
+
+# --- store and jobs --------------------------------------------------------------------------------
+
+
+def _incoming(spark, sf) -> DataFrame:
+    rows = views.docs(spark, sf).filter("doc_id % 6 = 0")
+    changed = rows.withColumns({"hash": F.when(F.col("doc_id") % 12 == 0, F.sha2(F.concat("body", F.lit("v2")), 256)).otherwise(F.col("hash")), "mtime": F.col("mtime") + 5})
+    return changed.unionByName(rows.withColumns({"path": F.concat(F.lit("wiki/new-"), F.col("doc_id").cast("string"), F.lit(".md")), "doc_type": F.lit("wiki")}))
+
+
+INCOMING = DOCS + """, inc AS (SELECT doc_type, path, CASE WHEN doc_id % 12 = 0 THEN sha256(body || 'v2') ELSE hash END AS hash, mtime + 5 AS mtime FROM docs WHERE doc_id % 6 = 0
+  UNION ALL SELECT 'wiki', 'wiki/new-' || doc_id || '.md', hash, mtime FROM docs WHERE doc_id % 6 = 0)"""
+
+
+@query(f"WITH {INCOMING} SELECT doc_type, path, CASE WHEN d.hash IS NULL THEN 'inserted' WHEN d.hash <> inc.hash THEN 'updated' ELSE 'unchanged' END AS outcome FROM inc LEFT JOIN docs d USING (doc_type, path)")
+def upsert_outcome(spark, sf):
+    return store.outcome(views.docs(spark, sf), _incoming(spark, sf))
+
+
+@query(f"WITH {INCOMING} SELECT doc_type, path, hash, mtime FROM inc UNION ALL SELECT doc_type, path, hash, mtime FROM docs ANTI JOIN inc USING (doc_type, path)")
+def upsert_rows(spark, sf):
+    return store.upsert(views.docs(spark, sf), _incoming(spark, sf)).select("doc_type", "path", "hash", "mtime")
+
+
+@query(f"WITH {CHUNKS} SELECT hash, seq FROM chunks WHERE hash NOT IN (SELECT hash FROM docs WHERE doc_type = 'wiki')")
+def orphan_chunks(spark, sf):
+    return longs(store.orphans(views.chunks(spark, sf), views.docs(spark, sf).filter("doc_type = 'wiki'")).select("hash", "seq"), "seq")
+
+
+@query(f"WITH {CHUNKS} SELECT hash, seq FROM chunks WHERE hash IN (SELECT hash FROM docs WHERE doc_type = 'wiki')")
+def gc_chunks(spark, sf):
+    return longs(store.collect_garbage(views.chunks(spark, sf), views.docs(spark, sf).filter("doc_type = 'wiki'")).select("hash", "seq"), "seq")
+
+
+@query(f"WITH {MEMBERS}, m AS (SELECT doc_id, 'team' AS name FROM docs WHERE doc_id % 10 = 0), r AS (SELECT * FROM members WHERE doc_id NOT IN (SELECT doc_id FROM m) UNION ALL SELECT * FROM m) SELECT doc_id, name FROM r UNION ALL SELECT doc_id, 'default' FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM r)")
+def member_replace(spark, sf):
+    rows = views.docs(spark, sf)
+    team = rows.filter("doc_id % 10 = 0").select("doc_id", F.lit("team").alias("name"))
+    return store.ensure_default(rows, store.replace_members(views.members(spark, sf), team))
+
+
+@query(f"WITH {MEMBERS} SELECT DISTINCT doc_id, name FROM (SELECT * FROM members UNION ALL SELECT doc_id, 'en' FROM docs WHERE doc_id % 3 = 0)")
+def member_union(spark, sf):
+    return store.union_members(views.members(spark, sf), views.docs(spark, sf).filter("doc_id % 3 = 0").select("doc_id", F.lit("en").alias("name")))
+
+
+_NOW = "(SELECT max(ts) FROM events)"
+
+
+def _now(spark, sf):
+    return F.lit(views.table(spark, sf, "events").agg(F.max("ts")).first()[0])
+
+
+@query(f"WITH {JOBS} SELECT job_id, status FROM jobs WHERE NOT (status IN ('completed', 'failed') AND updated_at < {_NOW} - INTERVAL 7 DAY)")
+def prune_jobs(spark, sf):
+    return J.prune(views.jobs(spark, sf), _now(spark, sf), 7).select("job_id", "status")
+
+
+@query(f"WITH {JOBS} SELECT job_id, CASE WHEN status = 'processing' THEN 'failed' ELSE status END AS status, CASE WHEN status = 'processing' THEN {_NOW} ELSE updated_at END AS updated_at FROM jobs")
+def recover_jobs(spark, sf):
+    return J.recover(views.jobs(spark, sf), _now(spark, sf)).select("job_id", "status", "updated_at")
+
+
+@query(f"WITH {JOBS} SELECT job_id, CASE WHEN status = 'failed' AND CAST(job_id AS BIGINT) % 2 = 0 THEN 'pending' ELSE status END AS status FROM jobs UNION ALL SELECT 'new-' || job_id, 'pending' FROM jobs WHERE CAST(job_id AS BIGINT) % 1000 = 0")
+def insert_jobs(spark, sf):
+    rows = views.jobs(spark, sf)
+    again = rows.filter("cast(job_id as long) % 2 = 0").withColumn("status", F.lit("pending"))
+    fresh = rows.filter("cast(job_id as long) % 1000 = 0").withColumns({"job_id": F.concat(F.lit("new-"), "job_id"), "status": F.lit("pending")})
+    return J.insert_jobs(rows, again.unionByName(fresh)).select("job_id", "status")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS key, min(ts) AS created_at FROM events GROUP BY user_id")
+def cache_first_writer(spark, sf):
+    rows = views.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("result"), F.col("ts").alias("created_at"))
+    return J.insert_cache(rows.limit(0), rows).select("key", "created_at")
+
+
+# --- transcripts -----------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT conv_id, string_agg('## ' || CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE role END || chr(10) || trim(text) || chr(10), chr(10) ORDER BY turn,
+    '## ' || CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE role END || chr(10) || trim(text) || chr(10)) AS text FROM conversations GROUP BY conv_id"""
+)
+def turns_render(spark, sf):
+    return sessions.render(views.html_turns(spark, sf))
+
+
+@query("SELECT conv_id, CASE WHEN max(CASE WHEN role = 'user' THEN 1 ELSE 0 END) = 0 OR max(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) = 0 THEN 'non_substantive' ELSE 'pass' END AS filter FROM conversations GROUP BY conv_id")
+def session_class(spark, sf):
+    return sessions.classify(views.html_turns(spark, sf))
+
+
+# --- semantic chunks -------------------------------------------------------------------------------
+
+
+def _groups(spark, sf) -> DataFrame:
+    return views.table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("hash"), F.col("vec_id").alias("seq"), "embedding")
+
+
+_SEM = f"""WITH g AS (SELECT CAST(label AS VARCHAR) AS hash, vec_id AS seq, embedding, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS q FROM embeddings),
+d AS (SELECT hash, seq, CASE WHEN q IS NOT NULL THEN 1.0 - ({_COS}) END AS distance FROM g),
+l AS (SELECT *, quantile_cont(distance, 0.95) OVER (PARTITION BY hash) AS lim FROM d)"""
+
+
+@query(f"{_SEM} SELECT hash, seq, round(distance, 6) AS distance FROM d")
+def sem_distance(spark, sf):
+    return rounded(chunking.percentile_breaks(_groups(spark, sf)).select("hash", "seq", "distance"), "distance")
+
+
+@query(f"{_SEM} SELECT hash, seq, CAST(coalesce(sum(CASE WHEN distance > lim THEN 1 ELSE 0 END) OVER (PARTITION BY hash ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS chunk FROM l")
+def sem_breaks(spark, sf):
+    return longs(chunking.percentile_breaks(_groups(spark, sf)).select("hash", "seq", "chunk"), "chunk")
+
+
+@query(f"{_SEM} SELECT hash, round(quantile_cont(distance, 0.95), 6) AS p95 FROM d GROUP BY hash")
+def percentile95(spark, sf):
+    return rounded(chunking.percentile_breaks(_groups(spark, sf)).groupBy("hash").agg(F.max("limit").alias("p95")), "p95")
+
+
+# --- custom code: rows only ------------------------------------------------------------------------
+
+
+@query()
+def pack_transcript(spark, sf):
+    return chunking.pack_sessions(views.html_turns(spark, sf), 4000)
+
+
+@query()
+def pack_markdown(spark, sf):
+    return chunking.pack_documents(views.docs(spark, sf), 2000, 100)
+
+
+@query()
+def sentence_split(spark, sf):
+    return chunking.split_documents(views.docs(spark, sf), 256, 32)
+
+
+@query()
+def chunk_pipeline(spark, sf):
+    return chunking.full_pipeline(views.docs(spark, sf))
+
+
+@query()
+def forward_link(spark, sf):
+    targets = [(r["stem"], r["title"]) for r in views.docs(spark, sf).filter("doc_type = 'wiki' and doc_id < 200").select("stem", "title").collect()]  # at most 50 rows
+    return links.maintain(views.docs(spark, sf).filter("doc_type = 'wiki'"), targets)
+
+
+@query()
+def mock_embed(spark, sf):
+    return views.chunks(spark, sf).filter("seq = 0").select("hash", embed_column(F.col("chunk_text"), 64).alias("embedding"))
+
+
+@query()
+def porter_stem(spark, sf):
+    from quillspark.functions.porter import stem_udf
+
+    return views.table(spark, sf, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(lexical.TOKEN), F.lit(0)))).alias("term")).distinct().withColumn("stem", stem_udf("term"))
+
+
+@query()
+def plan_diff(spark, sf):
+    return ingest.diff_rows(views.docs(spark, sf).filter("doc_type = 'wiki'").select(F.col("doc_id").alias("id"), F.col("body").alias("old"), F.concat("body", F.lit("\nadded line\n")).alias("new")))
+
+
+@query(
+    f"WITH {DOCS}, p AS (SELECT stem AS slug, CASE doc_id % 3 WHEN 0 THEN hash WHEN 1 THEN sha256('x') END AS h, doc_id % 10 = 0 AS dropped FROM docs WHERE doc_type = 'wiki') "
+    "SELECT slug, CASE WHEN dropped THEN 'dropped' WHEN p.h IS NULL THEN 'conflict' WHEN p.h <> docs.hash THEN 'conflict' ELSE 'apply' END AS verdict FROM p JOIN docs ON stem = slug"
+)
+def plan_apply(spark, sf):
+    rows = views.docs(spark, sf).filter("doc_type = 'wiki'")
+    seen = F.when(F.col("doc_id") % 3 == 0, F.col("hash")).when(F.col("doc_id") % 3 == 1, F.sha2(F.lit("x"), 256))
+    plan = rows.select(F.col("stem").alias("slug"), seen.alias("merge_target_hash"), (F.col("doc_id") % 10 == 0).alias("dropped"), F.lit(False).alias("committed"))
+    return ingest.apply_plan(plan, rows)
+
+
+@query("SELECT 'doc-' || sha256(source || chr(0) || sha256(text)) AS job_id, sha256(text) AS content_hash FROM documents WHERE trim(text) <> ''")
+def document_jobs(spark, sf):
+    rows = views.table(spark, sf, "documents").select(F.col("source").alias("source_path"), "text")
+    return ingest.document_jobs(rows).select("job_id", "content_hash")
+
+
+def _answer(chunk: str) -> str:
+    """A stand-in model: one page a chunk, named by its first two words."""
+    import json
+
+    words = chunk.split()
+    return json.dumps({"pages": [{"slug": "-".join(words[:2]), "title": " ".join(words[:2]), "body": chunk[:200]}]})
+
+
+@query()
+def ingest_pages(spark, sf):
+    rows = views.table(spark, sf, "documents").select(F.col("source").alias("source_path"), "text")
+    return ingest.extract(ingest.document_jobs(rows), _answer, limit=100)
+
+
+@query()
+def query_embedding(spark, sf):
+    """Retrieval with the default embedder's own vectors."""
+    first = views.chunks(spark, sf).filter("seq = 0")
+    vecs = first.select("hash", "seq", embed_column(F.col("chunk_text"), 64).alias("embedding"))
+    return rounded(V.nearest(vecs, embed("heon of the ouen", 64), 20).select("hash", "score"), "score")
