@@ -84,7 +84,7 @@ class Items:
         words = Words(pa.array(texts, pa.string()), lower=True)
         h, first = words.hashes(), words.first
         rows = [(i, h[a:b]) for i, a, b in zip(ids, first[:-1], first[1:], strict=True) if b > a]
-        self.ids = np.array([i for i, _ in rows], np.int64)
+        self.ids = [i for i, _ in rows]
         self.words = [w for _, w in rows]
         self.size = np.array([len(w) for w in self.words], np.int64)
         self.edits = np.array([allowed_edits(int(n)) for n in self.size], np.int64)
@@ -223,7 +223,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 if found:
                     rows = np.array(found, np.int64)
                     yield pa.record_batch(
-                        [batch.column("doc_id").take(pa.array(rows[:, 0])), pa.array(items.ids[rows[:, 1]]), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3])],
+                        [batch.column("doc_id").take(pa.array(rows[:, 0])), pa.array([items.ids[k] for k in rows[:, 1]], pa.int64()), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3])],
                         names=["doc_id", "item_id", "distance", "first_word"],
                     )
 
