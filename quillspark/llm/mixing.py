@@ -41,13 +41,13 @@ BAND = 0.02
 SYMBOLS = "[#*$%&|<>!]"
 
 
-SPACES = " \t\n\x0b\x0c\r"
+SPACES = " \t\n\x0b\x0c\r.,;:?"
 
 
 def words_column(text: Column) -> Column:
-    """The lower-case words of a text."""
+    """The lower-case words of a text, apart by white space and the marks ``. , ; : ?``."""
     body = F.btrim(F.lower(text), F.lit(SPACES))
-    return F.when(F.length(body) > 0, F.split(body, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(body) > 0, F.split(body, r"[\x20\x09-\x0D.,;:?]+")).otherwise(F.array().cast("array<string>"))
 
 
 def features_of(words: Column, distinct: Column, text: Column) -> Column:
