@@ -85,9 +85,9 @@ def lint(files: DataFrame, docs: DataFrame, pages: DataFrame, model: str) -> Dat
 
 def still_present(found: DataFrame, now: DataFrame) -> DataFrame:
     """Issues with whether a fresh check still finds them; the others are stale and are not repaired."""
-    fresh = now.select("kind", "page", "target").distinct().withColumn("_here", F.lit(True))
-    same = found["kind"].eqNullSafe(fresh["kind"]) & found["page"].eqNullSafe(fresh["page"]) & found["target"].eqNullSafe(fresh["target"])
-    return found.join(fresh, same, "left").select(found["kind"], found["page"], found["target"], F.coalesce("_here", F.lit(False)).alias("present"))
+    fresh = now.select(F.col("kind").alias("k"), F.col("page").alias("p"), F.col("target").alias("t")).distinct().withColumn("here", F.lit(True))
+    same = F.col("kind").eqNullSafe(F.col("k")) & F.col("page").eqNullSafe(F.col("p")) & F.col("target").eqNullSafe(F.col("t"))
+    return found.join(fresh, same, "left").select("kind", "page", "target", F.coalesce("here", F.lit(False)).alias("present"))
 
 
 REPAIRS = {
