@@ -3,11 +3,12 @@
 Rounds rewrite each document's words: a run of one symbol becomes a symbol, then every pair whose left
 symbol flips tails and right symbol heads in that round becomes one. A symbol's name is a hash of what
 it stands for and of the round, and its coin a hash of its name, so all tasks give equal substrings the
-same names without an exchange: inside a repeat of 50 words, at most 1 + 2 + 4 symbols' words (twice
-that where words come doubled) at either end depend on what lies outside. After three rounds at least
-22 words of whole symbols agree in every occurrence. A symbol has at most 8 words, and from each span of
-15 words the longest symbol is kept, so each repeat has a kept symbol in common; runs of three words or
-more are kept always, named by what they repeat.
+same names without an exchange: inside a repeat of 50 words, at most 1 + 2 symbols' words (twice that
+where words come doubled) at either end depend on what lies outside. After two rounds at least 38 words
+of whole symbols, of at most 8 words each, agree in every occurrence. From each span of 12 words the
+longest symbol is picked; it and those after it, to 12 words or more, are one symbol of the top level.
+Span and top symbol fit into the 38 words, so each repeat has a top symbol in common. Runs of three words
+or more are kept always, named by what they repeat.
 
 High-level symbols that two different texts share reveal where repeats may be; windows of 50 words that
 touch one are then compared by 128-bit fingerprints, which verifies them, and the words covered by a
@@ -25,17 +26,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import materialise, prepare_python, slices
 from quillspark.llm.fixed_tables import KeyFilter, bits_for, key_filter
-from quillspark.llm.hashing import U, Words, mix, windows
+from quillspark.llm.hashing import BASES, INVERSES, U, Words, mix, powers, windows
 
 WINDOW = 50
-ROUNDS = 3
+ROUNDS = 2
 MAX_SYMBOL = 8
-SPAN = 15
+#: Words of a span, and of a top symbol, at least.
+SPAN = 12
+TOP = 12
 RUN_WORDS = 3
 #: Texts that a task remembers, to take the copies of a text once a task.
 RECENT = 200_000
@@ -73,7 +76,7 @@ def recompress(names: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def kept_symbols(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, first word, words) of the symbols that stand for the document: the longest of each span, and long runs."""
+    """(name, first word, words) of the top symbols that stand for the document, and of its long runs."""
     name, start, length, runs = recompress(words, doc)
     n = len(name)
     if not n:
@@ -95,7 +98,15 @@ def kept_symbols(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nda
         here = level == k
         a, b = best[k][at[here]], best[k][end[here] - 2**k + 1]
         picked[np.where(key[a] >= key[b], a, b)] = True
-    return tuple(np.concatenate([x[picked], y]) for x, y in zip((name, start, length), runs, strict=True))
+    p = np.flatnonzero(picked)
+    ends = start + length
+    q = np.searchsorted(ends, start[p] + TOP)
+    whole = q < n
+    whole[whole] = of[q[whole]] == of[p[whole]]
+    p, q = p[whole], q[whole]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(name * powers(BASES[0], n))])
+    top = mix((sums[q + 1] - sums[p]) * powers(INVERSES[0], n)[p] + (q - p).astype(np.uint64))
+    return tuple(np.concatenate([x, y]) for x, y in zip((top, start[p], ends[q] - start[p]), runs, strict=True))
 
 
 def _digests(words: Words, which: int, h: np.ndarray) -> np.ndarray:
@@ -225,9 +236,10 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = materialise(_heads(docs), "heads")
     shared = _symbols(docs).groupBy("name").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("name")
     shared = materialise(shared, "symbols")
-    found = _windows(docs, key_filter(shared, "name", bits_for(shared.count())))
-    least = F.min("doc_id").over(Window.partitionBy("w1", "w2"))
-    hits = found.withColumn("least", least).filter("doc_id > least")
+    found = materialise(_windows(docs, key_filter(shared, "name", bits_for(shared.count()))), "windows")
+    # sums before the exchange, then a join that may split: a passage of a third of all rows does not meet in one task
+    least = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
+    hits = found.join(least, ["w1", "w2"]).filter("doc_id > least")
     return heads, materialise(hits.groupBy("doc_id", "cls").agg(F.collect_set("pos").alias("starts")), "starts")  # a list a document
 
 
