@@ -94,7 +94,7 @@ def prepare_python(spark: SparkSession) -> None:
 
     A cluster installs the package or ships it with ``--py-files``; the path helps local and shared-disk runs.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(":"):

@@ -205,13 +205,15 @@ def _fits(n1: Column, n2: Column, percent: int) -> Column:
     return (n1 * 100 >= n2 * percent) & (n2 * 100 >= n1 * percent)
 
 
-def _likely(met: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that met in enough tiles and whose bitmaps allow the threshold."""
+def _bound(percent: int) -> Column:
+    """Whether bitmaps ``s`` and ``t`` of sets of ``n1`` and ``n2`` allow the threshold."""
+    return overlap_bound(F.col("s"), F.col("t"), F.col("n1"), F.col("n2")) >= needed_overlap(F.col("n1"), F.col("n2"), percent)
+
+
+def _often(met: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that met in enough tiles."""
     enough = F.least(F.lit(COMMON), F.ceil(F.least("n1", "n2") * percent / F.lit(100) - F.lit(1e-9)))
-    counted = met.groupBy("a", "b", "n1", "n2").agg(F.count("*").alias("tiles")).filter(F.col("tiles") >= enough)
-    signs = classes.select("cls", "bits")
-    bound = overlap_bound(F.col("s"), F.col("t"), F.col("n1"), F.col("n2")) >= needed_overlap(F.col("n1"), F.col("n2"), percent)
-    return counted.join(signs.withColumnsRenamed({"cls": "a", "bits": "s"}), "a").join(signs.withColumnsRenamed({"cls": "b", "bits": "t"}), "b").filter(bound).select("a", "b")
+    return met.groupBy("a", "b", "n1", "n2").agg(F.count("*").alias("tiles")).filter(F.col("tiles") >= enough)
 
 
 def _band(percent: int) -> Column:
@@ -243,17 +245,21 @@ def linked_classes(docs: DataFrame, size: int, percent: int, counts: np.ndarray,
         .filter(_fits(F.col("n1"), F.col("n2"), percent))
     )
     # a pair may be neighbours in some of its tiles only: fewer than COMMON meetings leave it to the second pass
-    first = _verify(_likely(met, classes, percent), docs, size, percent)
+    signs = classes.select("cls", "bits")
+    likely = _often(met, percent).join(signs.withColumnsRenamed({"cls": "a", "bits": "s"}), "a").join(signs.withColumnsRenamed({"cls": "b", "bits": "t"}), "b").filter(_bound(percent))
+    first = _verify(likely, docs, size, percent)
 
     labels = components(first).withColumnsRenamed({"node": "cls", "component": "label"})
     known = tiles.select("shingle", "cls", "n").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     mixed = known.withColumns({"lo": F.min("label").over(by_shingle), "hi": F.max("label").over(by_shingle)}).filter("lo <> hi").select("shingle", "cls", "n", "label", _band(percent).alias("band"))
-    mixed = materialise(mixed, "mixed")
-    x = mixed.select("shingle", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("cls").alias("a"), F.col("n").alias("n1"), F.col("label").alias("l1"))
-    y = mixed.select("shingle", "band", F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("label").alias("l2"))
+    mixed = materialise(mixed.join(signs, "cls"), "mixed")
+    # bitmaps are compared within the join, so what it puts out are pairs near the threshold
+    x = mixed.select("shingle", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("cls").alias("a"), F.col("n").alias("n1"), F.col("label").alias("l1"), F.col("bits").alias("s"))
+    y = mixed.select(F.col("shingle").alias("shingle2"), F.col("band").alias("band2"), F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("label").alias("l2"), F.col("bits").alias("t"))
     smaller = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("a") < F.col("b")))
-    across = x.join(y, ["shingle", "band"]).filter(smaller & (F.col("l1") != F.col("l2")) & _fits(F.col("n1"), F.col("n2"), percent)).select("a", "b", "n1", "n2")
-    return first.union(_verify(_likely(across, classes, percent), docs, size, percent))
+    tile = (F.col("shingle") == F.col("shingle2")) & (F.col("band") == F.col("band2"))
+    across = x.join(y, tile & smaller & (F.col("l1") != F.col("l2")) & _fits(F.col("n1"), F.col("n2"), percent) & _bound(percent)).select("a", "b", "n1", "n2")
+    return first.union(_verify(_often(across, percent), docs, size, percent))
 
 
 def groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
