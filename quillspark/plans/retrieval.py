@@ -93,7 +93,7 @@ def hybrid(corpus: Corpus, question: str, probe: list[float] | None = None, expa
     payload = ("hash", "doc_type", "title")
 
     def lane(rows: DataFrame, name: str, weight: float) -> DataFrame:
-        ranked = fusion.ranked(rows, name, weight, LANE, KEYS)
+        ranked = fusion.ranked(rows, name, weight, LANE, KEYS).persist()  # at most LANE rows, used by fusion and signal
         lanes.append(ranked)
         return ranked
 
@@ -108,7 +108,7 @@ def hybrid(corpus: Corpus, question: str, probe: list[float] | None = None, expa
     for n, more in enumerate(expansion.vectors if corpus.vectors is not None else []):
         for kind in ("wiki", "raw"):
             lane(vector_lane(corpus, more, kind, collections), f"vec{n}-{kind}", EXPANDED)
-    fused = fusion.fuse(lanes, keys=KEYS, payload=payload).filter("score >= 0").orderBy("position").limit(min(top_k, MOST))
+    fused = fusion.fuse(lanes, keys=KEYS, payload=payload).filter("score >= 0").orderBy("position").limit(min(top_k, MOST)).persist()  # at most MOST rows, used by both body joins
     strong = signal_of(primary, intent is not None).agg(F.coalesce(F.max("strong"), F.lit(False)).alias("strong"))
     return (
         with_bodies(fused, corpus.chunks, question, expansion, intent)

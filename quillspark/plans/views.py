@@ -60,7 +60,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    return Corpus(docs(spark, sf_dir), chunks(spark, sf_dir), vectors(spark, sf_dir), members(spark, sf_dir))
+    """The tables of retrieval, kept, as a stored corpus would be: they are used by every lane."""
+    rows = docs(spark, sf_dir)
+    return Corpus(rows.drop("body").persist(), chunks(spark, sf_dir).persist(), vectors(spark, sf_dir).persist(), members(spark, sf_dir))
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
