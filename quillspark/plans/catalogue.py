@@ -250,7 +250,7 @@ def score_chunk(spark, sf):
     return views.table(spark, sf, "documents").select("doc_id", T.chunk_score(F.col("text"), ["tion", "zzz"], ["über"]).alias("score"))
 
 
-@query("SELECT doc_id, (contains(lower(text), 'oneswhha') OR contains(lower(text), 'shbleat') OR contains(lower(text), 'leiü')) AS kept FROM (SELECT doc_id, text FROM documents)".replace(" OR contains(lower(text), 'leiü')", ""))
+@query("SELECT doc_id, contains(lower(text), 'oneswhha') OR contains(lower(text), 'shbleat') AS kept FROM documents")
 def halluc_filter(spark, sf):
     return views.table(spark, sf, "documents").select("doc_id", T.supported_by(F.col("text"), "oneswhha? Shbleat! a").alias("kept"))
 
@@ -519,10 +519,9 @@ def missing_file(spark, sf):
 
 @query(f"WITH {DOCS} SELECT doc_type, 'raw/' || hash[1:2] || '/' || hash[3:64] AS path FROM docs WHERE doc_type = 'raw' AND doc_id % 13 = 0 AND doc_id % 11 <> 0")
 def raw_mismatch(spark, sf):
-    files = _files(spark, sf).withColumn("path", F.regexp_replace("path", "-[0-9]+(-new.md)?$", "")).filter("path not like '%new%'")
-    stems = views.docs(spark, sf).filter("doc_type = 'raw' and doc_id % 11 <> 0")
-    edited = stems.select("doc_type", T.raw_path(F.col("hash")).alias("path"), F.when(F.col("doc_id") % 13 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body")).alias("body"))
-    return integrity.mismatched_raw(edited) if files is not None else edited
+    rows = views.docs(spark, sf).filter("doc_type = 'raw' and doc_id % 11 <> 0")
+    edited = F.when(F.col("doc_id") % 13 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body"))
+    return integrity.mismatched_raw(rows.select("doc_type", T.raw_path(F.col("hash")).alias("path"), edited.alias("body")))
 
 
 _DIFF = f"""WITH {FILES}, p AS (SELECT doc_type, path, CASE WHEN f.mtime IS NULL THEN 'delete' WHEN d.mtime IS NULL THEN 'index' WHEN f.mtime <> d.mtime OR f.size <> d.size THEN 'index' ELSE 'skip' END AS action
