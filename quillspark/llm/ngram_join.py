@@ -8,7 +8,7 @@ share so many tiles are held against their bitmaps: the bits that differ bound t
 Pairs that pass get the exact intersection of their sorted arrays.
 
 Tiles are compared in two passes. The first compares each class with a few of the tile: the neighbour by
-size, and the first and the neighbour in each of three random orders. The second takes the tiles whose classes are not yet in one component,
+size, and the first and the neighbour in each of sixteen random orders. The second takes the tiles whose classes are not yet in one component,
 and compares only classes of different components. Every link either is found or lies inside a
 component, so components are exact, and groups of near copies cost their size and not its square.
 
@@ -38,7 +38,7 @@ from quillspark.llm.hashing import U, Words, mix
 BYTES_A_COUNTER = 32
 COUNT_BITS = (16, 27)
 #: Random orders in which a tile's classes meet their neighbours.
-ORDERS = 3
+ORDERS = 16
 #: Rare shingles that a pair must share before its bitmaps are compared.
 COMMON = 3
 #: Longs of a bitmap signature.
