@@ -16,7 +16,9 @@ all posteriors are equal and all rates 1; an empty table gives no rows; extra co
 
 from __future__ import annotations
 
+import json
 import math
+import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +30,10 @@ DOMAINS = ("good", "low", "toxic")
 WEIGHTS = {"good": 0.98, "low": 0.02, "toxic": 0.0}
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE_ROWS = 20_000
-#: Features that it keeps.
-FEATURES = 256
 #: Log odds against good documents from which a feature is telling.
 TELLING = 3.0
+#: Standard errors by which the log odds of a telling feature are drawn to 0, so that a rare one decides little by itself.
+CAUTION = 1.5
 #: Steps of the fit at most, the residual at which it stops, and the pull of rates to 1.
 STEPS = 40
 TOLERANCE = 1e-4
@@ -69,12 +71,12 @@ def label_domain() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "good")
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, features: int = FEATURES) -> dict:
+def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> dict:
     """Log scores of the domains without and with telling features, and the log odds of each feature against ``good``.
 
-    A feature is telling if it is far likelier in another domain than in good documents; the most
-    significant by chi-square are kept. At most ``sample`` labelled ids are drawn, by hash, so they may be
-    broadcast; the features (at most ``features`` rows) are all that reaches the driver.
+    A feature is telling if it is far likelier in another domain than in good documents; all of them are
+    kept. At most ``sample`` labelled ids are drawn, by hash, so they may be broadcast; the telling features
+    are all that reaches the driver. Each stands in five drawn rows at least, so the sample bounds them.
     """
     drawn = labels.select(F.col("doc_id").alias("_id"), label_domain().alias("domain")).filter("_id is not null and domain is not null").dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("domain", _bind(words_column(F.col("text")), lambda w: feature_column(w, F.col("text"))).alias("features"))
@@ -87,12 +89,12 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS
         return {"without": flat, "with": flat, "features": {}}
     counts = rows.select("domain", F.explode("features").alias("f")).groupBy("f").agg(*(F.sum((F.col("domain") == d).cast("long")).alias(d) for d in DOMAINS))
     total = sum(F.col(d) for d in DOMAINS)
-    share = (total + 1) / (n + 2)
-    tell = sum(F.pow(F.col(d) - totals[d] * share, 2) / (totals[d] * share * (1 - share)) for d in known)
-    odds = {d: F.log((F.col(d) + 0.5) / (totals.get(d, 0) + 1)) - F.log((F.col("good") + 0.5) / (totals["good"] + 1)) for d in DOMAINS}
-    telling = counts.withColumns({f"o_{d}": odds[d] for d in DOMAINS}).withColumn("tell", tell).filter((total >= 5) & (F.greatest(*(F.col(f"o_{d}") for d in DOMAINS)) > TELLING))
-    table = {r["f"]: [float(r[f"o_{d}"]) for d in DOMAINS] for r in telling.orderBy(F.desc("tell"), "f").limit(features).collect()}
-    hit = F.size(F.array_intersect("features", F.lit(list(table)))) > 0 if table else F.lit(False)
+    odds = {d: F.log((F.col(d) + 0.5) / (totals[d] + 1)) - F.log((F.col("good") + 0.5) / (totals["good"] + 1)) if d in known else F.lit(0.0) for d in DOMAINS}
+    error = {d: CAUTION * F.sqrt(1 / (F.col(d) + 0.5) + 1 / (F.col("good") + 0.5)) for d in DOMAINS}
+    drawn_in = {f"o_{d}": F.signum(odds[d]) * F.greatest(F.lit(0.0), F.abs(odds[d]) - error[d]) for d in DOMAINS}
+    telling = counts.filter((total >= 5) & F.greatest(*((F.col(d) > 0) & (odds[d] > TELLING) for d in known))).withColumns(drawn_in)
+    table = {r["f"]: [float(r[f"o_{d}"]) for d in DOMAINS] for r in telling.collect()}
+    hit = F.size(_present(F.col("features"), _slots(table), len(table))) > 0 if table else F.lit(False)
     hits = {r["domain"]: r["n"] for r in rows.filter(hit).groupBy("domain").agg(F.count("*").alias("n")).collect()}
     out = {"features": table, "without": dict(flat), "with": dict(flat)}
     for d in known:
@@ -103,16 +105,16 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS
 
 def scored(model: dict, text: Column) -> Column:
     """Struct of ``n``, the words of a text, and ``p``, its posteriors in the order of DOMAINS."""
-    names = list(model["features"])
+    table = model["features"]
     without = F.array(*(F.lit(float(model["without"][d])) for d in DOMAINS))
 
     def logs(present: Column) -> Column:
-        sums = [_total(present, float(model["with"][d]), F.lit(names), F.lit([model["features"][f][k] for f in names])) for k, d in enumerate(DOMAINS)]
+        sums = [_total(present, float(model["with"][d]), k) for k, d in enumerate(DOMAINS)]
         return F.when(F.size(present) == 0, without).otherwise(F.array(*sums))
 
     def classify(words: Column) -> Column:
-        if names:
-            found = _bind(F.array_intersect(feature_column(words, text), F.lit(names)), lambda present: _bind(logs(present), _softmax))
+        if table:
+            found = _bind(_present(feature_column(words, text), _slots(table), len(table)), lambda present: _bind(logs(present), _softmax))
         else:
             found = _softmax(without)
         return F.struct(F.size(words).cast("long").alias("n"), found.alias("p"))
@@ -120,8 +122,21 @@ def scored(model: dict, text: Column) -> Column:
     return _bind(words_column(F.coalesce(text, F.lit(""))), classify)
 
 
-def _total(present: Column, start: float, names: Column, odds: Column) -> Column:
-    return F.aggregate(present, F.lit(start), lambda acc, f: acc + F.element_at(odds, F.array_position(names, f).cast("int")))
+def _slots(table: dict[str, list[float]]) -> Column:
+    """The features as a hash table in one constant: a slot a feature, each a list of (feature, log odds)."""
+    slots: list[list[dict]] = [[] for _ in table]
+    for f in sorted(table):
+        slots[zlib.crc32(f.encode()) % len(slots)].append({"f": f, "o": table[f]})
+    return F.from_json(F.lit(json.dumps(slots)), "array<array<struct<f: string, o: array<double>>>>")
+
+
+def _present(features: Column, slots: Column, n: int) -> Column:
+    """The entries of those features of a document that are telling; each is looked for in its slot alone."""
+    return F.flatten(F.transform(features, lambda f: F.filter(slots[F.pmod(F.crc32(F.encode(f, "UTF-8")), F.lit(n)).cast("int")], lambda e: e["f"] == f)))
+
+
+def _total(present: Column, start: float, k: int) -> Column:
+    return F.aggregate(present, F.lit(start), lambda acc, e: acc + e["o"][k])
 
 
 def _softmax(logs: Column) -> Column:

@@ -289,6 +289,29 @@ def test_classifier_on_held_out_labels(spark, tiny):
     assert np.mean(toxic) > 0.85 and np.mean(clean) > 0.97
 
 
+def test_classifier_keeps_every_telling_feature(spark):
+    rows = [(i, f"plain word{i % 40} insult{i % 300} slur{i % 300}", 1, 1) for i in range(1800)] + [(2000 + i, f"plain word{i % 40} junk{i % 300} scrap{i % 300}", 0, 0) for i in range(6000)]
+    rows += [(9000 + i, f"plain word{i % 40} text{i}", 1, 0) for i in range(6000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    model = mixing.fit_classifier(table, table.drop("text"))
+    assert {f"{w}{i}" for i in range(300) for w in ("insult", "slur", "junk", "scrap")} <= set(model["features"]) and "plain" not in model["features"]
+    fresh = spark.createDataFrame([(f"plain words about insult{i} slur{i}",) for i in range(300)], "text string")
+    assert all(r[0][2] > 0.5 for r in fresh.select(mixing.scored(model, F.col("text"))["p"]).collect())
+
+
+def test_an_absent_domain_makes_no_feature_telling(spark):
+    rows = [(i, f"word{i % 200} junk" if i % 3 == 0 else f"word{i % 200}", int(i % 3 > 0), 0) for i in range(6000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    assert set(mixing.fit_classifier(table, table.drop("text"))["features"]) - {"\tvariety 10"} == {"junk"}
+
+
+def test_toxic_recall_on_held_out_labels(spark, tiny):
+    docs, labels = (spark.read.parquet(f"{tiny.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
+    model = mixing.fit_classifier(docs, labels.filter("doc_id % 3 <> 0"))
+    rows = docs.join(labels.filter("doc_id % 3 = 0 and toxic = 1 and quality = 1"), "doc_id").select(mixing.scored(model, F.col("text"))["p"][2]).collect()
+    assert np.mean([r[0] > 0.5 for r in rows]) > 0.93
+
+
 # --- sharding --------------------------------------------------------------------------------------
 
 
