@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import embedder, porter
 from quillspark.functions import text as T
-from quillspark.operators import chunking, fusion, integrity, jobs, lexical, links, store
+from quillspark.operators import chunking, fusion, integrity, jobs, lexical, links, store, vectors
 from quillspark.operators.lexical import Clause
 from quillspark.plans import ingest
 from quillspark.plans.retrieval import Corpus, ask, hybrid, title_lookup, with_bodies
@@ -257,6 +257,13 @@ def test_hybrid_and_question(spark, corpus):
     assert best["body"] == "gravity waves"
 
 
+def test_knn_join_answers_every_query(spark):
+    vecs = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [0.0, 1.0])], "hash long, seq int, embedding array<float>")
+    queries = spark.range(10_050).select(F.col("id").alias("qid"), F.array(F.lit(1.0), (F.col("id") % 2 * 3).cast("double")).cast("array<float>").alias("probe"))
+    rows = vectors.knn_join(queries, vecs, 1).collect()
+    assert {r["qid"]: r["hash"] for r in rows} == {i: 1 + i % 2 for i in range(10_050)} and len(rows) == 10_050
+
+
 def test_change_stream(spark, tmp_path):
     folder = tmp_path / "events"
     folder.mkdir()
