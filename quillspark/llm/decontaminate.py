@@ -158,7 +158,7 @@ class Items:
             return []
         words = Words(column, lower=True)
         h, doc, first = words.hashes(), words.doc, words.first
-        found: set[tuple[int, int]] = set()
+        found: set[tuple[int, int, int]] = set()
         for length, table in self.parts.items():
             w = windows(h, length)
             if not len(w):
@@ -166,17 +166,14 @@ class Items:
             at = bucket(w, FILTER_BITS)
             hit = np.flatnonzero((self.filters[length][at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             hit = hit[doc[hit] == doc[hit + length - 1]]
-            for p, key in zip(hit.tolist(), w[hit].tolist(), strict=True):
+            for p, key, r in zip(hit.tolist(), w[hit].tolist(), doc[hit].tolist(), strict=True):
                 for k, offset in table.get(key, ()):
-                    found.add((p - offset, k))
+                    found.add((r, p - offset, k))
         if not found:
             return []
         places = np.array(sorted(found), np.int64)
-        start, item = places[:, 0], places[:, 1]
-        # the row of the part that was found: the start may lie before the text
-        inside = np.clip(start + self.size[item] - 1, 0, len(h) - 1)
-        row = doc[np.minimum(np.maximum(start, 0), len(h) - 1)]
-        row = np.where(doc[inside] > row, np.where(start < first[1:][row] - self.size[item] // 2, row, doc[inside]), row)
+        # the row is that of the part that was found: the start may lie before the text, the end behind it
+        row, start, item = places.T
         begin = np.clip(start, first[row], first[row + 1])
         length = np.minimum(self.size[item], first[row + 1] - begin)
         strings = h[np.minimum(begin[:, None] + np.arange(self.width), len(h) - 1)]

@@ -373,6 +373,16 @@ def test_pair_network_is_a_permutation(spark):
 # --- decontamination -------------------------------------------------------------------------------
 
 
+def test_items_cut_at_both_ends_are_found_between_other_texts():
+    items = [" ".join(f"item{k}word{i}" for i in range(20)) for k in range(40)]
+    block = D.Items(list(range(40)), items)
+    texts = []
+    for k in range(40):
+        texts += [" ".join(words(60)), " ".join(items[k].split()[1:-1])]
+    found = block.search(pa.array([*texts, " ".join(words(60))]))
+    assert {(r, k, d) for r, k, d, _ in found} == {(2 * k + 1, k, 2) for k in range(40)}
+
+
 def test_edited_items_are_found_and_clean_texts_left():
     items = [" ".join(words(rng.randint(12, 50))) for _ in range(60)]
     block = D.Items(list(range(60)), items)
