@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,6 +15,8 @@ from quillspark.operators.lexical import TOKEN
 
 #: Pages that linking code may hold on a worker, at most; larger wikis are linked in blocks of so many.
 BLOCK_PAGES = 50_000
+#: Characters of a pattern by which it is looked for.
+PIECE = 12
 
 
 def edges(pages: DataFrame, body: str = "body", stem: str = "stem") -> DataFrame:
@@ -82,19 +85,55 @@ def _free_mention(body: str, pattern: str) -> tuple[int, int] | None:
     return None
 
 
-def maintain(pages: DataFrame, targets: list[tuple[str, str]]) -> DataFrame:
-    """(stem, body, linked): each page rewritten once with links to the new pages (hyphenated stems only)."""
-    new = [(s, t) for s, t in targets if "-" in s]
-    if len(new) > BLOCK_PAGES:
-        raise ValueError(f"link in blocks of at most {BLOCK_PAGES} pages")
-    shared = pages.sparkSession.sparkContext.broadcast(new)
+class Targets:
+    """A block of link targets in linking order, and the few of them that a body can mention at all.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [link_forward(b or "", shared.value, s) for s, b in zip(batch["stem"], batch["body"], strict=True)]
-            yield pd.DataFrame({"stem": batch["stem"], "body": [x[0] for x in out], "linked": [x[1] for x in out]})
+    A pattern is looked for by an ASCII piece of it, folded as ``re.IGNORECASE`` folds; patterns without one,
+    and those with brackets, which could meet inserted links, are tried on every body.
+    """
 
-    return pages.select("stem", "body").mapInPandas(run, "stem string, body string, linked array<string>")
+    FOLD = {0x17F: "s", 0x131: "i", 0x130: "i", 0x212A: "k"}
+
+    def __init__(self, targets: list[tuple[str, str]]):
+        self.targets = targets
+        self.always: list[int] = []
+        self.pieces: dict[int, dict[str, list[int]]] = {}
+        for k, (stem, title) in enumerate(targets):
+            for pattern in {title, stem.replace("-", " ")} - {""}:
+                n = min(len(pattern), PIECE)
+                piece = next((p for i in range(len(pattern) - n + 1) if (p := pattern[i : i + n]).isascii()), None)
+                if piece is None or "[" in pattern or "]" in pattern:
+                    self.always.append(k)
+                else:
+                    self.pieces.setdefault(n, {}).setdefault(piece.lower(), []).append(k)
+
+    def mentioned(self, body: str) -> list[tuple[str, str]]:
+        text = body.translate(self.FOLD).lower()
+        met = set(self.always)
+        for n, table in self.pieces.items():
+            for piece in {text[i : i + n] for i in range(len(text) - n + 1)} & table.keys():
+                met.update(table[piece])
+        return [self.targets[k] for k in sorted(met)]
+
+
+def maintain(pages: DataFrame, targets: DataFrame, block: int = BLOCK_PAGES) -> DataFrame:
+    """(stem, body, linked): each page rewritten with links to all targets (stem, title; hyphenated stems only).
+
+    Targets come in blocks of at most ``block``, longest titles first over all blocks, so the result is that of one block.
+    """
+    ordered = targets.filter(F.col("stem").contains("-")).select("stem", F.coalesce("title", F.lit("")).alias("title")).orderBy(F.desc(F.octet_length("title")), "stem")
+    out = pages.select("stem", F.coalesce("body", F.lit("")).alias("body"), F.array().cast("array<string>").alias("linked"))
+    rows = ((r["stem"], r["title"]) for r in ordered.toLocalIterator())
+    while new := list(islice(rows, block)):
+        shared = pages.sparkSession.sparkContext.broadcast(Targets(new))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                done = [link_forward(b, shared.value.mentioned(b), s) for s, b in zip(batch["stem"], batch["body"], strict=True)]
+                yield pd.DataFrame({"stem": batch["stem"], "body": [x[0] for x in done], "linked": [[*old, *x[1]] for old, x in zip(batch["linked"], done, strict=True)]})
+
+        out = out.mapInPandas(run, "stem string, body string, linked array<string>")
+    return out
 
 
 def pages_listing(pages: DataFrame, source: str) -> DataFrame:

@@ -693,8 +693,8 @@ def chunk_pipeline(spark, sf):
 
 @query()
 def forward_link(spark, sf):
-    targets = [(r["stem"], r["title"]) for r in views.docs(spark, sf).filter("doc_type = 'wiki' and doc_id < 200").select("stem", "title").collect()]  # at most 50 rows
-    return links.maintain(views.docs(spark, sf).filter("doc_type = 'wiki'"), targets)
+    wiki = views.docs(spark, sf).filter("doc_type = 'wiki'")
+    return links.maintain(wiki, wiki)
 
 
 @query()

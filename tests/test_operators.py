@@ -135,6 +135,22 @@ def test_links():
     assert links.scrub("a [[known]] b [[un-known]] c [[open", {"known"}) == "a [[known]] b un known c [[open"
 
 
+def test_forward_links_to_all_pages_in_blocks(spark, tiny):
+    from quillspark.plans import catalogue, views
+
+    small = tiny.replace("0.001", "0.01")
+    pages = [(r["stem"], r["title"], r["body"]) for r in views.docs(spark, small).filter("doc_type = 'wiki'").collect()]
+    names = [p[:2] for p in pages]
+    truth = {s: links.link_forward(b, names, s) for s, _, b in pages}
+    assert {r["stem"]: (r["body"], r["linked"]) for r in catalogue.QUERIES["forward_link"](spark, small).collect()} == truth
+    assert any(int(s.split("-")[1]) >= 200 for _, linked in truth.values() for s in linked)
+    rows = [("a-b", "K\u0130\u017f x", "\u212ai\u017f X and c d, a b, c d"), ("c-d", "Kis", "kıS X [[c d"), ("e-f", "\u00dcber [[c-d]]", "über c d"), ("g-h", "", "a b E F")]
+    table = spark.createDataFrame(rows, "stem string, title string, body string")
+    truth = {s: links.link_forward(b, [r[:2] for r in rows], s) for s, _, b in rows}
+    for size in (1, 3, 9):
+        assert {r["stem"]: (r["body"], r["linked"]) for r in links.maintain(table, table, size).collect()} == truth
+
+
 def test_snapshot_table(spark, tmp_path):
     table = store.SnapshotTable(spark, f"file://{tmp_path}/t")
     assert table.current() is None
