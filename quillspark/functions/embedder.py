@@ -46,4 +46,5 @@ def embed_column(text: Column, dim: int = DIM) -> Column:
 
     words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
     counts = F.transform(words, lambda w: F.pmod(fnv(w), F.lit(dim)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(counts, lambda c: c == i)).cast("float"))
+    # within an array of one, so that words are hashed once and not once a bucket
+    return F.transform(F.array(counts), lambda at: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(at, lambda c: c == i)).cast("float")))[0]

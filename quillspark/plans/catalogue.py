@@ -699,7 +699,7 @@ def forward_link(spark, sf):
 
 @query()
 def mock_embed(spark, sf):
-    return views.chunks(spark, sf).filter("seq = 0").select("hash", embed_column(F.col("chunk_text"), 64).alias("embedding"))
+    return views.chunks(spark, sf).select("hash", "seq", embed_column(F.col("chunk_text"), 64).alias("embedding"))
 
 
 @query()
@@ -748,6 +748,5 @@ def ingest_pages(spark, sf):
 @query()
 def query_embedding(spark, sf):
     """Retrieval with the default embedder's own vectors."""
-    first = views.chunks(spark, sf).filter("seq = 0")
-    vecs = first.select("hash", "seq", embed_column(F.col("chunk_text"), 64).alias("embedding"))
-    return rounded(V.nearest(vecs, embed("heon of the ouen", 64), 20).select("hash", "score"), "score")
+    vecs = views.chunks(spark, sf).select("hash", "seq", embed_column(F.col("chunk_text"), 64).alias("embedding"))
+    return rounded(V.collapse(V.scored(vecs, embed("heon of the ouen", 64)), 20).select("hash", "score"), "score")

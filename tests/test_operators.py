@@ -280,6 +280,16 @@ def test_knn_join_answers_every_query(spark):
     assert {r["qid"]: r["hash"] for r in rows} == {i: 1 + i % 2 for i in range(10_050)} and len(rows) == 10_050
 
 
+def test_embedding_queries_see_every_line(spark, tmp_path):
+    from quillspark.plans import catalogue
+
+    rows = [(1, "nothing here\nheon of the ouen\nheon of the ouen"), (2, "other words\n\nheon of")]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert catalogue.QUERIES["mock_embed"](spark, f"file://{tmp_path}").count() == 5
+    found = catalogue.QUERIES["query_embedding"](spark, f"file://{tmp_path}").collect()
+    assert len(found) == 2 and found[0]["score"] == 1.0 and 0.5 < found[1]["score"] < 1.0
+
+
 def test_change_stream(spark, tmp_path):
     folder = tmp_path / "events"
     folder.mkdir()
