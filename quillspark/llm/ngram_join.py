@@ -273,10 +273,13 @@ def groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     heads = heads.filter("part is null")
     names = materialise(heads.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("name"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
     links = linked_classes(docs, size, percent, counts, names)
-    edges = links.join(names.select(F.col("cls").alias("a"), F.col("name").alias("u")), "a").join(names.select(F.col("cls").alias("b"), F.col("name").alias("v")), "b")
-    found = components(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).filter("a is not null and b is not null"))
+    # over classes, as some have no id; the smallest id in a component names it
+    found = components(links.select("a", "b"))
     heads, names = heads.select("doc_id", "n", "cls"), names.select("cls", "name")
-    named = names.join(found, names["name"] == found["node"], "left").select("cls", F.coalesce("component", "name").alias("component_id"))
+    linked = materialise(names.join(found, names["cls"] == found["node"]).select("cls", "name", "component"), "linked")
+    least = linked.groupBy("component").agg(F.min("name").alias("least"))
+    inside = linked.join(least, "component").select(F.col("cls").alias("node"), "least")
+    named = names.join(inside, names["cls"] == inside["node"], "left").select("cls", F.coalesce("least", "name").alias("component_id"))
     return heads.join(named, "cls", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -370,6 +370,20 @@ def test_pair_network_is_a_permutation(spark):
     assert tuple(r) == (189 * 773, 0, 189 * 773 - 1)
 
 
+def test_components_go_through_classes_without_ids(spark, monkeypatch):
+    a, b, c = (" ".join(f"{k}word{i}" for i in range(30)) for k in "abc")
+    docs = spark.createDataFrame([(None, a), (5, b), (3, c), (3, c), (9, "alone here in the world")], "doc_id long, text string")
+
+    def through_a(docs, size, percent, counts, names):
+        by = {r["name"]: r["cls"] for r in names.collect()}
+        return spark.createDataFrame([(by[None], by[5]), (by[None], by[3])], "a long, b long")
+
+    monkeypatch.setattr(ngram_join, "linked_classes", through_a)
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.groups(docs).collect()}
+    assert got == {(None, 3), (5, 3), (3, 3), (9, 9)}
+    assert sorted(r["doc_id"] or 0 for r in ngram_join.keep_one(docs).collect()) == [0, 3, 3, 9]
+
+
 # --- decontamination -------------------------------------------------------------------------------
 
 
