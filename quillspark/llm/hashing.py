@@ -1,37 +1,29 @@
 """Word hashes of whole Arrow string columns at once, in NumPy.
 
-A word's hash is a polynomial over its bytes modulo 2^64, taken from prefix sums, so that no Python
-object is made for a word. Random constants stand for bytes; a final mix spreads the bits.
+A word is hashed in blocks of eight bytes, each mixed in by a bijection of 64-bit words; a word of more
+than LONG_WORD bytes by BLAKE2b. Polynomials modulo 2^64 are not used: structured words collide in them
+whatever the base. Windows are put together from halves, mixed at every step.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
 U = np.uint64
-_rng = np.random.default_rng(20_240_611)
-#: For each of two independent hashes: a constant for every byte, an odd base.
-BYTE_VALUES = _rng.integers(1, 2**63, (2, 256), dtype=np.uint64) * U(2) + U(1)
-BASES = [int(x) * 2 + 1 for x in _rng.integers(1, 2**62, 2, dtype=np.uint64)]
-INVERSES = [pow(b, -1, 2**64) for b in BASES]
+#: Seeds and odd factors of two independent hashes.
+SEEDS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+LEFT = (U(0xC2B2AE3D27D4EB4F), U(0x9FB21C651E98DF25))
+RIGHT = (U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93))
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        step = np.full(size, base, np.uint64)
-        step[0] = 1
-        have = _powers[base] = np.cumprod(step)
-    return have[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -79,19 +71,41 @@ class Words:
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        base, inverse, n = BASES[which], INVERSES[which], len(self.data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[which][self.data] * powers(base, n), out=sums[1:])
-        h = (sums[self.end] - sums[self.start]) * powers(inverse, n + 1)[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64))
+        """A hash of each word."""
+        size = self.end - self.start
+        h = mix(size.astype(np.uint64) * U(0x9E3779B97F4A7C15) ^ U(SEEDS[which]))
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eights = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        at = np.flatnonzero(size <= LONG_WORD)
+        place, left = self.start[at], size[at]
+        while len(at):
+            block = eights[place]
+            short = left < 8
+            block[short] &= (U(1) << (left[short].astype(np.uint64) * U(8))) - U(1)
+            h[at] = mix(h[at] ^ block) * LEFT[which]
+            more = left > 8
+            at, place, left = at[more], place[more] + 8, left[more] - 8
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            digest = hashlib.blake2b(self.data[self.start[i] : self.end[i]], digest_size=8, salt=bytes([which])).digest()
+            h[i] = np.frombuffer(digest, "<u8")[0]
+        return mix(h)
+
+
+def join(a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hash of each left part and the right part beside it."""
+    return mix(a * LEFT[which] + mix(b ^ RIGHT[which]))
 
 
 def windows(h: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     """Hash of each run of ``size`` consecutive values; one for each start that has so many after it."""
-    n = len(h)
-    if n < size:
+    n = len(h) - size + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    base, inverse = BASES[which], INVERSES[which]
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(h * powers(base, n), out=sums[1:])
-    return mix((sums[size:] - sums[:-size]) * powers(inverse, n + 1)[: n - size + 1])
+    out, done, power, length = None, 0, h, 1
+    while True:
+        if size & length:
+            out = power[:n] if out is None else join(out, power[done : done + n], which)
+            done += length
+        if done == size:
+            return out
+        power, length = join(power[:-length], power[length:], which), 2 * length

@@ -12,7 +12,8 @@ size, and the first and the neighbour in each of sixteen random orders. The seco
 and compares only classes of different components. Every link either is found or lies inside a
 component, so components are exact, and groups of near copies cost their size and not its square.
 
-Shingles are 64-bit hashes of their words.
+Shingles are 64-bit hashes of their words' hashes, classes 64-bit digests of shingles: two different ones meet with
+a chance of 2^-64 each pair.
 
 Defined results: null, empty or blank texts have no shingles and are their own component; texts with
 fewer words than a shingle have one, the whole sequence; repeated rows are in one class; rows without

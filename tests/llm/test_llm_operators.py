@@ -86,6 +86,28 @@ def test_words_and_window_hashes(texts):
     assert len(set(windows(h, 2).tolist())) == len(set(pairs))
 
 
+def test_structured_words_do_not_collide(spark):
+    """Words over two letters, built so that polynomials modulo 2^64 agree whatever the base."""
+    flips = [0]
+    while len(flips) < 1024:
+        flips += [1 - x for x in flips]
+    a, b = "".join("ab"[x] for x in flips), "".join("ba"[x] for x in flips)
+    for n in (8, 32, 64, 65, 1024):
+        w = Words(pa.array([f"{a[:n]} {b[:n]}"]))
+        assert all(len(set(w.hashes(k).tolist())) == 2 for k in (0, 1))
+    left, right = [a] + [f"w{i}" for i in range(60)], [b] + [f"w{i}" for i in range(60)]
+    assert len({int(windows(Words(pa.array([" ".join(x)])).hashes(), 61)[0]) for x in (left, right)}) == 2
+    # each window and each shingle holds one of the two words
+    rows = [(i, " ".join(w for k in range(30) for w in (word, f"v{k}"))) for i, word in ((1, a), (2, b))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["n_removed"] for r in substring_dedup.remove_repeats(df).collect()} == {0}
+    assert {r["component_id"] for r in ngram_join.groups(df).collect()} == {1, 2}
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    learned = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10)
+    got = {r["doc_id"]: r["n_known"] for r in ppm_score.score(spark.createDataFrame([(held, a), (learned, b)], "doc_id long, text string")).collect()}
+    assert got == {held: 1, learned: 2}
+
+
 # --- similarity ------------------------------------------------------------------------------------
 
 
