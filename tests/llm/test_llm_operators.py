@@ -443,6 +443,54 @@ def test_edited_items_are_found_and_clean_texts_left():
     assert block.search(pa.array([" ".join(words(200)) for _ in range(100)])) == []
 
 
+def plant(item, kind):
+    """A copy of an item (words) with as many edits as are allowed: anywhere, cut at both ends, or both."""
+    w, left = list(item), D.allowed_edits(len(item))
+    if kind != "edits":
+        cut = left if kind == "cut" else left // 2
+        head = rng.randint(0, cut)
+        w, left = w[head : len(w) - (cut - head)], left - cut
+    for _ in range(left):
+        at, how = rng.randrange(len(w)), rng.random()
+        if how < 0.4:
+            w[at] = rng.choice(VOCAB)
+        elif how < 0.7:
+            del w[at]
+        else:
+            w.insert(at, rng.choice(VOCAB))
+    return w
+
+
+@pytest.mark.parametrize("kind", ["edits", "cut", "both"])
+def test_recall_against_brute_force(kind):
+    """Every document against every item by exact edit distance; documents stand side by side in one batch."""
+    items = [words(rng.randint(12, 60)) for _ in range(40)]
+    block = D.Items(list(range(40)), [" ".join(w) for w in items])
+    docs = [(plant(items[i % 40], kind) if i % 3 else []) + (words(rng.randint(0, 40)) if i % 2 else []) for i in range(150)]
+    number = {w: i for i, w in enumerate(VOCAB)}
+    code = lambda ws: np.array([number[w] for w in ws], np.int64)
+    truth = {(i, k): d for i, w in enumerate(docs) for k, item in enumerate(items) if (d := D.edit_distance(code(item), code(w))[0]) <= D.allowed_edits(len(item))}
+    found = {(r, k): d for r, k, d, _ in block.search(pa.array([" ".join(w) for w in docs]))}
+    assert len(truth) >= 90 and set(found) <= set(truth)
+    assert np.mean([t in found for t in truth]) >= 0.98 and all(found[t] == truth[t] for t in found)
+    alone = {(i, k): d for i, w in enumerate(docs) for _, k, d, _ in block.search(pa.array([" ".join(w)]))}
+    assert alone == found
+
+
+def test_items_of_all_sizes_are_found():
+    sizes = [1, 2, 3, 4, 5, 7, 9, 11, 12, 15, 16, 17, 400, 5000]
+    items = [[f"s{n}w{i}" for i in range(n)] for n in sizes]
+    block = D.Items(list(range(len(sizes))), [" ".join(w) for w in items])
+    texts = [" ".join(w[D.allowed_edits(len(w)) :]) for w in items] + ["x " + " ".join(w) + " y" for w in items]
+    assert {(r, k) for r, k, *_ in block.search(pa.array(texts))} == {(r, r % len(sizes)) for r in range(len(texts))}
+    with pytest.raises(ValueError, match="recall"):
+        D.MAX_WALKS, keep = 0, D.MAX_WALKS
+        try:
+            D.Items([1], ["a b c"])
+        finally:
+            D.MAX_WALKS = keep
+
+
 def test_edit_distance_equals_brute_force():
     for _ in range(200):
         a, b = [rng.randrange(4) for _ in range(rng.randint(1, 8))], [rng.randrange(4) for _ in range(rng.randint(0, 12))]
