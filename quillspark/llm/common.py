@@ -37,6 +37,14 @@ def ascii_lower(text: str) -> str:
     return text.translate(_ASCII_LOWER)
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores behind it while a column of ``taken`` is called so (in any case)."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 _ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
 
 

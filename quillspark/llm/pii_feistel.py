@@ -3,14 +3,28 @@
 Values are found by pattern, validated, and permuted by a keyed Feistel network within their format:
 payment cards keep their length, separators and a right check digit; bank account numbers (IBAN) their
 country and right check digits; social-security and phone numbers stay assignable, IPv4 addresses stay
-addresses, dates stay dates; the local part of an e-mail address keeps its pattern of letters and digits.
-A permutation has no collisions, and equal values get equal pseudonyms in every document.
+addresses, dates stay dates of the same way of writing; the local part of an e-mail address keeps its
+pattern of letters and digits. Each is a permutation of the values of its format, so there are no
+collisions, and equal values get equal pseudonyms in every document.
+
+Kinds are looked for one after another in what the kinds before have left, so a match that fails
+validation is still open to later kinds. Cards and bank accounts are looked for within whole runs of
+groups: from each group on, the longest valid sequence of whole groups is taken, so neighbouring numbers
+hide no value. Cards written as usual (in one piece, in fours, or 4-6-5) go before other groupings.
+
+Dates are permuted within their 400-year cycle (counted from 1800), years 1-199 and 9800-9999 together as
+one. Dates with the month first that could not be read day first are permuted among their like, by
+applying the permutation until the result is one of them; so a date may have another pseudonym there than
+in the other two ways of writing.
 
 Two networks serve all kinds: one over pairs of numbers (modular addition in each half), one over
 characters (each moves within its own class, by amounts that depend on the other half).
 
-Defined results: a null text stays null with 0 values; what fails validation is left alone; repeated
-rows are each rewritten alike; an empty table gives no rows; extra columns pass through ``pseudonymise``.
+Defined results: a null text stays null with 0 values, an empty one empty; what fails validation is left
+alone; of equally long sequences that overlap the first counts; repeated rows are each rewritten alike;
+rows without an id are rewritten as any other; long texts are searched whole; an empty table gives no
+rows; all columns pass through ``pseudonymise``, and where ``n_replaced`` is among them the count is called
+``n_replaced_``.
 """
 
 from __future__ import annotations
@@ -18,23 +32,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import free_name
+
 #: Key used where none is given; production passes its own secret.
 DEFAULT_KEY = "quillspark-demo-key"
 ROUNDS = 8
-#: Kinds in order of precedence where matches could overlap.
+#: Kinds in the order in which they are looked for: a cheap test, and the pattern of a value or of a run of groups.
+#: Quantifiers over groups are possessive, so long runs need no deep stack.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9]|[./-][0-9])",
-    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|-[0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|-[0-9])",
+    "email": ("@", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,126}\.[A-Za-z]{2,}"),
+    "iban": (r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]*+(?![A-Za-z])(?: [A-Z0-9]++(?![a-z]))*+"),
+    "date": (r"[0-9]{2}[./-][0-9]{2}[./-][0-9]", r"(?<![0-9./-])[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![0-9]|[./-][0-9])|(?<![0-9.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]|[.-][0-9])"),
+    "ip": (r"[0-9]\.[0-9]", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
+    "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"),
+    "phone": (r"[0-9]{3}[ .-][0-9]{4}", r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|-[0-9])"),
+    "card": (r"[0-9](?:[ -]?[0-9]){12}", r"(?<![0-9])(?=(?:[0-9][ -]?){12}[0-9])[0-9]++(?:[ -][0-9]++)*+"),
 }
-ANY = "|".join(PATTERNS.values())
-#: Days of a 400-year cycle (189 x 773) from 1800-01-01.
+PATTERNS["number"] = PATTERNS["card"]
+USUAL_CARD = r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$"
+IBAN = r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?$"
+#: Days of a 400-year cycle (189 x 773) from 1800-01-01, and of the last 200 years of the calendar.
 DATE_RADIX = (189, 773)
+CYCLE_DAYS = 146_097
 FIRST_DAY = "1800-01-01"
+LAST_DAYS = 73_048
+#: Applications of the permutation within which a date of the same way of writing turns up, but for a chance of 10^-25.
+DATE_STEPS = 64
 #: The ASCII classes of characters with their sizes; 200-207 stands for the digits 2-9 in phone numbers.
 CLASSES = ((48, 10), (97, 26), (65, 26), (200, 8))
 
@@ -131,21 +154,34 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(chars, F.lit(0), add)
 
 
+def _trimmed(value: Column) -> Column:
+    return F.regexp_replace(value, "[ -]$", "")
+
+
+def _valid_card(raw: Column) -> Column:
+    def valid(d: Column) -> Column:
+        check = F.substr(d, F.length(d), F.lit(1)).cast("int")
+        return F.length(d).between(13, 19) & (F.pmod(_luhn_sum(F.substr(d, F.lit(1), F.length(d) - 1)) + check, F.lit(10)) == 0) & ~d.rlike(r"^([0-9])\1*$")
+
+    return _bind(_digits(raw), valid)
+
+
 def _card(raw: Column, key: str) -> Column:
     def build(d: Column) -> Column:
-        body = F.substr(d, F.lit(1), F.length(d) - 1)
-        check = F.substr(d, F.length(d), F.lit(1)).cast("int")
-        valid = (F.pmod(_luhn_sum(body) + check, F.lit(10)) == 0) & ~d.rlike(r"^([0-9])\1*$")
-        fresh = _bind(char_feistel(body, key + "card"), lambda b: F.concat(b, F.pmod(-_luhn_sum(b), F.lit(10)).cast("string")))
-        return F.when(valid, _bind(fresh, lambda n: _refill(raw, n)))
+        fresh = char_feistel(F.substr(d, F.lit(1), F.length(d) - 1), key + "card")
+        return _bind(_bind(fresh, lambda b: F.concat(b, F.pmod(-_luhn_sum(b), F.lit(10)).cast("string"))), lambda n: _refill(raw, n))
 
     return _bind(_digits(raw), build)
 
 
+def _valid_iban(raw: Column) -> Column:
+    valid = _bind(F.regexp_replace(raw, " ", ""), lambda v: F.length(v).between(15, 34) & (_mod97(F.concat(F.substr(v, F.lit(5)), F.substr(v, F.lit(1), F.lit(4)))) == 1))
+    return raw.rlike(IBAN) & valid
+
+
 def _iban(raw: Column, key: str) -> Column:
     def build(v: Column) -> Column:
         country, body = F.substr(v, F.lit(1), F.lit(2)), F.substr(v, F.lit(5))
-        valid = (_mod97(F.concat(body, F.substr(v, F.lit(1), F.lit(4)))) == 1) & F.length(v).between(15, 34)
 
         def joined(b: Column) -> Column:
             check = F.lpad((F.lit(98) - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0")
@@ -155,67 +191,111 @@ def _iban(raw: Column, key: str) -> Column:
             chars = F.filter(F.split(raw, ""), lambda c: c != "")
             return F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substr(n, F.length(F.regexp_replace(F.substr(raw, F.lit(1), i), " ", "")) + 1, F.lit(1)))), "")
 
-        return F.when(valid, _bind(_bind(char_feistel(body, key + "iban"), joined), spaced))
+        return _bind(_bind(char_feistel(body, key + "iban"), joined), spaced)
 
     return _bind(F.regexp_replace(raw, " ", ""), build)
 
 
+def _valid_phone(raw: Column) -> Column:
+    return F.right(_digits(raw), F.lit(10)).rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$")
+
+
 def _phone(raw: Column, key: str) -> Column:
     def build(d: Column) -> Column:
-        ten = F.substr(d, F.length(d) - 9, F.lit(10))
-        valid = ten.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$")
+        ten = F.right(d, F.lit(10))
         area, exchange = F.substr(ten, F.lit(1), F.lit(1)), F.substr(ten, F.lit(4), F.lit(1))
         marks, plain = "".join(map(chr, range(200, 208))), "23456789"
         coded = F.concat(F.translate(area, plain, marks), F.substr(ten, F.lit(2), F.lit(2)), F.translate(exchange, plain, marks), F.substr(ten, F.lit(5), F.lit(6)))
         fresh = _bind(char_feistel(coded, key + "phone"), lambda n: F.concat(F.substr(d, F.lit(1), F.length(d) - 10), F.translate(n, marks, plain)))
-        return F.when(valid, _bind(fresh, lambda n: _refill(raw, n)))
+        return _bind(fresh, lambda n: _refill(raw, n))
 
     return _bind(_digits(raw), build)
 
 
+def _ssn_parts(raw: Column) -> list[Column]:
+    return [F.substr(raw, F.lit(a), F.lit(n)).cast("long") for a, n in ((1, 3), (5, 2), (8, 4))]
+
+
+def _valid_ssn(raw: Column) -> Column:
+    area, group, serial = _ssn_parts(raw)
+    return (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
+
+
 def _ssn(raw: Column, key: str) -> Column:
-    area, group, serial = (F.substr(raw, F.lit(a), F.lit(n)).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
-    valid = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
-    fresh = pair_feistel(
+    area, group, serial = _ssn_parts(raw)
+    return pair_feistel(
         area - 1 - (area > 666).cast("long"), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, key + "ssn",
         lambda x, y: F.format_string("%03d-%02d-%04d", x + 1 + (x >= 665).cast("long"), F.floor(y / 9999) + 1, F.pmod(y, F.lit(9999)) + 1),
     )
-    return F.when(valid, fresh)
+
+
+def _valid_ip(raw: Column) -> Column:
+    return F.forall(F.split(raw, r"\."), lambda o: o.cast("int") < 256)
 
 
 def _ip(raw: Column, key: str) -> Column:
     def build(p: Column) -> Column:
         o = [p[i].cast("long") for i in range(4)]
-        valid = F.greatest(*o) < 256
-        fresh = pair_feistel(
+        return pair_feistel(
             o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key + "ip",
             lambda x, y: F.format_string("%d.%d.%d.%d", F.floor(x / 256), F.pmod(x, F.lit(256)), F.floor(y / 256), F.pmod(y, F.lit(256))),
         )
-        return F.when(valid, fresh)
 
     return _bind(F.split(raw, r"\."), build)
 
 
+def _readings(raw: Column) -> tuple[Column, Column, Column]:
+    """The date that ``raw`` is as year-month-day, day-month-year and month-day-year, null where it is none."""
+    first, second, year = F.substr(raw, F.lit(1), F.lit(2)), F.substr(raw, F.lit(4), F.lit(2)), F.substr(raw, F.lit(7), F.lit(4))
+    return tuple(F.try_to_date(v, "yyyy-MM-dd") for v in (raw, F.concat_ws("-", year, second, first), F.concat_ws("-", year, first, second)))
+
+
+def _valid_date(raw: Column) -> Column:
+    return F.coalesce(*_readings(raw)).isNotNull()
+
+
 def _date(raw: Column, key: str) -> Column:
     """ISO dates, and day-month-year ones (month-day-year where only that is a date)."""
-
     a, b = DATE_RADIX
+    first_day = F.lit(FIRST_DAY).cast("date")
+
+    def permuted(day: Column, fits) -> Column:
+        """``day`` permuted within its cycle, again and again until a date comes out that fits."""
 
-    def written(at: Column, write) -> Column:
-        fresh = pair_feistel(F.floor(at / b), F.pmod(at, F.lit(b)), a, b, key + "date", lambda x, y: F.date_add(F.lit(FIRST_DAY).cast("date"), (x * b + y).cast("int")))
-        return F.when((at >= 0) & (at < a * b), _bind(fresh, write))
+        def again(at: Column) -> Column:
+            return pair_feistel(F.floor(at / b), F.pmod(at, F.lit(b)), a, b, key + "date", lambda x, y: x * b + y)
 
-    def render(day: Column, write) -> Column:
-        return _bind(F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("long"), lambda at: written(at, write))
+        def of(n: Column) -> Column:
+            cycle = F.floor(n / CYCLE_DAYS)
+
+            def at_day(at: Column) -> Column:
+                # the cycle that ends the calendar goes on with its first years
+                moved = F.when((cycle == 20) | (cycle == -5), F.when(at < F.lit(LAST_DAYS), F.lit(20)).otherwise(F.lit(-5))).otherwise(cycle)
+                return F.date_add(first_day, (moved * CYCLE_DAYS + at).cast("int"))
+
+            def known(at: Column) -> Column:
+                return _bind(at_day(at), lambda d: F.when((F.year(d) > 0) & fits(d), d))
+
+            start = again(F.pmod(n, F.lit(CYCLE_DAYS)))
+            steps = F.sequence(F.lit(1), F.lit(DATE_STEPS))
+            more = lambda at: F.aggregate(steps, at, lambda s, _: F.when(known(s).isNotNull(), s).otherwise(again(s)))
+            return _bind(start, lambda at: F.coalesce(known(at), _bind(more(at), known)))
+
+        return _bind(F.datediff(day, first_day).cast("long"), of)
 
     sign = F.substr(raw, F.lit(3), F.lit(1))
-    first, second, year = F.substr(raw, F.lit(1), F.lit(2)), F.substr(raw, F.lit(4), F.lit(2)), F.substr(raw, F.lit(7), F.lit(4))
-    iso, dmy, mdy = (F.try_to_date(v, "yyyy-MM-dd") for v in (raw, F.concat_ws("-", year, second, first), F.concat_ws("-", year, first, second)))
+    iso, dmy, mdy = _readings(raw)
+    whole = lambda d: F.lit(True)
+    month_first = lambda d: F.dayofmonth(d) > 12
 
-    def local(day: Column, head: str, tail: str) -> Column:
-        return render(day, lambda d: F.concat(F.date_format(d, head), sign, F.date_format(d, tail), sign, F.date_format(d, "yyyy")))
+    def written(d: Column, *parts) -> Column:
+        return _bind(d, lambda x: F.concat(*(F.lpad(part(x).cast("string"), 4 if part is F.year else 2, "0") if callable(part) else part for part in parts)))
 
-    return F.when(raw.rlike("^[0-9]{4}-"), render(iso, lambda d: F.date_format(d, "yyyy-MM-dd"))).when(dmy.isNotNull(), local(dmy, "dd", "MM")).otherwise(local(mdy, "MM", "dd"))
+    return (
+        F.when(raw.rlike("^[0-9]{4}-"), written(permuted(iso, whole), F.year, F.lit("-"), F.month, F.lit("-"), F.dayofmonth))
+        .when(dmy.isNotNull(), written(permuted(dmy, whole), F.dayofmonth, sign, F.month, sign, F.year))
+        .otherwise(written(permuted(mdy, month_first), F.month, sign, F.dayofmonth, sign, F.year))
+    )
 
 
 def _email(raw: Column, key: str) -> Column:
@@ -223,32 +303,92 @@ def _email(raw: Column, key: str) -> Column:
     return F.concat(char_feistel(F.substr(raw, F.lit(1), at - 1), key + "email"), F.substr(raw, at))
 
 
-MAKERS = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
+MAKERS = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card, "number": _card}
+VALID = {
+    "email": lambda raw: F.lit(True), "iban": _valid_iban, "date": _valid_date, "ip": _valid_ip, "ssn": _valid_ssn, "phone": _valid_phone,
+    "card": lambda raw: raw.rlike(USUAL_CARD) & _valid_card(raw), "number": _valid_card,
+}
+#: Kinds whose pattern finds a run: the pattern of a group with its separator, groups of a value at most, and how its first begins.
+RUNS = {"iban": ("[A-Z0-9]+ ?", 9, "^[A-Z]{2}[0-9]{2}"), "card": ("[0-9]+[ -]?", 5, "^[0-9]"), "number": ("[0-9]+[ -]?", 19, "^[0-9]")}
+#: States of the pieces of a text: to be looked through, a value to be replaced, replaced.
+OPEN, FOUND, DONE = 0, 1, 2
 
 
-def pseudonym(raw: Column, key: str) -> Column:
-    """The pseudonym of one found value, or null where it is not a valid one."""
-    out = F.lit(None).cast("string")
-    for kind in reversed(PATTERNS):
-        out = F.when(raw.rlike(f"^(?:{PATTERNS[kind]})$"), MAKERS[kind](raw, key + "|")).otherwise(out)
-    return out
+def _piece(value: Column, state: int) -> Column:
+    return F.struct(value.alias("v"), F.lit(state).alias("s"))
+
+
+def _value(raw: Column, kind: str) -> Column:
+    """The piece that one match is."""
+    return F.array(F.struct(raw.alias("v"), F.when(VALID[kind](raw), F.lit(FOUND)).otherwise(F.lit(OPEN)).alias("s")))
+
+
+def _run(raw: Column, kind: str) -> Column:
+    """The pieces of a run of groups: valid sequences of whole groups, and what lies between them."""
+    group, most, begin = RUNS[kind]
+
+    def pieces(groups: Column) -> Column:
+        def joined(i: Column, k: Column) -> Column:
+            return F.array_join(F.slice(groups, i + 1, k), "")
+
+        def longest(i: Column) -> Column:
+            counts = F.sequence(F.least(F.lit(most), F.size(groups) - i), F.lit(1), F.lit(-1))
+            valid = F.filter(counts, lambda k: VALID[kind](_trimmed(joined(i, k))))
+            return F.struct(i.alias("i"), F.when(groups[i].rlike(begin), F.get(valid, F.lit(0))).alias("k"))
+
+        found = F.filter(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), longest), lambda c: c["k"].isNotNull())
+        none = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<i:int,k:int>>").alias("picks"))
+
+        def pick(state: Column, c: Column) -> Column:
+            return F.when(c["i"] < state["next"], state).otherwise(F.struct((c["i"] + c["k"]).alias("next"), F.concat(state["picks"], F.array(c)).alias("picks")))
+
+        def laid(picks: Column) -> Column:
+            def one(c: Column, m: Column) -> Column:
+                before = F.when(m == 0, F.lit(0)).otherwise(F.get(picks, m - 1)["i"] + F.get(picks, m - 1)["k"])
+                value = joined(c["i"], c["k"])
+                return F.array(_piece(joined(before, c["i"] - before), OPEN), _piece(_trimmed(value), FOUND), _piece(F.regexp_extract(value, "[ -]?$", 0), OPEN))
+
+            last = F.get(picks, F.size(picks) - 1)
+            rest = _piece(joined(last["i"] + last["k"], F.size(groups)), OPEN)
+            return F.when(F.size(picks) == 0, F.array(_piece(raw, OPEN))).otherwise(F.concat(F.flatten(F.transform(picks, one)), F.array(rest)))
+
+        return _bind(F.aggregate(found, none, pick, lambda state: state["picks"]), laid)
+
+    return _bind(F.regexp_extract_all(raw, F.lit(group), F.lit(0)), pieces)
+
+
+def _look(pieces: Column, kind: str) -> Column:
+    """``pieces`` with those that are open cut where values of a kind are found."""
+    gate, pattern = PATTERNS[kind]
+    handle = _run if kind in RUNS else _value
+
+    def look(piece: Column) -> Column:
+        def cut(found: Column) -> Column:
+            between = F.split(piece["v"], pattern, -1)
+            parts = F.transform(between, lambda g, i: F.when(i < F.size(found), F.concat(F.array(_piece(g, OPEN)), handle(F.get(found, i), kind))).otherwise(F.array(_piece(g, OPEN))))
+            return F.when(F.size(found) > 0, F.flatten(parts)).otherwise(F.array(piece))
+
+        return F.when((piece["s"] != OPEN) | ~piece["v"].rlike(gate), F.array(piece)).otherwise(_bind(F.regexp_extract_all(piece["v"], F.lit(pattern), F.lit(0)), cut))
+
+    return F.flatten(F.transform(pieces, look))
+
+
+def _replace(pieces: Column, kind: str, key: str) -> Column:
+    """``pieces`` with the found values replaced by their pseudonyms."""
+    return F.transform(pieces, lambda p: F.when(p["s"] == FOUND, _piece(MAKERS[kind](p["v"], key), DONE)).otherwise(p))
 
 
 def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text") -> DataFrame:
-    """``docs`` with the text rewritten, and the numbers of values found and replaced.
+    """``docs`` with the text rewritten, and the number of values replaced as ``n_replaced``.
 
-    One narrow map; texts without a digit or an at-sign are not searched.
+    One narrow map, two projections a kind; texts without a digit or an at-sign are not searched.
     """
     body = F.col(text)
-    found = F.when(body.rlike("[0-9@]"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = docs.withColumn("_found", found)
-    rows = rows.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda v: pseudonym(v, key))))
-    pieces = F.split(body, ANY, -1)
-    joined = F.array_join(F.flatten(F.transform(pieces, lambda p, i: F.array(p, F.coalesce(F.get(F.col("_new"), i), F.get(F.col("_found"), i), F.lit(""))))), "")
-    return rows.withColumns(
-        {
-            "n_values": F.greatest(F.size("_found"), F.lit(0)).cast("long"),
-            "n_replaced": F.coalesce(F.size(F.filter("_new", lambda v: v.isNotNull())), F.lit(0)).cast("long"),
-            text: F.when(F.size("_found") > 0, joined).otherwise(body),
-        }
-    ).withColumn("n_replaced", F.greatest("n_replaced", F.lit(0)).cast("long")).drop("_found", "_new")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.when(body.rlike("[0-9@]"), F.array(_piece(body, OPEN))).alias("pieces"))
+    for kind in PATTERNS:
+        rows = rows.select("row", _look(F.col("pieces"), kind).alias("pieces"))
+        rows = rows.select("row", _replace(F.col("pieces"), kind, key + "|").alias("pieces"))
+    new = F.coalesce(F.array_join(F.transform("pieces", lambda x: x["v"]), ""), F.col("row")[text])
+    count = F.coalesce(F.size(F.filter("pieces", lambda x: x["s"] == DONE)), F.lit(0))
+    columns = [new.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns]
+    return rows.select(*columns, F.greatest(count, F.lit(0)).cast("long").alias(free_name("n_replaced", docs.columns)))
