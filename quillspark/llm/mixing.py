@@ -1,24 +1,37 @@
 """Mixing to target weights with soft domain membership, in DataFrame operations alone.
 
-A naive Bayes classifier over telling features is fitted on a bounded sample of the labelled rows and gives each document
-posteriors over the domains ``good``, ``low`` and ``toxic``. Projected gradient descent then fits one
-nonnegative rate a document so that the expected tokens of each domain, the sum of rate x tokens x
-posterior, match the targets in the least-squares sense (relative to each domain's tokens, with a small
-pull of each rate to 1 that makes the solution unique). Each step is one distributed aggregate of as
-many sums as there are domains. The total is the largest that repeats no domain, so rates only thin out
-and a document is kept with the probability of its rate, drawn from a hash of its id and text.
-
-Defined results: a null or blank text has 0 tokens, the prior as posterior, and stays; rows with a null
-id are treated as any other; repeated rows share their posterior and their fate; with no labelled rows
-all posteriors are equal and all rates 1; an empty table gives no rows; extra columns pass through
-``mix``.
+A classifier fitted on a bounded sample of the labelled rows gives each document posteriors over the
+domains ``good``, ``low`` and ``toxic``. Words and marks of shape are hashed to buckets, and each bucket has
+log odds of either sign for ``low`` and for ``toxic`` against ``good``, drawn in by their standard error.
+A document's sums, maxima and counts of these and its length go into a multinomial logistic regression,
+which is fitted on odds that come from other folds of the sample, so its posteriors are calibrated.
+
+Rates, one a document and none negative, are then fitted so that the expected tokens of each domain, the
+sum of rate x tokens x posterior, match the targets in the least-squares sense. Steps of projected
+gradient descent start from rates of 1: against the gradient of the squared residuals, which lies in the
+span of the posteriors, then projected onto the nonnegative rates. So after any number of steps the rates
+are max(0, 1 - posterior . m) for one vector ``m`` of as many numbers as domains, each within LIMIT: a
+classifier that cannot tell thus cannot empty the corpus. A step is one distributed aggregate: the totals,
+and the Gram matrix of the posteriors over rows with a rate above 0, which scales the step. The fit ends
+when the residual is within the tolerance for each domain whose number is not at LIMIT, and raises if that
+does not come about; the residual that is left is reported.
+
+Targets: where each domain has a weight, these are the shares of the largest whole that repeats no domain.
+Otherwise they are the largest shares that domains may have: one that has less keeps what it has, those
+without a weight keep all. A document is kept with the probability of its rate (surely if above 1), drawn
+from a hash of its id and text.
+
+Defined results: a null or blank text has 0 tokens, the posterior of a text without words, and stays; a
+long text is read whole; rows with a null id are treated as any other; repeated rows share their
+posterior and their fate; of several labels of an id the first domain by name counts; with no labelled
+rows all posteriors are equal; an empty table gives no rows; extra columns pass through ``mix``, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import json
 import math
-import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,24 +39,33 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import materialise
 
 DOMAINS = ("good", "low", "toxic")
-#: Shares of the expected tokens.
-WEIGHTS = {"good": 0.98, "low": 0.02, "toxic": 0.0}
+#: Largest shares of the expected tokens.
+WEIGHTS = {"low": 0.01, "toxic": 0.01}
+#: Largest share of its rate that a document loses (or gains) for each unit of posterior.
+LIMIT = 1.5
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE_ROWS = 20_000
-#: Log odds against good documents from which a feature is telling.
-TELLING = 3.0
-#: Standard errors by which the log odds of a telling feature are drawn to 0, so that a rare one decides little by itself.
+#: Buckets of words, labelled rows that a bucket must stand in, and standard errors by which log odds are drawn to 0.
+BUCKETS = 1 << 16
+LEAST_ROWS = 5
 CAUTION = 1.5
-#: Steps of the fit at most, the residual at which it stops, and the pull of rates to 1.
-STEPS = 40
+#: Log odds from which a word counts as telling.
+TELLING = 1.5
+#: Folds of the sample, ridge of the regression, and its steps at most.
+FOLDS = 3
+RIDGE = 1.0
+NEWTON_STEPS = 25
+#: Steps of the fit at most, and the residual, as part of all tokens, at which it ends.
+STEPS = 50
 TOLERANCE = 1e-4
-PULL = 0.02
-#: Rates so near to 1 are 1.
-BAND = 0.02
 SYMBOLS = "[#*$%&|<>!]"
+SPACES = " \t\n\x0b\x0c\r.,;:?"
+MEASURES = 8
 
 
-SPACES = " \t\n\x0b\x0c\r.,;:?"
+def _bind(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``."""
+    return F.transform(F.array(value), use)[0]
 
 
 def words_column(text: Column) -> Column:
@@ -52,156 +74,232 @@ def words_column(text: Column) -> Column:
     return F.when(F.length(body) > 0, F.split(body, r"[\x20\x09-\x0D.,;:?]+")).otherwise(F.array().cast("array<string>"))
 
 
-def features_of(words: Column, distinct: Column, text: Column) -> Column:
-    """Distinct words of a document, and marks of its shape: symbols in 20 words, and variety of its words."""
+def _bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+
+
+def buckets_column(words: Column, text: Column) -> Column:
+    """Distinct buckets of a document: of its words, of symbols in 20 words, and of the variety of its words."""
     n = F.greatest(F.size(words), F.lit(1))
     symbols = F.coalesce(F.regexp_count(text, F.lit(SYMBOLS)), F.lit(0))
-    marks = [
-        F.concat(F.lit("\tsymbols "), F.least(F.floor(symbols * 20 / n), F.lit(20)).cast("string")),
-        F.concat(F.lit("\tvariety "), F.floor(F.size(distinct) * 10 / n).cast("string")),
-    ]
-    return F.concat(distinct, F.array(*marks))
 
+    def marked(distinct: Column) -> Column:
+        marks = [F.least(F.floor(symbols * 20 / n), F.lit(20)), F.floor(F.size(distinct) * 10 / n)]
+        return F.array_distinct(F.concat(distinct, F.array(*(_bucket(F.concat(F.lit(f"\t{i} "), m.cast("string"))) for i, m in enumerate(marks)))))
 
-def feature_column(words: Column, text: Column) -> Column:
-    return _bind(F.array_distinct(words), lambda distinct: features_of(words, distinct, text))
+    return _bind(F.array_distinct(F.transform(words, _bucket)), marked)
 
 
 def label_domain() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "good")
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> dict:
-    """Log scores of the domains without and with telling features, and the log odds of each feature against ``good``.
+def _table(odds: dict[int, tuple[float, float]]) -> Column:
+    """Log odds by bucket as one constant; null where a bucket has none."""
+    return F.from_json(F.lit(json.dumps([{"l": odds[b][0], "t": odds[b][1]} if b in odds else None for b in range(BUCKETS)])), "array<struct<l: double, t: double>>")
 
-    A feature is telling if it is far likelier in another domain than in good documents; all of them are
-    kept. At most ``sample`` labelled ids are drawn, by hash, so they may be broadcast; the telling features
-    are all that reaches the driver. Each stands in five drawn rows at least, so the sample bounds them.
-    """
-    drawn = labels.select(F.col("doc_id").alias("_id"), label_domain().alias("domain")).filter("_id is not null and domain is not null").dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("domain", _bind(words_column(F.col("text")), lambda w: feature_column(w, F.col("text"))).alias("features"))
-    rows = materialise(rows, "labelled")
-    totals = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    n = sum(totals.values())
-    known = [d for d in DOMAINS if totals.get(d)]
-    flat = {d: 0.0 if not known or d in known else -60.0 for d in DOMAINS}
-    if len(known) < 2 or "good" not in known:
-        return {"without": flat, "with": flat, "features": {}}
-    counts = rows.select("domain", F.explode("features").alias("f")).groupBy("f").agg(*(F.sum((F.col("domain") == d).cast("long")).alias(d) for d in DOMAINS))
-    total = sum(F.col(d) for d in DOMAINS)
-    odds = {d: F.log((F.col(d) + 0.5) / (totals[d] + 1)) - F.log((F.col("good") + 0.5) / (totals["good"] + 1)) if d in known else F.lit(0.0) for d in DOMAINS}
-    error = {d: CAUTION * F.sqrt(1 / (F.col(d) + 0.5) + 1 / (F.col("good") + 0.5)) for d in DOMAINS}
-    drawn_in = {f"o_{d}": F.signum(odds[d]) * F.greatest(F.lit(0.0), F.abs(odds[d]) - error[d]) for d in DOMAINS}
-    telling = counts.filter((total >= 5) & F.greatest(*((F.col(d) > 0) & (odds[d] > TELLING) for d in known))).withColumns(drawn_in)
-    table = {r["f"]: [float(r[f"o_{d}"]) for d in DOMAINS] for r in telling.collect()}
-    hit = F.size(_present(F.col("features"), _slots(table), len(table))) > 0 if table else F.lit(False)
-    hits = {r["domain"]: r["n"] for r in rows.filter(hit).groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    out = {"features": table, "without": dict(flat), "with": dict(flat)}
-    for d in known:
-        out["with"][d] = math.log(totals[d] / n)
-        out["without"][d] = math.log(totals[d] / n) + math.log((totals[d] - hits.get(d, 0) + 0.5) / (totals[d] + 1))
-    return out
 
+def measures(table: Column, buckets: Column, n: Column) -> Column:
+    """What the regression looks at: 1, sums, maxima and telling counts for low and toxic, and length."""
 
-def scored(model: dict, text: Column) -> Column:
-    """Struct of ``n``, the words of a text, and ``p``, its posteriors in the order of DOMAINS."""
-    table = model["features"]
-    without = F.array(*(F.lit(float(model["without"][d])) for d in DOMAINS))
+    def measured(t: Column) -> Column:
+        hits = F.filter(F.transform(buckets, lambda b: t[b]), lambda e: e.isNotNull())
+        start = F.struct(*(F.lit(0.0).alias(c) for c in ("sl", "st", "ml", "mt", "kl", "kt")))
 
-    def logs(present: Column) -> Column:
-        sums = [_total(present, float(model["with"][d]), k) for k, d in enumerate(DOMAINS)]
-        return F.when(F.size(present) == 0, without).otherwise(F.array(*sums))
+        def add(acc: Column, e: Column) -> Column:
+            return F.struct(
+                (acc["sl"] + e["l"]).alias("sl"), (acc["st"] + e["t"]).alias("st"), F.greatest(acc["ml"], e["l"]).alias("ml"), F.greatest(acc["mt"], e["t"]).alias("mt"),
+                (acc["kl"] + (e["l"] > TELLING).cast("double")).alias("kl"), (acc["kt"] + (e["t"] > TELLING).cast("double")).alias("kt"),
+            )
 
-    def classify(words: Column) -> Column:
-        if table:
-            found = _bind(_present(feature_column(words, text), _slots(table), len(table)), lambda present: _bind(logs(present), _softmax))
-        else:
-            found = _softmax(without)
-        return F.struct(F.size(words).cast("long").alias("n"), found.alias("p"))
+        return F.aggregate(hits, start, add, lambda s: F.array(F.lit(1.0), s["sl"] / 10, s["st"] / 10, s["ml"], s["mt"], F.log1p(s["kl"]), F.log1p(s["kt"]), F.log1p(n.cast("double")) / 5))
 
-    return _bind(words_column(F.coalesce(text, F.lit(""))), classify)
+    return _bind(table, measured)
 
 
-def _slots(table: dict[str, list[float]]) -> Column:
-    """The features as a hash table in one constant: a slot a feature, each a list of (feature, log odds)."""
-    slots: list[list[dict]] = [[] for _ in table]
-    for f in sorted(table):
-        slots[zlib.crc32(f.encode()) % len(slots)].append({"f": f, "o": table[f]})
-    return F.from_json(F.lit(json.dumps(slots)), "array<array<struct<f: string, o: array<double>>>>")
+def _softmax(logs: Column) -> Column:
+    spread = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
+    return _bind(spread, lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda acc, y: acc + y)))
 
 
-def _present(features: Column, slots: Column, n: int) -> Column:
-    """The entries of those features of a document that are telling; each is looked for in its slot alone."""
-    return F.flatten(F.transform(features, lambda f: F.filter(slots[F.pmod(F.crc32(F.encode(f, "UTF-8")), F.lit(n)).cast("int")], lambda e: e["f"] == f)))
+def _posterior(weights: list[list[float]], z: Column) -> Column:
+    def dot(w: list[float]) -> Column:
+        return sum((z[k] * F.lit(w[k]) for k in range(1, MEASURES)), z[0] * F.lit(w[0]))
 
+    return _bind(F.array(F.lit(0.0), *(dot(w) for w in weights)), _softmax)
 
-def _total(present: Column, start: float, k: int) -> Column:
-    return F.aggregate(present, F.lit(start), lambda acc, e: acc + e["o"][k])
 
+def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """A linear system of a few unknowns, by elimination with pivots."""
+    rows = [[*row, r] for row, r in zip(matrix, right, strict=True)]
+    n = len(rows)
+    for i in range(n):
+        best = max(range(i, n), key=lambda j: abs(rows[j][i]))
+        rows[i], rows[best] = rows[best], rows[i]
+        for j in range(i + 1, n):
+            by = rows[j][i] / rows[i][i]
+            rows[j] = [a - by * b for a, b in zip(rows[j], rows[i], strict=True)]
+    out = [0.0] * n
+    for i in reversed(range(n)):
+        out[i] = (rows[i][n] - sum(rows[i][j] * out[j] for j in range(i + 1, n))) / rows[i][i]
+    return out
 
-def _softmax(logs: Column) -> Column:
-    spread = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return _bind(spread, lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda acc, y: acc + y)))
 
+def _regress(rows: DataFrame) -> list[list[float]]:
+    """Weights of the multinomial regression of ``y`` (1 low, 2 toxic) on ``z``, by Newton steps; each is one aggregate."""
+    k = range(MEASURES)
+    w = [[0.0] * MEASURES for _ in (1, 2)]
+    pairs = [(i, j) for i in k for j in k if i <= j]
+    for _ in range(NEWTON_STEPS):
+        # the weights are one constant array, so all steps share their generated code
+        constant = F.from_json(F.lit(json.dumps(w)), "array<array<double>>")
+        logs = F.array(F.lit(0.0), *(F.aggregate(F.zip_with(F.col("z"), constant[c], lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x) for c in (0, 1)))
+        p = rows.select("y", "z", _softmax(logs).alias("p")).select(*(F.col("z")[i].alias(f"z{i}") for i in k), F.col("p")[1].alias("p1"), F.col("p")[2].alias("p2"), (F.col("y") == 1).cast("double").alias("y1"), (F.col("y") == 2).cast("double").alias("y2"))
+        weight = {(0, 0): F.col("p1") * (1 - F.col("p1")), (0, 1): -F.col("p1") * F.col("p2"), (1, 1): F.col("p2") * (1 - F.col("p2"))}
+        slopes = [F.sum((F.col(f"p{c + 1}") - F.col(f"y{c + 1}")) * F.col(f"z{i}")).alias(f"g{c}_{i}") for c in (0, 1) for i in k]
+        bends = [F.sum(v * F.col(f"z{i}") * F.col(f"z{j}")).alias(f"h{c}{d}_{i}_{j}") for (c, d), v in weight.items() for i, j in pairs]
+        got = p.agg(*slopes, *bends).first()
+        slope = [(got[f"g{c}_{i}"] or 0.0) + RIDGE * w[c][i] for c in (0, 1) for i in k]
+        bend = [[(got[f"h{min(c, d)}{max(c, d)}_{min(i, j)}_{max(i, j)}"] or 0.0) + RIDGE * (c == d and i == j) for d in (0, 1) for j in k] for c in (0, 1) for i in k]
+        step = solve(bend, slope)
+        w = [[w[c][i] - step[c * MEASURES + i] for i in k] for c in (0, 1)]
+        if max(map(abs, step)) < 1e-4:
+            return w
+    raise RuntimeError(f"the regression did not settle in {NEWTON_STEPS} steps")
+
+
+def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> dict | None:
+    """Log odds by bucket and weights of the regression; nothing where no row is labelled.
+
+    At most ``sample`` labelled ids are drawn, by hash, so they may be broadcast; what reaches the driver
+    are counts of at most BUCKETS buckets.
+    """
+    drawn = labels.select(F.col("doc_id").alias("_id"), label_domain().alias("domain")).filter("_id is not null and domain is not null").groupBy("_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    words = _bind(words_column(F.coalesce(F.col("text"), F.lit(""))), lambda w: F.struct(F.size(w).alias("n"), buckets_column(w, F.col("text")).alias("b")))
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select(F.array_position(F.array(*map(F.lit, DOMAINS)), F.col("domain")).cast("int").alias("y"), F.pmod(F.xxhash64(F.lit("fold"), "_id"), F.lit(FOLDS)).cast("int").alias("fold"), words.alias("s"))
+    rows = materialise(rows.select((F.col("y") - 1).alias("y"), "fold", "s.n", "s.b"), "labelled")
+    totals = {(r["fold"], r["y"]): r["n"] for r in rows.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
+    if not totals:
+        return None
+    cells = [(f, y) for f in range(FOLDS) for y in range(len(DOMAINS))]
+    counts = rows.select("fold", "y", F.explode("b").alias("b")).groupBy("b").agg(*(F.sum(((F.col("fold") == f) & (F.col("y") == y)).cast("long")).alias(f"c{f}{y}") for f, y in cells)).filter(sum(F.col(f"c{f}{y}") for f, y in cells) >= LEAST_ROWS)
+    found = [(r["b"], {c: r[f"c{c[0]}{c[1]}"] for c in cells}) for r in counts.collect()]
+
+    def odds(folds: list[int]) -> dict[int, tuple[float, float]]:
+        n = [sum(totals.get((f, y), 0) for f in folds) for y in range(len(DOMAINS))]
+        out = {}
+        for bucket, count in found:
+            c = [sum(count[(f, y)] for f in folds) for y in range(len(DOMAINS))]
+            if sum(c) < LEAST_ROWS or not n[0]:
+                continue
+            pair = []
+            for y in (1, 2):
+                log = math.log((c[y] + 0.5) / (n[y] + 1)) - math.log((c[0] + 0.5) / (n[0] + 1))
+                error = CAUTION * math.sqrt(1 / (c[y] + 0.5) + 1 / (c[0] + 0.5))
+                pair.append(math.copysign(max(0.0, abs(log) - error), log) if n[y] else 0.0)
+            if any(pair):
+                out[bucket] = (pair[0], pair[1])
+        return out
+
+    everything = list(range(FOLDS))
+    z = F.lit(None).cast("array<double>")
+    for f in everything:
+        z = F.when(F.col("fold") == f, measures(_table(odds([x for x in everything if x != f])), F.col("b"), F.col("n"))).otherwise(z)
+    weights = _regress(materialise(rows.select("y", z.alias("z")), "measures"))
+    return {"odds": odds(everything), "weights": weights}
+
+
+def scored(model: dict | None, text: Column) -> Column:
+    """Struct of ``n``, the words of a text, and ``p``, its posteriors in the order of DOMAINS."""
 
-def _bind(value: Column, use) -> Column:
-    """Evaluate ``value`` once and hand it to ``use``."""
-    return F.transform(F.array(value), use)[0]
+    def classify(words: Column) -> Column:
+        if model is None:
+            p = F.array(*(F.lit(1.0 / len(DOMAINS)) for _ in DOMAINS))
+        else:
+            p = _bind(measures(_table(model["odds"]), buckets_column(words, text), F.size(words)), lambda z: _posterior(model["weights"], z))
+        return F.struct(F.size(words).cast("long").alias("n"), p.alias("p"))
+
+    return _bind(words_column(F.coalesce(text, F.lit(""))), classify)
 
 
-def fit_rates(rows: DataFrame, weights: dict[str, float], steps: int = STEPS, pull: float = PULL, tolerance: float = TOLERANCE) -> tuple[Column, list[float], list[float]]:
-    """The rate as an expression over ``n`` (tokens) and ``p`` (posteriors), the targets, and the totals reached.
+def targets_of(have: list[float], weights: dict[str, float]) -> list[float]:
+    """Target totals from what the domains have."""
+    if all(d in weights for d in DOMAINS):
+        share = [weights[d] / sum(weights.values()) for d in DOMAINS]
+        total = min((h / w for h, w in zip(have, share, strict=True) if w > 0), default=0.0)
+        return [w * total for w in share]
+    out = list(have)
+    for _ in range(200):
+        total = sum(out)
+        out = [min(h, weights[d] * total) if d in weights else h for d, h in zip(DOMAINS, have, strict=True)]
+        if abs(sum(out) - total) <= 1e-12 * total:
+            break
+    return out
 
-    Steps are taken in the metric of the tokens, so rate <- max(0, rate - step x (p . residual + pull x (rate - 1))).
-    """
+
+def rate_of(moved: list[float]) -> Column:
+    """The rate of a row with the posteriors ``p``."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum(F.col("p")[i] * F.lit(moved[i]) for i in range(len(DOMAINS))))
+
+
+def fit_rates(rows: DataFrame, weights: dict[str, float], steps: int = STEPS, tolerance: float = TOLERANCE) -> dict:
+    """``moved`` (see rate_of), ``targets``, ``reached`` and ``residual`` for rows of ``n`` (tokens) and ``p`` (posteriors)."""
     k = range(len(DOMAINS))
 
-    def totals(rate: Column) -> list[float]:
-        got = rows.agg(*(F.sum(rate * F.col("n") * F.col("p")[i]).alias(f"t{i}") for i in k)).first()
-        return [float(got[i] or 0.0) for i in k]
-
-    rate = F.lit(1.0)
-    have = reached = totals(rate)
-    everything = sum(have)
-    share = [weights[d] / sum(weights.values()) for d in DOMAINS]
-    if not everything:
-        return rate, [0.0 for _ in k], have
-    feasible = [have[i] / share[i] for i in k if share[i] > 0 and have[i] > 0]
-    goal = min([everything, *feasible])
-    targets = [goal * s if have[i] > 0 else 0.0 for i, s in enumerate(share)]
-    step = 1.0 / (1.0 + pull)
-    since = 0
+    def look(moved: list[float]) -> tuple[list[float], list[list[float]], float]:
+        """Totals, Gram matrix, and what the rates cost together with what they are moved for."""
+        rate = rate_of(moved)
+        mass = F.when(rate > 0, F.col("n")).otherwise(F.lit(0))
+        pulled = sum(F.col("p")[i] * F.lit(moved[i]) for i in k)
+        got = rows.agg(
+            *(F.sum(rate * F.col("n") * F.col("p")[i]).alias(f"t{i}") for i in k), *(F.sum(mass * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}{j}") for i in k for j in k if i <= j),
+            F.sum(F.col("n") * ((rate - 1) * (rate - 1) / 2 + rate * pulled)).alias("cost"),
+        ).first()
+        return [float(got[f"t{i}"] or 0.0) for i in k], [[float(got[f"g{min(i, j)}{max(i, j)}"] or 0.0) for j in k] for i in k], float(got["cost"] or 0.0)
+
+    moved = [0.0 for _ in k]
+    reached, gram, cost = look(moved)
+    everything = sum(reached)
+    targets = targets_of(reached, weights) if everything else reached
     for _ in range(steps):
-        residual = [(reached[i] - targets[i]) / max(have[i], 1e-3 * everything) for i in k]
-        if max(map(abs, residual)) < tolerance:
-            break
-        rate = F.greatest(F.lit(0.0), rate * (1 - step * pull) + F.lit(step * pull) - step * sum(F.col("p")[i] * F.lit(residual[i]) for i in k))
-        new = totals(rate)
-        since = since + 1 if max(abs(a - b) for a, b in zip(new, reached, strict=True)) < tolerance * everything * 0.1 else 0
-        reached = new
-        if since >= 2:
+        off = [a - b for a, b in zip(reached, targets, strict=True)]
+        free = [i for i in k if not (moved[i] >= LIMIT and off[i] > 0 or moved[i] <= -LIMIT and off[i] < 0)]
+        if max((abs(off[i]) for i in free), default=0.0) <= tolerance * everything:
+            return {"moved": moved, "targets": targets, "reached": reached, "residual": max(map(abs, off)) / everything if everything else 0.0}
+        small = 1e-9 * sum(gram[i][i] for i in k) + 1e-12
+        step = dict(zip(free, solve([[gram[i][j] + small * (i == j) for j in free] for i in free], [off[i] for i in free]), strict=True))
+        value, size = cost - sum(m * t for m, t in zip(moved, targets, strict=True)), 1.0
+        while size > 1e-6:
+            tried = [max(-LIMIT, min(LIMIT, moved[i] + size * step.get(i, 0.0))) for i in k]
+            new = look(tried)
+            if new[2] - sum(m * t for m, t in zip(tried, targets, strict=True)) > value:
+                break
+            size /= 2
+        else:
             break
-    return rate, targets, reached
+        moved, (reached, gram, cost) = tried, new
+    raise RuntimeError(f"rates did not settle: {reached} for {targets}")
 
 
 def _kept(rate: Column) -> Column:
     draw = F.pmod(F.xxhash64(F.lit("mix"), F.col("doc_id"), F.col("_h")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return (F.col("n") == 0) | (rate >= 1 - BAND) | (draw < rate)
+    return (F.col("n") == 0) | (draw < rate)
 
 
 def mix_report(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_tokens, posteriors, rate, and whether it is kept."""
+    """Per row of ``docs``: doc_id, n_tokens, posteriors, rate, whether it is kept, and the residual of the fit as part of all tokens."""
     model = fit_classifier(docs, labels)
     rows = docs.select("doc_id", scored(model, F.col("text")).alias("s"), F.xxhash64("text").alias("_h")).select("doc_id", "s.n", "s.p", "_h")
     rows = materialise(rows, "posteriors")
-    rate, _, _ = fit_rates(rows, weights or WEIGHTS)
-    return rows.select("doc_id", F.col("n").alias("n_tokens"), *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), rate.alias("rate"), _kept(rate).alias("kept"))
+    fit = fit_rates(rows, WEIGHTS if weights is None else weights)
+    rate = rate_of(fit["moved"])
+    return rows.select("doc_id", F.col("n").alias("n_tokens"), *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), rate.alias("rate"), _kept(rate).alias("kept"), F.lit(float(fit["residual"])).alias("residual"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """The rows of ``docs`` that the rates keep, with all their columns."""
     model = fit_classifier(docs, labels)
     rows = materialise(docs.select(scored(model, F.col("text")).alias("s")).select("s.n", "s.p"), "posteriors")
-    rate, _, _ = fit_rates(rows, weights or WEIGHTS)
+    rate = rate_of(fit_rates(rows, WEIGHTS if weights is None else weights)["moved"])
     again = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", scored(model, F.col("text")).alias("s"), F.xxhash64("text").alias("_h"))
     return again.select("_row", "doc_id", "s.n", "s.p", "_h").filter(_kept(rate)).select("_row.*")
