@@ -3,19 +3,21 @@
 Rounds rewrite each document's words: a run of one symbol becomes a symbol, then every pair whose left
 symbol flips tails and right symbol heads in that round becomes one. A symbol's name is a hash of what
 it stands for and of the round, and its coin a hash of its name, so all tasks give equal substrings the
-same names without an exchange: inside a repeat of 50 words, at most 1 + 2 + 4 symbols' words (twice
-that where words come doubled) at either end depend on what lies outside. After three rounds at least
-22 words of whole symbols agree in every occurrence. A symbol has at most 8 words, and from each span of
-15 words the longest symbol is kept, so each repeat has a kept symbol in common; runs of three words or
-more are kept always, named by what they repeat.
-
-High-level symbols that two different texts share reveal where repeats may be; windows of 50 words that
-touch one are then compared by 128-bit fingerprints, which verifies them, and the words covered by a
-window that starts in a document with a smaller id go.
+same names; a Spark round over the names of all documents then tells which are shared. Inside a repeat of
+50 words, at most 1 + 2 + 4 symbols' words (twice that where words come doubled) at either end depend on
+what lies outside. After three rounds at least 22 words of whole symbols agree in every occurrence. A
+symbol has at most 8 words, and for each span of 15 words its longest symbol is named; runs of three words
+or more are named always, by what they repeat.
+
+So a window that also stands elsewhere touches a shared symbol, and the spans inside its middle, which does
+not depend on what lies outside, show shared ones alone: windows are compared if both hold, or if they
+touch a shared run. The comparison is by 128-bit fingerprints of
+their words; the words covered by a window that starts in a document with a smaller id go. The smallest id
+of a window is a sum by key with map-side combination and a join, so no task holds a frequent window's rows.
 
 Defined results: null or blank texts have no words, and the kept text of none is the digest of the
-empty string; repeated rows (one id, one text) do not remove each other; rows without an id remove
-nothing and lose nothing; extra columns are ignored.
+empty string; long texts are taken whole; repeated rows (one id, one text) do not remove each other; rows
+without an id remove nothing and lose nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import materialise, prepare_python, slices
@@ -37,6 +39,8 @@ ROUNDS = 3
 MAX_SYMBOL = 8
 SPAN = 15
 RUN_WORDS = 3
+#: Words at either end of a window whose symbols may depend on what lies outside, doubled words included.
+MARGIN = 14
 #: Texts that a task remembers, to take the copies of a text once a task.
 RECENT = 200_000
 
@@ -72,12 +76,16 @@ def recompress(names: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return names, start, length, found
 
 
-def kept_symbols(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, first word, words) of the symbols that stand for the document: the longest of each span, and long runs."""
+def kept_symbols(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], int]:
+    """(name, first word, words) of the symbols that stand for the document: the longest of each span, then long runs.
+
+    Also the spans as (number of its symbol, first word, end), and how many of the symbols are those of spans.
+    """
     name, start, length, runs = recompress(words, doc)
     n = len(name)
+    none = np.zeros(0, np.int64)
     if not n:
-        return runs
+        return *runs, (none, none, none), 0
     of = doc[start]
     last = np.searchsorted(start + length, start + SPAN)
     ok = last < n
@@ -90,12 +98,34 @@ def kept_symbols(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nda
         best.append(np.where(key[prev] >= key[other], prev, other))
     at, end = np.flatnonzero(ok), last[ok]
     level = np.frexp(end - at + 1)[1] - 1
-    picked = np.zeros(n, bool)
+    longest = np.zeros(len(at), np.int64)
     for k in range(len(best)):
         here = level == k
         a, b = best[k][at[here]], best[k][end[here] - 2**k + 1]
-        picked[np.where(key[a] >= key[b], a, b)] = True
-    return tuple(np.concatenate([x[picked], y]) for x, y in zip((name, start, length), runs, strict=True))
+        longest[here] = np.where(key[a] >= key[b], a, b)
+    picked = np.zeros(n, bool)
+    picked[longest] = True
+    spans = (np.cumsum(picked)[longest] - 1, start[at], start[end] + length[end])
+    return *(np.concatenate([x[picked], y]) for x, y in zip((name, start, length), runs, strict=True)), spans, int(picked.sum())
+
+
+def likely_windows(shared: np.ndarray, start: np.ndarray, length: np.ndarray, spans: tuple[np.ndarray, np.ndarray, np.ndarray], n_spans: int, n: int) -> np.ndarray:
+    """Which of n positions start a window that may stand elsewhere, ``shared`` telling so of each symbol."""
+    symbol, low, high = spans
+
+    def windows_over(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        marks = np.zeros(n + 1, np.int64)
+        some = first <= end
+        np.add.at(marks, np.maximum(first[some], 0), 1)
+        np.add.at(marks, np.minimum(np.maximum(end[some], -1) + 1, n), -1)
+        return np.cumsum(marks[:n]) > 0
+
+    def touched(which: np.ndarray) -> np.ndarray:
+        return windows_over(start[which] - WINDOW + 1, start[which] + length[which] - 1)
+
+    strange = ~shared[symbol] if len(symbol) else np.zeros(0, bool)
+    bad = windows_over(high[strange] - WINDOW + MARGIN, low[strange] - MARGIN)  # their middle holds such a span
+    return (touched(np.flatnonzero(shared[:n_spans])) & ~bad) | touched(np.flatnonzero(shared[n_spans:]) + n_spans)
 
 
 def _digests(words: Words, which: int, h: np.ndarray) -> np.ndarray:
@@ -152,14 +182,14 @@ def _symbols(docs: DataFrame) -> DataFrame:
             look = _skip_copies(seen, batch.column("doc_id").to_pylist(), classes.tolist(), np.diff(words.first))
             use = look[words.doc]
             doc = words.doc[use]
-            name, start, _ = kept_symbols(h[use], doc)
+            name, start, *_ = kept_symbols(h[use], doc)
             yield pa.record_batch([pa.array(name.view(np.int64)), pa.array(classes[doc[start]] if len(start) else np.zeros(0, np.int64))], names=["name", "cls"])
 
     return docs.mapInArrow(run, "name long, cls long")
 
 
 def _windows(docs: DataFrame, shared: KeyFilter) -> DataFrame:
-    """(w1, w2, doc_id, cls, pos) of the windows that touch a shared symbol."""
+    """(w1, w2, doc_id, cls, pos) of the windows that may stand elsewhere."""
     filter_ = docs.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,15 +202,11 @@ def _windows(docs: DataFrame, shared: KeyFilter) -> DataFrame:
             look = _skip_copies(seen, ids, classes.tolist(), np.diff(words.first))
             use = look[words.doc]
             doc, h, g = words.doc[use], h[use], words.hashes(1)[use]
-            name, start, length = kept_symbols(h, doc)
-            hit = filter_.value.passes(name)
-            start, length = start[hit], length[hit]
+            name, start, length, spans, n_spans = kept_symbols(h, doc)
             n = len(h)
-            marks = np.zeros(n + 1, np.int64)
-            np.add.at(marks, np.maximum(start - WINDOW + 1, 0), 1)
-            np.add.at(marks, start + length, -1)
             m = max(0, n - WINDOW + 1)
-            at = np.flatnonzero((np.cumsum(marks[:m]) > 0) & (doc[:m] == doc[WINDOW - 1 :][:m])) if m else np.zeros(0, np.int64)
+            likely = likely_windows(filter_.value.passes(name), start, length, spans, n_spans, n)
+            at = np.flatnonzero(likely[:m] & (doc[:m] == doc[WINDOW - 1 :][:m])) if m else np.zeros(0, np.int64)
             if not len(at):
                 continue
             row = doc[at]
@@ -226,8 +252,9 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = _symbols(docs).groupBy("name").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("name")
     shared = materialise(shared, "symbols")
     found = _windows(docs, key_filter(shared, "name", bits_for(shared.count())))
-    least = F.min("doc_id").over(Window.partitionBy("w1", "w2"))
-    hits = found.withColumn("least", least).filter("doc_id > least")
+    found = materialise(found, "windows")
+    least = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
+    hits = found.join(least, ["w1", "w2"]).filter("doc_id > least")
     return heads, materialise(hits.groupBy("doc_id", "cls").agg(F.collect_set("pos").alias("starts")), "starts")  # a list a document
 
 
