@@ -10,7 +10,8 @@ Law ``bytes``: sizes of shards near equal. A group of equal texts stays in one s
 is larger than a shard; such a group is dealt out by id in parts.
 
 Defined results: a null text counts as empty (size 1, checksum 0); rows with a null id are one part;
-repeated rows each get a slot; an empty table gives no rows; other columns pass through.
+repeated rows each get a slot; texts that tie keep together; an empty table gives no rows; other columns pass
+through, those called like new ones too.
 """
 
 from __future__ import annotations
@@ -18,25 +19,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialise, text_size
+from quillspark.llm.common import free_name, materialise, text_size
 
 #: Bits of the key that one round of probes resolves.
 ROUND_BITS = 8
 #: Part of a shard's bytes by which a splitter may miss.
 TOLERANCE = 0.002
-#: Buckets of a shard within which rows are numbered; a power of the scale, not of the data.
+#: Buckets of a shard within which rows are numbered, at least, and the bytes of text in one.
 SUB_BUCKETS = 64
-
-
-def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with size, checksum and sort key (``_key``) of each row."""
-    body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    return docs.withColumns({"_size": text_size(text) + 1, "_crc": F.crc32(body).cast("long"), "_key": F.xxhash64(body)})
+BUCKET_BYTES = 256 << 20
+COLUMNS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def _cell(bits: int) -> Column:
     """Grid cell of the key at a resolution, in the order of signed keys."""
-    return F.shiftright(F.col("_key"), 64 - bits) + F.lit(1 << (bits - 1))
+    return F.shiftright(F.col("_key"), 64 - bits)
 
 
 def find_splitters(keys: DataFrame, targets: list[float], tolerance: float) -> list[int]:
@@ -119,51 +116,61 @@ def _fill(load: list[float], rest: float) -> float:
     return 0.0
 
 
-def assign(docs: DataFrame, shards: int = 8, tolerance: float = TOLERANCE, text: str = "text", doc_id: str = "doc_id", keys: DataFrame | None = None) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 8, tolerance: float = TOLERANCE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with ``size``, ``text_crc32``, ``law``, ``shard``, ``slot`` and ``grown_shard``.
 
-    Slots are gapless from 0 in each shard: bucket counts give offsets (shards x 64 rows), and rows are
-    numbered within their bucket, so no task sorts a whole shard.
+    Where ``docs`` has columns of these names they stay, and the new ones get an underscore behind theirs.
     """
-    spark = docs.sparkSession
-    rows = keyed(docs, text) if keys is None else keys
-    if keys is None:
-        keys = materialise(rows.select(F.col(doc_id).alias("_id"), "_size", "_key"), "shard-keys")
-    else:
-        keys = keys.select(F.col(doc_id).alias("_id"), "_size", "_key")
+    rows = _keyed(docs, text, doc_id)
+    keys = materialise(rows.drop("row"), "shard-keys")
+    found = _dealt(rows, keys, shards, tolerance)
+    new = [F.col(f"new.{c}").alias(free_name(c, docs.columns)) for c in COLUMNS]
+    return found.select(*(F.col("row")[c].alias(c) for c in docs.columns), *new)
+
+
+def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """Id, size, checksum and sort key of each row, and the row itself."""
+    body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
+    return docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("_id"), (text_size(text) + 1).alias("_size"), F.crc32(body).cast("long").alias("_crc"), F.xxhash64(body).alias("_key"))
+
+
+def _dealt(rows: DataFrame, keys: DataFrame, shards: int, tolerance: float) -> DataFrame:
+    """``rows`` with the struct ``new`` of the columns of the law.
+
+    Slots are gapless from 0 in each shard: bucket counts give offsets, and rows are numbered within their
+    bucket, so no task sorts a whole shard. Buckets are so many that each holds BUCKET_BYTES about.
+    """
+    spark = rows.sparkSession
     splitters, placed, parts = plan_shards(keys, shards, tolerance)
+    total = keys.agg(F.sum("_size").alias("n")).first()["n"] or 0
+    buckets = max(SUB_BUCKETS, -(-total // (BUCKET_BYTES * shards)))
     heavy = F.broadcast(spark.createDataFrame([(k, p, s, parts[k]) for (k, p), s in placed.items()], "_key long, _part int, _heavy int, _parts int"))
 
-    def sharded(frame: DataFrame, name: str) -> DataFrame:
+    def sharded(frame: DataFrame) -> DataFrame:
         light = sum((F.col("_key") >= F.lit(b)).cast("int") for b in splitters) if splitters else F.lit(0)
         if placed:
             counts = F.broadcast(spark.createDataFrame(list(parts.items()), "_key long, _parts int"))
-            frame = frame.join(counts, "_key", "left").withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), F.col(name)), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-            frame = frame.join(heavy.drop("_parts"), ["_key", "_part"], "left").withColumn("shard", F.coalesce("_heavy", light)).drop("_heavy", "_part")
+            frame = frame.join(counts, "_key", "left").withColumn("_part", F.pmod(F.xxhash64(F.lit("part"), F.col("_id")), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+            frame = frame.join(heavy.drop("_parts"), ["_key", "_part"], "left").withColumn("_shard", F.coalesce("_heavy", light)).drop("_heavy", "_part")
         else:
-            frame = frame.withColumn("shard", light)
-        return frame.withColumn("_sub", F.pmod(F.xxhash64(F.lit("sub"), F.col(name), F.when(F.col(name).isNull(), F.col("_key"))), F.lit(SUB_BUCKETS)).cast("int"))
+            frame = frame.withColumn("_shard", light)
+        return frame.withColumn("_sub", F.pmod(F.xxhash64(F.lit("sub"), F.col("_id"), F.when(F.col("_id").isNull(), F.col("_key"))), F.lit(buckets)).cast("int"))
 
-    totals = sharded(keys, "_id").groupBy("shard", "_sub").agg(F.count("*").alias("n")).collect()  # shards x 64 rows
+    totals = sharded(keys).groupBy("_shard", "_sub").agg(F.count("*").alias("n")).collect()  # shards x buckets rows
     offsets, last = [], {}
-    for r in sorted(totals, key=lambda r: (r["shard"], r["_sub"])):
-        offsets.append((r["shard"], r["_sub"], last.get(r["shard"], 0)))
-        last[r["shard"]] = last.get(r["shard"], 0) + r["n"]
-    offset = F.broadcast(spark.createDataFrame(offsets, "shard int, _sub int, _offset long"))
-    within = Window.partitionBy("shard", "_sub").orderBy("_key", doc_id)
-    return (
-        sharded(rows, doc_id)
-        .withColumn("_row", F.row_number().over(within))
-        .join(offset, ["shard", "_sub"], "left")
-        .withColumns({"size": F.col("_size"), "text_crc32": F.col("_crc"), "law": F.lit("bytes"), "slot": (F.coalesce("_offset", F.lit(0)) + F.col("_row") - 1).cast("long"), "grown_shard": F.lit(None).cast("int")})
-        .drop("_size", "_crc", "_key", "_sub", "_row", "_offset")
-    )
+    for r in sorted(totals, key=lambda r: (r["_shard"], r["_sub"])):
+        offsets.append((r["_shard"], r["_sub"], last.get(r["_shard"], 0)))
+        last[r["_shard"]] = last.get(r["_shard"], 0) + r["n"]
+    offset = F.broadcast(spark.createDataFrame(offsets, "_shard int, _sub int, _offset long"))
+    within = Window.partitionBy("_shard", "_sub").orderBy("_key", "_id")
+    new = {"size": F.col("_size"), "text_crc32": F.col("_crc"), "law": F.lit("bytes"), "shard": F.col("_shard").cast("int"), "slot": (F.coalesce("_offset", F.lit(0)) + F.col("_row") - 1).cast("long"), "grown_shard": F.lit(None).cast("int")}
+    return sharded(rows).withColumn("_row", F.row_number().over(within)).join(offset, ["_shard", "_sub"], "left").withColumn("new", F.struct(*(new[c].alias(c) for c in COLUMNS)))
 
 
 def digest(docs: DataFrame, shards: int = 8) -> DataFrame:
     """The columns of the contract; the text is read once and no text moves."""
-    keys = materialise(keyed(docs.select("doc_id", "text")).drop("text"), "shard-keys")
-    return assign(keys, shards, keys=keys).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    keys = materialise(_keyed(docs.select("doc_id", "text"), "text", "doc_id").drop("row"), "shard-keys")
+    return _dealt(keys, keys, shards, TOLERANCE).select(F.col("_id").alias("doc_id"), "new.*")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:

@@ -66,6 +66,24 @@ def test_every_row_comes_back(name, odd, labels, benchmark, merges):
     assert sorted((r["doc_id"] for r in rows), key=str) == sorted((i for i, _ in ROWS), key=str)
 
 
+def test_values_of_odd_rows(odd, labels, benchmark, merges):
+    """Null, empty and blank texts, repeated rows, rows without an id."""
+    ops = operators(labels, benchmark, merges)
+    rows = lambda name: sorted((tuple(r.asDict().items()) for r in ops[name](odd).collect()), key=str)
+    by = lambda name: {(r["doc_id"], r.get("n_tokens", 0)): r for r in map(dict, rows(name))}
+    mix = [dict(r) for r in rows("mix")]
+    assert all(r["kept"] and r["n_tokens"] == 0 for r in mix if r["doc_id"] in (3, 4, 5)) and len({r["p_good"] for r in mix if r["doc_id"] == 2}) == 1
+    ppm = by("ppm")
+    assert {i for i, n in ppm if n == 1} >= {3, 4, 5} and all(r["held_out"] for (i, _), r in ppm.items() if i is None)
+    quality = [dict(r) for r in rows("quality")]
+    assert all(r["base_failed"] and not r["kept"] and r["n_words"] == 0 for r in quality if r["doc_id"] in (3, 4, 5))
+    assert len({tuple(r.values()) for r in quality if r["doc_id"] == 2}) == 1
+    shards = [dict(r) for r in rows("shard_digest")]
+    assert {r["size"]: r["text_crc32"] for r in shards if r["doc_id"] in (3, 4)} == {1: 0} and len({(r["doc_id"], r["shard"], r["slot"]) for r in shards}) == len(shards)
+    pii = [dict(r) for r in rows("pii")]
+    assert {(r["doc_id"], r["text"], r["n_replaced"]) for r in pii if r["doc_id"] in (3, 4, 5)} == {(3, None, 0), (4, "", 0), (5, " \n\t ", 0)} and all(r["size"] == 7 for r in pii)
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_empty_table(name, odd, labels, benchmark, merges):
     assert operators(labels, benchmark, merges)[name](odd.limit(0)).collect() == []

@@ -395,6 +395,28 @@ def test_a_group_larger_than_a_shard_is_dealt_out(spark):
     assert max(load.values()) < 1.1 * sum(load.values()) / 8
 
 
+def test_shards_equal_brute_force_on_uneven_keys(spark):
+    """Keys that crowd in one corner of the key space: splitters are refined until each meets the tolerance."""
+    r = np.random.default_rng(6)
+    keys = sorted({int(x) for x in np.concatenate([r.integers(0, 1 << 20, 3000), r.integers(-(2**63), 2**63 - 1, 300)])})
+    size = {k: int(r.integers(1, 900)) for k in keys}
+    frame = spark.createDataFrame([(k, size[k]) for k in keys], "_key long, _size long")
+    total = sum(size.values())
+    targets = [total * i / 8 for i in range(1, 8)]
+    for target, b in zip(targets, sharding.find_splitters(frame, targets, 0.002 * total / 8), strict=True):
+        below = sum(n for k, n in size.items() if k < b)
+        best = min(abs(sum(n for k, n in size.items() if k < c) - target) for c in keys)
+        assert abs(below - target) <= max(0.002 * total / 8, best) + 1e-6
+
+
+def test_columns_called_like_new_ones_stay(spark):
+    rows = spark.createDataFrame([(1, "a b", 7, "x", "r", 3), (None, None, 8, "y", "s", 4)], "doc_id long, text string, size int, Shard string, row string, _key int")
+    out = sharding.assign(rows)
+    assert out.columns == ["doc_id", "text", "size", "Shard", "row", "_key", "size_", "text_crc32", "law", "shard_", "slot", "grown_shard"]
+    got = {r["size"]: (r["Shard"], r["row"], r["_key"], r["size_"], r["text_crc32"], r["slot"] >= 0) for r in out.collect()}
+    assert got == {7: ("x", "r", 3, 4, zlib.crc32(b"a b"), True), 8: ("y", "s", 4, 1, 0, True)}
+
+
 # --- pseudonyms ------------------------------------------------------------------------------------
 
 
