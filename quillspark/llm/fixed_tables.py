@@ -10,10 +10,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from quillspark.llm.common import materialise
 from quillspark.llm.hashing import U, mix
 
 PARTS = 16
+FAN_IN = 64
 SALT = U(0xA0761D6478BD642F)
 
 
@@ -46,7 +49,12 @@ def sum_parts(tables: DataFrame, size: int, join=saturating) -> np.ndarray:
         yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([pack.compress(x.tobytes(), asbytes=True) for x in total.values()], pa.binary())], names=["part", "counts"])
 
     out, codec = np.zeros(size, np.uint8), pa.Codec("zstd")
-    for row in tables.select("part", "counts").repartition(8, "part").mapInArrow(add, "part int, counts binary").collect():
+    tables = tables.select("part", "counts")
+    groups = -(-tables.rdd.getNumPartitions() // FAN_IN)
+    while groups > 1:  # no task adds more than about FAN_IN partial tables of a part
+        tables = materialise(tables.repartition(groups * PARTS, "part", F.pmod(F.spark_partition_id(), F.lit(groups))).mapInArrow(add, "part int, counts binary"), "tables")
+        groups = -(-groups // FAN_IN)
+    for row in tables.repartition(PARTS, "part").mapInArrow(add, "part int, counts binary").collect():
         at = slice(row["part"] * step, (row["part"] + 1) * step)
         out[at] = join(out[at], np.frombuffer(codec.decompress(bytes(row["counts"]), step, asbytes=True), np.uint8))
     return out
