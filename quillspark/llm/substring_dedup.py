@@ -12,8 +12,9 @@ or more are named always, by what they repeat.
 So a window that also stands elsewhere touches a shared symbol, and the spans inside its middle, which does
 not depend on what lies outside, show shared ones alone: windows are compared if both hold, or if they
 touch a shared run. The comparison is by 128-bit fingerprints of
-their words; the words covered by a window that starts in a document with a smaller id go. The smallest id
-of a window is a sum by key with map-side combination and a join, so no task holds a frequent window's rows.
+their words; the words covered by a window that starts in a document with a smaller id go. A text shows
+each of its windows once. The smallest id of a window is an aggregate with map-side combination, and a join,
+whose frequent keys are split at run time.
 
 Defined results: null or blank texts have no words, and the kept text of none is the digest of the
 empty string; long texts are taken whole; repeated rows (one id, one text) do not remove each other; rows
@@ -189,7 +190,10 @@ def _symbols(docs: DataFrame) -> DataFrame:
 
 
 def _windows(docs: DataFrame, shared: KeyFilter) -> DataFrame:
-    """(w1, w2, doc_id, cls, pos) of the windows that may stand elsewhere."""
+    """(w1, w2, doc_id, mark) of the windows that may stand elsewhere.
+
+    The mark is the upper half of the text's class, and the window's first place in it.
+    """
     filter_ = docs.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,15 +213,15 @@ def _windows(docs: DataFrame, shared: KeyFilter) -> DataFrame:
             at = np.flatnonzero(likely[:m] & (doc[:m] == doc[WINDOW - 1 :][:m])) if m else np.zeros(0, np.int64)
             if not len(at):
                 continue
-            row = doc[at]
-            first = np.searchsorted(doc, row)
+            one, two, row = windows(h, WINDOW, 0)[at], windows(g, WINDOW, 1)[at], doc[at]
+            # a window that a text repeats is compared once; its other places are found again with the words
+            keep = np.sort(np.unique(mix(one + mix(two)) + mix(row.astype(np.uint64) + U(1)), return_index=True)[1])
+            one, two, row, at = one[keep], two[keep], row[keep], at[keep]
             numbers = np.array([i or 0 for i in ids], np.int64)
-            yield pa.record_batch(
-                [pa.array(windows(h, WINDOW, 0)[at].view(np.int64)), pa.array(windows(g, WINDOW, 1)[at].view(np.int64)), pa.array(numbers[row]), pa.array(classes[row]), pa.array((at - first).astype(np.int32))],
-                names=["w1", "w2", "doc_id", "cls", "pos"],
-            )
+            mark = (classes[row] & ~0xFFFFFFFF) | (at - np.searchsorted(doc, row))
+            yield pa.record_batch([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(numbers[row]), pa.array(mark)], names=["w1", "w2", "doc_id", "mark"])
 
-    return docs.mapInArrow(run, "w1 long, w2 long, doc_id long, cls long, pos int")
+    return docs.mapInArrow(run, "w1 long, w2 long, doc_id long, mark long")
 
 
 def covered(positions: np.ndarray, n: int) -> np.ndarray:
@@ -228,6 +232,14 @@ def covered(positions: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(marks[:n]) > 0
 
 
+def every_place(text: pa.Array, positions: np.ndarray) -> np.ndarray:
+    """All places of a text (an array of one) where the windows at ``positions`` stand."""
+    words = Words(text)
+    one, two = (windows(words.hashes(k), WINDOW, k) for k in (0, 1))
+    same = mix(one + mix(two))
+    return np.flatnonzero(np.isin(same, same[positions]))
+
+
 def _with_class(docs: DataFrame, ids: KeyFilter) -> DataFrame:
     """(doc_id, cls, text) of the rows whose id passes."""
     filter_ = docs.sparkSession.sparkContext.broadcast(ids)
@@ -244,7 +256,7 @@ def _with_class(docs: DataFrame, ids: KeyFilter) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Heads of all rows, and (doc_id, cls, starts): the windows of a document that start in one with a smaller id.
+    """Heads of all rows, and (doc_id, half, starts): the windows of a document that start in one with a smaller id, and half of its class.
 
     Documents whose whole word sequence is that of a smaller id are found by digest and have no starts.
     """
@@ -255,7 +267,8 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = materialise(found, "windows")
     least = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
     hits = found.join(least, ["w1", "w2"]).filter("doc_id > least")
-    return heads, materialise(hits.groupBy("doc_id", "cls").agg(F.collect_set("pos").alias("starts")), "starts")  # a list a document
+    hits = hits.select("doc_id", F.shiftright("mark", 32).cast("int").alias("half"), F.col("mark").cast("int").alias("pos"))
+    return heads, materialise(hits.groupBy("doc_id", "half").agg(F.collect_set("pos").alias("starts")), "starts")  # a list a document
 
 
 def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
@@ -269,16 +282,17 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, shas, texts = [], [], []
-            for text, at in zip(batch.column("text").to_pylist(), batch.column("starts"), strict=True):
+            for i, (text, at) in enumerate(zip(batch.column("text").to_pylist(), batch.column("starts"), strict=True)):
                 words = (text or "").encode().split()
-                gone = covered(at.values.to_numpy().astype(np.int64), len(words))
+                gone = covered(every_place(batch.column("text").slice(i, 1), at.values.to_numpy().astype(np.int64)), len(words))
                 kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
                 removed.append(int(gone.sum()))
                 shas.append(hashlib.sha256(kept).hexdigest())
                 texts.append(kept.decode() if keep_text else None)
             yield pa.record_batch([batch.column("doc_id"), batch.column("cls"), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "cls", "n_removed", "new_sha", "kept_text"])
 
-    changed = _with_class(docs, ids).join(starts, ["doc_id", "cls"]).dropDuplicates(["doc_id", "cls"]).mapInArrow(run, "doc_id long, cls long, n_removed long, new_sha string, kept_text string")
+    texts_of = _with_class(docs, ids).withColumn("half", F.shiftright("cls", 32).cast("int"))
+    changed = texts_of.join(starts, ["doc_id", "half"]).dropDuplicates(["doc_id", "cls"]).mapInArrow(run, "doc_id long, cls long, n_removed long, new_sha string, kept_text string")
     whole = F.col("least").isNotNull() & (F.col("doc_id") > F.col("least"))
     out = heads.join(first, ["cls", "cls2"], "left").join(changed, ["doc_id", "cls"], "left").select(
         "doc_id",
