@@ -267,7 +267,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = materialise(found, "windows")
     least = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
     hits = found.join(least, ["w1", "w2"]).filter("doc_id > least")
-    hits = hits.select("doc_id", F.shiftright("mark", 32).cast("int").alias("half"), F.col("mark").cast("int").alias("pos"))
+    hits = hits.select("doc_id", F.shiftright("mark", 32).cast("int").alias("half"), F.col("mark").bitwiseAND(0x7FFFFFFF).cast("int").alias("pos"))
     return heads, materialise(hits.groupBy("doc_id", "half").agg(F.collect_set("pos").alias("starts")), "starts")  # a list a document
 
 
