@@ -31,7 +31,6 @@ their names.
 from __future__ import annotations
 
 import json
-import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,7 +95,7 @@ def label_domain() -> Column:
 
 def _table(odds: dict[int, tuple[float, float]]) -> Column:
     """Log odds by bucket as one constant; null where a bucket has none."""
-    return F.from_json(F.lit(json.dumps([{"l": odds[b][0], "t": odds[b][1]} if b in odds else None for b in range(BUCKETS)])), "array<struct<l: double, t: double>>")
+    return F.from_json(F.lit(json.dumps([{"l": odds[b][0], "t": odds[b][1]} if b in odds else None for b in range(BUCKETS)], separators=(",", ":"))), "array<struct<l: double, t: double>>")
 
 
 def measures(table: Column, buckets: Column, n: Column) -> Column:
@@ -172,7 +171,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS
     """Log odds by bucket and weights of the regression; nothing where no row is labelled.
 
     At most ``sample`` labelled ids are drawn, by hash, so they may be broadcast; what reaches the driver
-    are counts of at most BUCKETS buckets.
+    are log odds of at most BUCKETS buckets.
     """
     drawn = labels.select(F.col("doc_id").alias("_id"), label_domain().alias("domain")).filter("_id is not null and domain is not null").groupBy("_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     words = _bind(words_column(F.coalesce(F.col("text"), F.lit(""))), lambda w: F.struct(F.size(w).alias("n"), buckets_column(w, F.col("text")).alias("b")))
@@ -181,32 +180,32 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS
     totals = {(r["fold"], r["y"]): r["n"] for r in rows.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
     if not totals:
         return None
-    cells = [(f, y) for f in range(FOLDS) for y in range(len(DOMAINS))]
-    counts = rows.select("fold", "y", F.explode("b").alias("b")).groupBy("b").agg(*(F.sum(((F.col("fold") == f) & (F.col("y") == y)).cast("long")).alias(f"c{f}{y}") for f, y in cells)).filter(sum(F.col(f"c{f}{y}") for f, y in cells) >= LEAST_ROWS)
-    found = [(r["b"], {c: r[f"c{c[0]}{c[1]}"] for c in cells}) for r in counts.collect()]
+    everything = list(range(FOLDS))
+    cells = [(f, y) for f in everything for y in range(len(DOMAINS))]
+    counts = rows.select("fold", "y", F.explode("b").alias("b")).groupBy("b").agg(*(F.sum(((F.col("fold") == f) & (F.col("y") == y)).cast("long")).alias(f"c{f}{y}") for f, y in cells))
 
-    def odds(folds: list[int]) -> dict[int, tuple[float, float]]:
+    def odds(folds: list[int]) -> Column:
+        """Log odds of low and toxic in some folds, drawn in; null where both are 0 or rows are too few."""
         n = [sum(totals.get((f, y), 0) for f in folds) for y in range(len(DOMAINS))]
-        out = {}
-        for bucket, count in found:
-            c = [sum(count[(f, y)] for f in folds) for y in range(len(DOMAINS))]
-            if sum(c) < LEAST_ROWS or not n[0]:
-                continue
-            pair = []
-            for y in (1, 2):
-                log = math.log((c[y] + 0.5) / (n[y] + 1)) - math.log((c[0] + 0.5) / (n[0] + 1))
-                error = CAUTION * math.sqrt(1 / (c[y] + 0.5) + 1 / (c[0] + 0.5))
-                pair.append(math.copysign(max(0.0, abs(log) - error), log) if n[y] else 0.0)
-            if any(pair):
-                out[bucket] = (pair[0], pair[1])
-        return out
+        c = [sum(F.col(f"c{f}{y}") for f in folds) for y in range(len(DOMAINS))]
+        pair = []
+        for y in (1, 2):
+            log = F.log((c[y] + 0.5) / (n[y] + 1)) - F.log((c[0] + 0.5) / (n[0] + 1))
+            error = CAUTION * F.sqrt(1 / (c[y] + 0.5) + 1 / (c[0] + 0.5))
+            pair.append(F.round(F.signum(log) * F.greatest(F.lit(0.0), F.abs(log) - error), 4) if n[y] and n[0] else F.lit(0.0))
+        return F.when((c[0] + c[1] + c[2] >= LEAST_ROWS) & ((pair[0] != 0) | (pair[1] != 0)), F.struct(pair[0].alias("l"), pair[1].alias("t")))
+
+    sets = {**{f"without_{f}": [x for x in everything if x != f] for f in everything}, "all": everything}
+    found = materialise(counts.select("b", *(odds(folds).alias(name) for name, folds in sets.items())), "odds")
+
+    def collected(name: str) -> dict[int, tuple[float, float]]:
+        return {r["b"]: (r["l"], r["t"]) for r in found.filter(F.col(name).isNotNull()).select("b", f"{name}.l", f"{name}.t").toLocalIterator()}
 
-    everything = list(range(FOLDS))
     z = F.lit(None).cast("array<double>")
     for f in everything:
-        z = F.when(F.col("fold") == f, measures(_table(odds([x for x in everything if x != f])), F.col("b"), F.col("n"))).otherwise(z)
+        z = F.when(F.col("fold") == f, measures(_table(collected(f"without_{f}")), F.col("b"), F.col("n"))).otherwise(z)
     weights = _regress(materialise(rows.select("y", z.alias("z")), "measures"))
-    return {"odds": odds(everything), "weights": weights}
+    return {"odds": collected("all"), "weights": weights}
 
 
 def scored(model: dict | None, text: Column) -> Column:
