@@ -98,6 +98,10 @@ def _table(odds: dict[int, tuple[float, float]]) -> Column:
     return F.from_json(F.lit(json.dumps([{"l": odds[b][0], "t": odds[b][1]} if b in odds else None for b in range(BUCKETS)], separators=(",", ":"))), "array<struct<l: double, t: double>>")
 
 
+def _measures(s, n: Column) -> Column:
+    return F.array(F.lit(1.0), s["sl"] / 10, s["st"] / 10, s["ml"], s["mt"], F.log1p(s["kl"]), F.log1p(s["kt"]), F.log1p(n.cast("double")) / 5)
+
+
 def measures(table: Column, buckets: Column, n: Column) -> Column:
     """What the regression looks at: 1, sums, maxima and telling counts for low and toxic, and length."""
 
@@ -111,7 +115,7 @@ def measures(table: Column, buckets: Column, n: Column) -> Column:
                 (acc["kl"] + (e["l"] > TELLING).cast("double")).alias("kl"), (acc["kt"] + (e["t"] > TELLING).cast("double")).alias("kt"),
             )
 
-        return F.aggregate(hits, start, add, lambda s: F.array(F.lit(1.0), s["sl"] / 10, s["st"] / 10, s["ml"], s["mt"], F.log1p(s["kl"]), F.log1p(s["kt"]), F.log1p(n.cast("double")) / 5))
+        return F.aggregate(hits, start, add, lambda s: _measures(s, n))
 
     return _bind(table, measured)
 
@@ -175,8 +179,9 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS
     """
     drawn = labels.select(F.col("doc_id").alias("_id"), label_domain().alias("domain")).filter("_id is not null and domain is not null").groupBy("_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     words = _bind(words_column(F.coalesce(F.col("text"), F.lit(""))), lambda w: F.struct(F.size(w).alias("n"), buckets_column(w, F.col("text")).alias("b")))
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select(F.array_position(F.array(*map(F.lit, DOMAINS)), F.col("domain")).cast("int").alias("y"), F.pmod(F.xxhash64(F.lit("fold"), "_id"), F.lit(FOLDS)).cast("int").alias("fold"), words.alias("s"))
-    rows = materialise(rows.select((F.col("y") - 1).alias("y"), "fold", "s.n", "s.b"), "labelled")
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select(F.array_position(F.array(*map(F.lit, DOMAINS)), F.col("domain")).cast("int").alias("y"), F.pmod(F.xxhash64(F.lit("fold"), "_id"), F.lit(FOLDS)).cast("int").alias("fold"), words.alias("s"), "_id")
+    # of rows that share a labelled id one is learned from
+    rows = materialise(rows.select("_id", (F.col("y") - 1).alias("y"), "fold", "s.n", "s.b").dropDuplicates(["_id"]), "labelled")
     totals = {(r["fold"], r["y"]): r["n"] for r in rows.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
     if not totals:
         return None
@@ -198,14 +203,18 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS
     sets = {**{f"without_{f}": [x for x in everything if x != f] for f in everything}, "all": everything}
     found = materialise(counts.select("b", *(odds(folds).alias(name) for name, folds in sets.items())), "odds")
 
-    def collected(name: str) -> dict[int, tuple[float, float]]:
-        return {r["b"]: (r["l"], r["t"]) for r in found.filter(F.col(name).isNotNull()).select("b", f"{name}.l", f"{name}.t").toLocalIterator()}
-
-    z = F.lit(None).cast("array<double>")
+    # the measures of the labelled rows, each by the odds of the other folds, as sums over a join
+    other = F.lit(None).cast("struct<l: double, t: double>")
     for f in everything:
-        z = F.when(F.col("fold") == f, measures(_table(collected(f"without_{f}")), F.col("b"), F.col("n"))).otherwise(z)
-    weights = _regress(materialise(rows.select("y", z.alias("z")), "measures"))
-    return {"odds": collected("all"), "weights": weights}
+        other = F.when(F.col("fold") == f, F.col(f"without_{f}")).otherwise(other)
+    hits = rows.select("_id", "fold", F.explode("b").alias("b")).join(found, "b").select("_id", other.alias("e")).filter("e is not null")
+    sums = hits.groupBy("_id").agg(
+        *(F.sum(f"e.{c}").alias(f"s{c}") for c in "lt"), *(F.greatest(F.lit(0.0), F.max(f"e.{c}")).alias(f"m{c}") for c in "lt"), *(F.sum((F.col(f"e.{c}") > TELLING).cast("double")).alias(f"k{c}") for c in "lt"),
+    )
+    joined = rows.select("_id", "y", "n").join(sums, "_id", "left").fillna(0.0)
+    weights = _regress(materialise(joined.select("y", _measures({c: F.col(c) for c in ("sl", "st", "ml", "mt", "kl", "kt")}, F.col("n")).alias("z")), "measures"))
+    odds_of_all = {r["b"]: (r["l"], r["t"]) for r in found.filter(F.col("all").isNotNull()).select("b", "all.l", "all.t").toLocalIterator()}
+    return {"odds": odds_of_all, "weights": weights}
 
 
 def scored(model: dict | None, text: Column) -> Column:
@@ -298,7 +307,7 @@ def mix_report(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | N
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """The rows of ``docs`` that the rates keep, with all their columns."""
     model = fit_classifier(docs, labels)
-    rows = materialise(docs.select(scored(model, F.col("text")).alias("s")).select("s.n", "s.p"), "posteriors")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", scored(model, F.col("text")).alias("s"), F.xxhash64("text").alias("_h")).select("_row", "doc_id", "s.n", "s.p", "_h")
+    rows = materialise(rows, "posteriors")  # with the rows themselves: ids may be null or repeat, and scoring twice costs more
     rate = rate_of(fit_rates(rows, WEIGHTS if weights is None else weights)["moved"])
-    again = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", scored(model, F.col("text")).alias("s"), F.xxhash64("text").alias("_h"))
-    return again.select("_row", "doc_id", "s.n", "s.p", "_h").filter(_kept(rate)).select("_row.*")
+    return rows.filter(_kept(rate)).select("_row.*")
