@@ -156,14 +156,14 @@ def index_lines(spark, sf):
 # --- scalar text -----------------------------------------------------------------------------------
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents")
 def slug_ascii(spark, sf):
-    return views.table(spark, sf, "documents").select("doc_id", T.slug_ascii(F.substring("text", 1, 60)).alias("slug"))
+    return views.table(spark, sf, "documents").select("doc_id", T.slug_ascii(F.col("text")).alias("slug"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 60)), '[^\p{L}\p{N}]+', '-', 'g'), '-') AS slug FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '-', 'g'), '-') AS slug FROM documents")
 def slug_unicode(spark, sf):
-    return views.table(spark, sf, "documents").select("doc_id", T.slug_unicode(F.substring("text", 1, 60)).alias("slug"))
+    return views.table(spark, sf, "documents").select("doc_id", T.slug_unicode(F.col("text")).alias("slug"))
 
 
 @query(
@@ -203,7 +203,7 @@ def structured_ratio(spark, sf):
     return views.table(spark, sf, "pages").select("page_id", T.structured_scale(F.col("html")).alias("scale"))
 
 
-_SECRET = "'key: ' || sha256(text) || ' sk-' || substr(sha256(source), 1, 24) || ' ' || substr(text, 1, 100)"
+_SECRET = "'key: ' || sha256(text) || ' sk-' || substr(sha256(source), 1, 24) || ' ' || text"
 
 
 @query(
@@ -214,7 +214,7 @@ def redact(spark, sf):
     return views.table(spark, sf, "documents").select("doc_id", T.redact(F.expr(_SECRET.replace("sha256(", "sha2x(").replace("sha2x(text)", "sha2(text, 256)").replace("sha2x(source)", "sha2(source, 256)"))).alias("text"))
 
 
-_TAGGED = "'<private>' || source || chr(10) || lang || '</private>' || substr(text, 1, 80) || ' <tool_use> </invoke> <thinker>'"
+_TAGGED = "'<private>' || source || chr(10) || lang || '</private>' || text || ' <tool_use> </invoke> <thinker>'"
 
 
 @query(rf"SELECT doc_id, regexp_replace(regexp_replace({_TAGGED}, '<private>.*?</private>', '', 'gs'), '<(\s*/?(?:invoke|tool_use|thinking)\b)', '<' || chr(8203) || '\1', 'g') AS text FROM documents")
@@ -238,11 +238,11 @@ def line_slice(spark, sf):
 
 
 @query(
-    r"SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(substr(text, 1, 200)), '\s+'), lambda x: regexp_replace(regexp_replace(x, '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}]+$', '')), "
+    r"SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(text), '\s+'), lambda x: regexp_replace(regexp_replace(x, '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}]+$', '')), "
     r"lambda x: length(x) > 1 AND x NOT IN (" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")) AS terms FROM documents"
 )
 def intent_terms(spark, sf):
-    return views.table(spark, sf, "documents").select("doc_id", T.intent_terms(F.substring("text", 1, 200)).alias("terms"))
+    return views.table(spark, sf, "documents").select("doc_id", T.intent_terms(F.col("text")).alias("terms"))
 
 
 @query("SELECT doc_id, (CASE WHEN contains(lower(text), 'tion') THEN 1.0 ELSE 0.0 END) + (CASE WHEN contains(lower(text), 'zzz') THEN 1.0 ELSE 0.0 END) + (CASE WHEN contains(lower(text), 'über') THEN 0.5 ELSE 0.0 END) AS score FROM documents")
