@@ -19,6 +19,8 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_CLASS)
 #: Bytes of text that Python code turns into arrays at a time; a longer single text is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch between the JVM and Python; a larger single row is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,11 +100,14 @@ def partitions_for(spark: SparkSession) -> int:
 
 
 def prepare_python(spark: SparkSession) -> None:
-    """Settings for Arrow code: bounded batches whatever the text length, and this package on the workers' path.
+    """Settings for Arrow code: batches of bounded rows and bytes, and this package on the workers' path.
+
+    A batch is held by the JVM, outside its heap, and by the worker at once; Spark's own limit is 64 MB.
 
     A cluster installs the package or ships it with ``--py-files``; the path helps local and shared-disk runs.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(":"):
