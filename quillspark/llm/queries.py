@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontaminate, mixing, ngram_join, pii_feistel, ppm_score, quality_rules, sharding, substring_dedup, token_counts, warc_zip
+from quillspark.llm import decontaminate, mixing, ngram_join, pii_feistel, ppm_score, quality_rules, sharding, substring_dedup, token_counts, warc_zip, whitening
 from quillspark.llm.common import table
 
 #: Vocabulary of the token counts; a name known to the ``public_tokenizers`` package.
@@ -55,6 +55,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_zip": op8_warc_zip,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE: dict[str, str] = {}
