@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontaminate, mixing, ngram_join, pii_feistel, ppm_score, quality_rules, sharding, spelling, substring_dedup, token_counts, warc_zip, whitening
+from quillspark.llm import decontaminate, mixing, ngram_join, pii_feistel, ppm_score, quality_rules, sharding, simhash_bk, spelling, substring_dedup, token_counts, warc_zip, whitening
 from quillspark.llm.common import table
 
 #: Vocabulary of the token counts; a name known to the ``public_tokenizers`` package.
@@ -63,6 +63,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_bk.near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op13_whitening": op13_whitening,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_simhash_bk": op12_simhash_bk,
 }
 
 ORACLE: dict[str, str] = {}
