@@ -37,6 +37,8 @@ DAMAGE = 97
 #: Candidates whose hashes a task holds at a time.
 BLOCK = 1 << 19
 FILTER_BITS = 29
+#: Words whose neighbourhoods one task generates.
+TASK_WORDS = 20_000
 #: Doublings after which every chain of a 64-bit count has ended.
 ROUNDS = 7
 
@@ -131,7 +133,8 @@ def near_words(words: DataFrame) -> DataFrame:
     alphabet = np.array(sorted(ord(r["c"]) for r in letters.collect()), np.uint32)  # at most the letters of RUN
     if not len(alphabet):
         return words.select("word", F.col("word").alias("near")).limit(0)
-    hashed, bits = _hashed(words), bits_for(words.count(), most=FILTER_BITS)
+    n = words.count()
+    hashed, bits = _hashed(words), bits_for(n, most=FILTER_BITS)
     shared = spark.sparkContext.broadcast((key_filter(hashed, "first", bits), key_filter(hashed, "second", bits)))  # 2^29 bits each at most
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +160,7 @@ def near_words(words: DataFrame) -> DataFrame:
                     if pairs:
                         yield pa.record_batch([pa.array([part[w] for w, _ in pairs]), pa.array([c for _, c in pairs])], names=["word", "near"])
 
-    candidates = words.select("word").mapInArrow(run, "word string, near string")
+    candidates = words.select("word").repartition(1 + n // TASK_WORDS).mapInArrow(run, "word string, near string")
     return candidates.join(words.select(F.col("word").alias("near")), "near").select("word", "near")
 
 
