@@ -35,6 +35,8 @@ SHARD = 1 << 19
 #: Shingles whose bits are counted at a time; places in a tree that a task visits at a time.
 BLOCK = 1 << 15
 FRONTIER = 1 << 20
+#: Nodes that one task looks up in a tree.
+TASK_NODES = 1 << 14
 #: Links that a task gathers before it folds them into stars.
 LINKS = 1 << 21
 
@@ -182,9 +184,10 @@ def _planted(nodes: DataFrame, shards: int) -> DataFrame:
 def links(nodes: DataFrame, radius: int, most: int = SHARD) -> DataFrame:
     """(a, b): edges between distinct ``node`` values with the components of all pairs at most ``radius`` bits apart."""
     spark = nodes.sparkSession
-    shards = 1 + nodes.count() * 5 // (4 * most)  # a hash deals shards of less than 4/3 of the mean
-    trees = materialise(_planted(nodes, shards), "trees")
-    found = None
+    n = nodes.count()
+    shards = 1 + n * 5 // (4 * most)  # a hash deals shards of less than 4/3 of the mean
+    trees, found = materialise(_planted(nodes, shards), "trees"), None
+    asking = nodes.select("node").repartition(1 + n // TASK_NODES)
     for k in range(shards):
         row = trees.filter(F.col("shard") == k).first()  # one tree
         if row is None:
@@ -208,7 +211,7 @@ def links(nodes: DataFrame, radius: int, most: int = SHARD) -> DataFrame:
                 a, b = stars(*map(np.concatenate, zip(*own, strict=True)))
                 yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        part = materialise(nodes.select("node").mapInArrow(run, "a long, b long"), "links")
+        part = materialise(asking.mapInArrow(run, "a long, b long"), "links")
         shared.destroy()
         found = part if found is None else found.union(part)
     return found if found is not None else spark.createDataFrame([], "a long, b long")
