@@ -1,19 +1,24 @@
 """Lexical retrieval: postings, boolean queries, BM25.
 
-An index is two tables: postings (term, key columns, tf, positions), written in term order so that a
-query's terms prune row groups, and lengths (key columns, dl). A query filters the postings to its terms,
-folds them to one row a key with conditional aggregates, and takes the best by a top-k sort; document
-statistics cover the whole index, since type and collection filters apply around the match.
+An index is a table of postings (term, key columns, tf, positions, dl), each file in term order so that a
+query's terms prune row groups, and two numbers. A query filters the postings to its terms, folds them to one row a key
+with conditional aggregates, and takes the best by a top-k sort; document statistics cover the whole
+index, since type and collection filters apply around the match.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import stage
+
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -54,22 +59,24 @@ def parse_query(text: str) -> list[Clause]:
 
 
 def postings(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """(term, keys, tf, positions) of a text column."""
+    """(term, keys, tf, positions, dl) of a text column; keys name a row, and dl is the number of its words."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(0))
-    exploded = rows.select(*keys, F.posexplode(words).alias("pos", "term"))
-    return exploded.groupBy("term", *keys).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    split = rows.select(*keys, words.alias("_words"))
+    exploded = split.select(*keys, F.size("_words").cast("long").alias("dl"), F.posexplode("_words").alias("pos", "term"))
+    return exploded.groupBy("term", *keys).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("dl").alias("dl"))
 
 
-def lengths(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    return rows.select(*keys, F.regexp_count(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN)).cast("long").alias("dl"))
+def lengths(rows: DataFrame, text: str) -> DataFrame:
+    return rows.select(F.regexp_count(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN)).cast("long").alias("dl"))
 
 
 @dataclass
 class LexicalIndex:
+    """Postings by key, and the number of rows with their mean length (known, or from ``rows`` when asked for)."""
+
     postings: DataFrame
-    lengths: DataFrame
     keys: list[str]
-    _stats: tuple[int, float] | None = field(default=None, repr=False)
+    stats: tuple[int, float]
 
     @classmethod
     def build(cls, rows: DataFrame, text: str, keys: list[str], stemmed: bool = False) -> "LexicalIndex":
@@ -78,27 +85,18 @@ class LexicalIndex:
             from quillspark.functions.porter import stem_terms
 
             found = stem_terms(found)
-            found = found.groupBy("term", *keys).agg(F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
-        return cls(found, lengths(rows, text, keys), keys)
+            found = found.groupBy("term", *keys).agg(F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"), F.first("dl").alias("dl"))
+        row = lengths(rows, text).agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
+        return cls(found, keys, (row["n"], row["mean"] or 0.0))
 
     def write(self, path: str) -> "LexicalIndex":
-        """Store the index, postings in term order, and read it back."""
-        spark = self.postings.sparkSession
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
-        self.lengths.write.parquet(f"{path}/lengths")
-        return LexicalIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), self.keys)
-
-    def stats(self) -> tuple[int, float]:
-        if self._stats is None:
-            row = self.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
-            self._stats = (row["n"], row["mean"] or 0.0)
-        return self._stats
-
+        """Store the postings, each file in term order, and read them back."""
+        self.postings.sortWithinPartitions("term").write.parquet(f"{path}/postings")
+        return LexicalIndex(self.postings.sparkSession.read.parquet(f"{path}/postings"), self.keys, self.stats)
 
-def idf(n: int, df: int) -> float:
-    import math
 
-    return max(math.log((n - df + 0.5) / (df + 0.5)), IDF_FLOOR)
+def idf(n: int, df: Column) -> Column:
+    return F.greatest(F.log((F.lit(n) - df + 0.5) / (df + 0.5)), F.lit(IDF_FLOOR))
 
 
 def _matches(clause: Clause) -> Column:
@@ -121,18 +119,21 @@ def _follow(p: Column, places: list[Column]) -> Column:
 
 
 def search(index: LexicalIndex, query: str | list[Clause], mode: str = "and") -> DataFrame:
-    """(keys, raw, score) of every match; raw is BM25, score its squashed form raw / (1 + raw)."""
+    """(keys, raw, score) of every match; raw is BM25, score its squashed form raw / (1 + raw).
+
+    One scan of the query's postings, folded to a row a key; document frequencies come from the same folded rows.
+    """
     clauses = parse_query(query) if isinstance(query, str) else query
     positive = [c for c in clauses if not c.negated]
     if not positive:
-        empty = index.lengths.select(*index.keys).limit(0)
+        empty = index.postings.select(*index.keys).limit(0)
         return empty.withColumns({"raw": F.lit(0.0), "score": F.lit(0.0)})
     wanted = F.lit(False)
     for c in clauses:
         wanted = wanted | _matches(c)
-    folded = index.postings.filter(wanted).groupBy(*index.keys).agg(*(_frequency(c).cast("double").alias(f"f{i}") for i, c in enumerate(clauses)))
-    n, mean = index.stats()
-    df = folded.agg(*(F.count_if(F.col(f"f{i}") > 0).alias(f"f{i}") for i in range(len(clauses)))).first()  # a number a clause
+    folded = index.postings.filter(wanted).groupBy(*index.keys).agg(F.first("dl").alias("dl"), *(_frequency(c).cast("double").alias(f"f{i}") for i, c in enumerate(clauses)))
+    n, mean = index.stats
+    df = folded.agg(*(F.count_if(F.col(f"f{i}") > 0).alias(f"df{i}") for i in range(len(clauses))))
     score = F.lit(0.0)
     matched = F.lit(0)
     banned = F.lit(False)
@@ -142,9 +143,9 @@ def search(index: LexicalIndex, query: str | list[Clause], mode: str = "and") ->
             banned = banned | (f > 0)
             continue
         matched = matched + (f > 0).cast("int")
-        score = score + F.lit(idf(n, df[f"f{i}"])) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.lit(mean or 1.0)))
+        score = score + idf(n, F.col(f"df{i}")) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.lit(mean or 1.0)))
     needed = len(positive) if mode == "and" else 1
-    hits = folded.filter((matched >= needed) & ~banned).join(index.lengths, index.keys)
+    hits = folded.filter((matched >= needed) & ~banned).crossJoin(F.broadcast(df))  # one row
     return hits.select(*index.keys, score.alias("raw")).withColumn("score", squash(F.col("raw")))
 
 
@@ -155,3 +156,56 @@ def squash(raw: Column) -> Column:
 def strong_signal(first: Column, second: Column, intent: bool = False) -> Column:
     """Whether the best hit stands out: 0.85 or more, and 0.15 ahead; a stated intent makes any signal weak."""
     return F.lit(not intent) & (F.coalesce(first, F.lit(0.0)) >= 0.85) & (F.coalesce(first, F.lit(0.0)) - F.coalesce(second, F.lit(0.0)) >= 0.15)
+
+
+def clause_rows(queries: DataFrame) -> DataFrame:
+    """(query, cid, words, prefix, negated, times): the clauses of each distinct ``query`` text; ``cid`` names a clause whatever its query."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text in batch["query"]:
+                for c, times in Counter(parse_query(text or "")).items():
+                    rows.append((text, ("p:" if c.prefix else "w:") + " ".join(c.words), list(c.words), c.prefix, c.negated, times))
+            yield pd.DataFrame(rows, columns=["query", "cid", "words", "prefix", "negated", "times"])
+
+    return queries.select("query").distinct().mapInPandas(run, "query string, cid string, words array<string>, prefix boolean, negated boolean, times int")
+
+
+def frequencies(index: LexicalIndex, clauses: DataFrame) -> DataFrame:
+    """(cid, keys, f, dl): how often each distinct clause occurs in each row of the index, in equi-joins.
+
+    A prefix clause meets the index's distinct terms by their prefixes, so no term is held against every clause.
+    """
+    distinct = clauses.select("cid", "words", "prefix").distinct()
+    placed = distinct.select("cid", "prefix", F.size("words").alias("size"), F.posexplode("words").alias("nth", "word"))
+    terms = index.postings.select("term").distinct()
+    starts = terms.select("term", F.explode(F.expr("transform(sequence(1, char_length(term)), i -> substring(term, 1, i))")).alias("word"))
+    open_ended = placed.filter("prefix").join(starts, "word").select("cid", "size", "nth", "term")
+    needles = open_ended.union(placed.filter("not prefix").select("cid", "size", "nth", F.col("word").alias("term")))
+    met = needles.join(index.postings, "term")
+    single = met.filter("size = 1").groupBy("cid", *index.keys).agg(F.sum("tf").cast("double").alias("f"), F.first("dl").alias("dl"))
+    begun = met.filter("size > 1").select("cid", "size", "nth", *index.keys, "dl", F.explode("positions").alias("pos"))
+    whole = begun.groupBy("cid", "size", *index.keys, (F.col("pos") - F.col("nth")).alias("begin")).agg(F.count_distinct("nth").alias("n"), F.first("dl").alias("dl")).filter("n = size")
+    return single.union(whole.groupBy("cid", *index.keys).agg(F.count("*").cast("double").alias("f"), F.first("dl").alias("dl")))
+
+
+def search_many(index: LexicalIndex, queries: DataFrame) -> DataFrame:
+    """(query, keys, raw, score): every match of every distinct ``query`` text, all positive clauses required.
+
+    Rows are found by each query's rarest clause alone and then looked up for its others, so a word that a third of
+    the rows have is counted once and not met once a query.
+    """
+    clauses = clause_rows(queries)
+    found = stage(frequencies(index, clauses), "frequencies")
+    df = found.groupBy("cid").agg(F.count("*").alias("df"))
+    known = clauses.select("query", "cid", "negated", "times").join(df, "cid", "left").fillna(0, ["df"])
+    positive = known.filter("not negated").groupBy("query").agg(F.min_by("cid", F.struct("df", "cid")).alias("rarest"), F.min("df").alias("least"), F.count("*").alias("needed")).filter("least > 0")
+    rows = positive.join(found.select(F.col("cid").alias("rarest"), *index.keys), "rarest").select("query", "needed", *index.keys)
+    n, mean = index.stats
+    f = F.col("f")
+    gain = F.col("times") * idf(n, F.col("df")) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.lit(mean or 1.0)))
+    each = rows.join(known, "query").join(found, ["cid", *index.keys], "left")
+    hit = F.col("f").isNotNull()
+    scored = each.groupBy("query", "needed", *index.keys).agg(F.count_if(hit & ~F.col("negated")).alias("matched"), F.count_if(hit & F.col("negated")).alias("banned"), F.sum(F.when(hit & ~F.col("negated"), gain)).alias("raw"))
+    return scored.filter("matched = needed and banned = 0").select("query", *index.keys, "raw").withColumn("score", squash(F.col("raw")))

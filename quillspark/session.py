@@ -1,10 +1,14 @@
-"""Session construction for local runs, tests and benchmarks."""
+"""Session construction for local runs, tests and benchmarks; and the shared folder for derived tables."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, memory: str = "12g", **extra: str) -> SparkSession:
@@ -24,3 +28,37 @@ def local_session(cores: int | str = 8, memory: str = "12g", **extra: str) -> Sp
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def workspace(spark: SparkSession) -> str:
+    """A folder of this application that driver and executors share: under ``spark.checkpoint.dir``, or a temporary
+    one where that is unset and the session is local. It goes when the driver ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    folder = f"{root.rstrip('/')}/derived-{spark.sparkContext.applicationId}"
+    if folder not in _known:
+        _known.add(folder)
+        atexit.register(_drop, spark, folder)
+    return folder
+
+
+def stage(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table in the workspace: what reads it more than once does not work it out again, and a lost executor costs a re-read."""
+    path = f"{workspace(rows.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+_known: set[str] = set()
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session may be gone at exit
+        pass
