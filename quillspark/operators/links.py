@@ -4,19 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import wiki_links
-from quillspark.operators.lexical import TOKEN
-
-#: Pages that linking code may hold on a worker, at most; larger wikis are linked in blocks of so many.
-BLOCK_PAGES = 50_000
-#: Characters of a pattern by which it is looked for.
-PIECE = 12
+from quillspark.operators.mentions import BLOCK_BYTES, Sweep, WholeNames, blocks, link_forward  # noqa: F401  link_forward is the rewriting of one body
 
 
 def edges(pages: DataFrame, body: str = "body", stem: str = "stem") -> DataFrame:
@@ -34,26 +28,31 @@ def backlinks(pages: DataFrame, target: str, body: str = "body", stem: str = "st
     return edges(pages, body, stem).filter((F.col("dst") == target) & (F.col("src") != target)).select("src").distinct()
 
 
-def missing(pages: DataFrame, names: DataFrame, body: str = "body", stem: str = "stem", words: int = 4) -> DataFrame:
-    """(src, dst): pages that mention another by stem or title, on word boundaries, without a link to it.
+def names_of(pages: DataFrame) -> DataFrame:
+    """(stem, name): the titles of pages, and their stems as words."""
+    return pages.select("stem", F.col("title").alias("name")).union(pages.select("stem", F.regexp_replace("stem", "-", " ")))
+
+
+def missing(pages: DataFrame, names: DataFrame, body: str = "body", stem: str = "stem", block: int = BLOCK_BYTES) -> DataFrame:
+    """(src, dst): pages that mention another by one of its ``names`` (stem, name), whole and in any case, without a link to it.
 
-    Names (``stem``, ``name``) of up to ``words`` words meet the word n-grams of bodies in an equi-join,
-    so no body is scanned once a name.
+    Names of any length go through one automaton a block of at most ``block`` bytes: a body is read once a block.
     """
-    tokens = F.regexp_extract_all(F.lower(F.col(body)), F.lit(TOKEN), F.lit(0))
-    split = pages.select(F.col(stem).alias("src"), tokens.alias("t"))
-    keyed = names.select(F.col("stem").alias("dst"), F.array_join(F.regexp_extract_all(F.lower("name"), F.lit(TOKEN), F.lit(0)), " ").alias("gram")).filter("gram <> ''").distinct()
-    n = F.size("t")
-    grams = None
-    for k in range(1, words + 1):
-        part = split.filter(n >= k).select("src", F.explode(_grams(k)).alias("gram"))
-        grams = part if grams is None else grams.union(part)
-    met = grams.join(keyed, "gram").filter("src <> dst").select("src", "dst").distinct()
-    return met.join(edges(pages, body, stem).select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+    out = None
+    for new in blocks(names.select("stem", "name").filter("name <> ''").distinct(), block):
+        shared = pages.sparkSession.sparkContext.broadcast(new)
 
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            matcher = WholeNames(shared.value)
+            for batch in batches:
+                rows = [(s, d) for s, b in zip(batch["src"], batch["body"], strict=True) for d in sorted(matcher.named(b)) if d != s]
+                yield pd.DataFrame(rows, columns=["src", "dst"])
 
-def _grams(k: int):
-    return F.expr(f"array_distinct(transform(sequence(1, size(t) - {k - 1}), i -> array_join(slice(t, i, {k}), ' ')))")
+        part = pages.select(F.col(stem).alias("src"), F.coalesce(body, F.lit("")).alias("body")).mapInPandas(run, "src string, dst string")
+        out = part if out is None else out.union(part)
+    if out is None:
+        return pages.select(F.col(stem).alias("src"), F.col(stem).alias("dst")).limit(0)
+    return out.distinct().join(edges(pages, body, stem).select("src", "dst").distinct(), ["src", "dst"], "left_anti")
 
 
 def scrub(body: str, known: set[str]) -> str:
@@ -61,75 +60,20 @@ def scrub(body: str, known: set[str]) -> str:
     return re.sub(r"\[\[((?:[^\]]|\](?!\]))+)\]\]", lambda m: m[0] if m[1] in known else m[1].replace("-", " "), body)
 
 
-def link_forward(body: str, pages: list[tuple[str, str]], own: str) -> tuple[str, list[str]]:
-    """Link the first free mention of every other page, longest titles first; by title, else by the stem's words."""
-    done = []
-    for stem, title in sorted(pages, key=lambda p: (-len(p[1].encode()), p[0])):
-        if stem == own:
-            continue
-        spoken = stem.replace("-", " ")
-        for pattern in dict.fromkeys([title, spoken] if title.lower() != spoken.lower() else [title]):
-            at = _free_mention(body, pattern) if pattern else None
-            if at is not None:
-                body = f"{body[: at[0]]}[[{stem}]]{body[at[1] :]}"
-                done.append(stem)
-                break
-    return body, done
-
-
-def _free_mention(body: str, pattern: str) -> tuple[int, int] | None:
-    for m in re.finditer(re.escape(pattern), body, re.IGNORECASE):
-        opened = body.rfind("[[", 0, m.start())
-        if opened < 0 or body.rfind("]]", 0, m.start()) > opened:
-            return m.start(), m.end()
-    return None
-
-
-class Targets:
-    """A block of link targets in linking order, and the few of them that a body can mention at all.
-
-    A pattern is looked for by an ASCII piece of it, folded as ``re.IGNORECASE`` folds; patterns without one,
-    and those with brackets, which could meet inserted links, are tried on every body.
-    """
-
-    FOLD = {0x17F: "s", 0x131: "i", 0x130: "i", 0x212A: "k"}
-
-    def __init__(self, targets: list[tuple[str, str]]):
-        self.targets = targets
-        self.always: list[int] = []
-        self.pieces: dict[int, dict[str, list[int]]] = {}
-        for k, (stem, title) in enumerate(targets):
-            for pattern in {title, stem.replace("-", " ")} - {""}:
-                n = min(len(pattern), PIECE)
-                piece = next((p for i in range(len(pattern) - n + 1) if (p := pattern[i : i + n]).isascii()), None)
-                if piece is None or "[" in pattern or "]" in pattern:
-                    self.always.append(k)
-                else:
-                    self.pieces.setdefault(n, {}).setdefault(piece.lower(), []).append(k)
-
-    def mentioned(self, body: str) -> list[tuple[str, str]]:
-        text = body.translate(self.FOLD).lower()
-        met = set(self.always)
-        for n, table in self.pieces.items():
-            for piece in {text[i : i + n] for i in range(len(text) - n + 1)} & table.keys():
-                met.update(table[piece])
-        return [self.targets[k] for k in sorted(met)]
-
-
-def maintain(pages: DataFrame, targets: DataFrame, block: int = BLOCK_PAGES) -> DataFrame:
+def maintain(pages: DataFrame, targets: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
     """(stem, body, linked): each page rewritten with links to all targets (stem, title; hyphenated stems only).
 
-    Targets come in blocks of at most ``block``, longest titles first over all blocks, so the result is that of one block.
+    Targets come in blocks of at most ``block`` bytes, longest titles first over all blocks, so the result is that of one block.
     """
     ordered = targets.filter(F.col("stem").contains("-")).select("stem", F.coalesce("title", F.lit("")).alias("title")).orderBy(F.desc(F.octet_length("title")), "stem")
     out = pages.select("stem", F.coalesce("body", F.lit("")).alias("body"), F.array().cast("array<string>").alias("linked"))
-    rows = ((r["stem"], r["title"]) for r in ordered.toLocalIterator())
-    while new := list(islice(rows, block)):
-        shared = pages.sparkSession.sparkContext.broadcast(Targets(new))
+    for new in blocks(ordered, block):
+        shared = pages.sparkSession.sparkContext.broadcast(new)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            sweep = Sweep(shared.value)
             for batch in batches:
-                done = [link_forward(b, shared.value.mentioned(b), s) for s, b in zip(batch["stem"], batch["body"], strict=True)]
+                done = [sweep.link(b, s) for s, b in zip(batch["stem"], batch["body"], strict=True)]
                 yield pd.DataFrame({"stem": batch["stem"], "body": [x[0] for x in done], "linked": [[*old, *x[1]] for old, x in zip(batch["linked"], done, strict=True)]})
 
         out = out.mapInPandas(run, "stem string, body string, linked array<string>")
