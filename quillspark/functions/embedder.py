@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def query_prompt(text: Column) -> Column:
     return F.concat(F.lit("task: search result | query: "), text)
 
 
+def prompt_prefix(title: str) -> str:
+    """What stands before a passage of a titled text."""
+    return f"title: {title or 'none'} | text: "
+
+
 def passage_prompt(title: Column, text: Column) -> Column:
     return F.concat(F.lit("title: "), F.coalesce(F.nullif(title, F.lit("")), F.lit("none")), F.lit(" | text: "), text)
 
@@ -32,19 +39,25 @@ def embed(text: str, dim: int = DIM) -> list[float]:
     return out
 
 
+def embed_all(texts: list[str], dim: int = DIM) -> np.ndarray:
+    """The vectors of many texts, each distinct word hashed once."""
+    out, known = np.zeros((len(texts), dim)), {}
+    for i, text in enumerate(texts):
+        for word in text.split():
+            at = known.get(word)
+            if at is None:
+                at = known[word] = bucket_of(word, dim)
+            out[i, at] += 1
+    return out
+
+
 def embed_column(text: Column, dim: int = DIM) -> Column:
-    """The same vector as an expression: each word folded through FNV-1a, then counted."""
-
-    def fnv(word: Column) -> Column:
-        hexed = F.hex(F.encode(word, "UTF-8"))
-        at = F.sequence(F.lit(1), F.length(hexed), F.lit(2))
-        return F.aggregate(
-            F.transform(at, lambda i: F.conv(F.substr(hexed, i, F.lit(2)), 16, 10).cast("long")),
-            F.lit(FNV_OFFSET).cast("long"),
-            lambda h, b: (h.bitwiseXOR(b) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(0xFFFFFFFF)),
-        )
-
-    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-    counts = F.transform(words, lambda w: F.pmod(fnv(w), F.lit(dim)).cast("int"))
-    # within an array of one, so that words are hashed once and not once a bucket
-    return F.transform(F.array(counts), lambda at: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(at, lambda c: c == i)).cast("float")))[0]
+    """The vectors of a column, in Arrow batches; null for null."""
+
+    @F.pandas_udf("array<float>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        known = texts.notna()
+        made = iter(embed_all(texts[known].tolist(), dim).astype(np.float32))
+        return pd.Series([next(made) if k else None for k in known])
+
+    return vectors(text)

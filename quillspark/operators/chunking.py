@@ -9,10 +9,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.embedder import embed_all, prompt_prefix
 from quillspark.functions.text import cosine
 
 CONTEXT, MARGIN = 2048, 4
@@ -43,7 +45,7 @@ def sections(text: str) -> list[dict]:
             out.append({"seq": len(out), "pos": start, "len": end - start, "text": raw.decode(), "path": "/".join(own[:-1]) if own else ""})
 
     data = text.encode()
-    for line in data.splitlines(keepends=True):
+    for line in re.findall(rb"[^\n]*\n|[^\n]+", data):
         shown = line.decode().rstrip("\n")
         if FENCE.match(shown.lstrip()):
             fenced = not fenced
@@ -64,6 +66,10 @@ def sentences(text: str) -> list[str]:
     return [s for s in SENTENCE.findall(text) if s.strip()]
 
 
+# Fixed value: the secondary pattern of the sentence cascade.
+PHRASE = r"[^,.;。？！]+[,.;。？！]?|[,.;。？！]"
+
+
 def _cascade(text: str, size: int, count: Callable[[str], int]) -> list[str]:
     """Pieces of at most ``size`` tokens: by blank lines, sentences, phrases, words, characters."""
     if count(text) <= size:
@@ -71,7 +77,7 @@ def _cascade(text: str, size: int, count: Callable[[str], int]) -> list[str]:
     for split in (
         lambda t: re.split(r"(?<=\n\n\n)", t),
         sentences,
-        lambda t: re.findall(r"[^,.;。？！]+[,.;。？！]?|[,.;。？！]", t),
+        lambda t: re.findall(PHRASE, t),
         lambda t: re.findall(r"\S*\s*", t)[:-1] or [t],
         list,
     ):
@@ -81,24 +87,81 @@ def _cascade(text: str, size: int, count: Callable[[str], int]) -> list[str]:
     return [text]
 
 
+def _packed(costs: list[int], size: int, overlap: int) -> list[range]:
+    """Runs of pieces of at most ``size`` tokens, each sharing up to ``overlap`` with the one before."""
+    out, first, total = [], 0, 0
+    for i, n in enumerate(costs):
+        if i > first and total + n > size:
+            out.append(range(first, i))
+            while first < i and (total > overlap or total + n > size):
+                total -= costs[first]
+                first += 1
+        total += n
+    return [*out, range(first, len(costs))] if first < len(costs) else out
+
+
 def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = OVERLAP, count: Callable[[str], int] = lambda t: len(t.split())) -> list[str]:
     """Chunks of at most ``size`` tokens that share up to ``overlap`` with their predecessor."""
-    chunks: list[str] = []
-    held: list[tuple[str, int]] = []
-    total = 0
-    for piece in _cascade(text, size, count):
-        n = count(piece)
-        if held and total + n > size:
-            chunks.append("".join(p for p, _ in held))
-            while held and (total > overlap or total + n > size):
-                total -= held.pop(0)[1]
-        held.append((piece, n))
-        total += n
-    if held:
-        chunks.append("".join(p for p, _ in held))
+    pieces = _cascade(text, size, count)
+    chunks = ("".join(pieces[i] for i in run) for run in _packed([count(p) for p in pieces], size, overlap))
     return [c.strip() for c in chunks if c.strip()]
 
 
+def split_spans(text: str, size: int, overlap: int = OVERLAP, count: Callable[[str], int] = lambda t: len(t.split())) -> list[tuple[int, int]]:
+    """The same chunks as places in the text, without the space around them."""
+    pieces, places, at = _cascade(text, size, count), [], 0
+    for p in pieces:
+        at = text.index(p, at)
+        places.append((at, at + len(p)))
+        at += len(p)
+    out = []
+    for run in _packed([count(p) for p in pieces], size, overlap):
+        start, end = places[run[0]][0], places[run[-1]][1]
+        solid = text[start:end].strip()
+        if solid:
+            start = text.index(solid, start)
+            out.append((start, start + len(solid)))
+    return out
+
+
+def semantic_spans(text: str, embed_batch: Callable[[list[str]], np.ndarray], count: Callable[[str], int], limit: int, buffer: int = 1, percent: float = 95.0) -> list[tuple[int, int]]:
+    """Places of the chunks of a section: cut where a sentence with its neighbours is further from the next than the percentile of such distances.
+
+    Without a sentence there is none. Where a sentence with its neighbours has more than ``limit`` tokens the section stays whole.
+    """
+    spans = [m.span() for m in SENTENCE.finditer(text) if m[0].strip()]
+    if not spans:
+        return []
+    if len(spans) == 1:
+        return [(0, len(text))]
+    said = [text[a:b] for a, b in spans]
+    groups = ["".join(said[max(0, i - buffer) : i + 1 + buffer]) for i in range(len(said))]
+    if any(count(g) > limit for g in groups):
+        return [(0, len(text))]
+    v = np.asarray(embed_batch(groups), np.float64)
+    norms = np.sqrt((v * v).sum(axis=1))
+    size = norms[:-1] * norms[1:]
+    far = 1 - np.where(size > 0, (v[:-1] * v[1:]).sum(axis=1) / np.where(size > 0, size, 1), 0.0)
+    cuts = [spans[i + 1][0] for i in np.flatnonzero(far > np.percentile(far, percent)).tolist()]
+    edges = [spans[0][0], *cuts, len(text)]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def pipeline(text: str, title: str, embed_batch: Callable[[list[str]], np.ndarray], count: Callable[[str], int] = lambda t: len(t.split()), limit: int = CONTEXT - MARGIN) -> list[tuple[int, int, str]]:
+    """(pos, len, text) in bytes: sections, cut by meaning, and what has more tokens than fit behind the prompt cut again."""
+    room = max(1, limit - count(prompt_prefix(title)))
+    out, data = [], text.encode()
+    for s in sections(text):
+        body = s["text"]
+        for a, b in semantic_spans(body, embed_batch, count, limit):
+            part = body[a:b]
+            places = [(0, len(part))] if count(part) <= room else split_spans(part, room, count=count) or [(0, len(part))]
+            for x, y in places:
+                pos, size = s["pos"] + len(body[: a + x].encode()), len(part[x:y].encode())
+                out.append((pos, size, data[pos : pos + size].decode()))
+    return out
+
+
 def pack_markdown(text: str, cap: int, limit: int = MAX_CHUNKS) -> list[str]:
     """Chunks up to ``cap`` tokens of whole top sections, else paragraphs, else lines; too many raise."""
     parts: list[str] = []
@@ -200,12 +263,6 @@ def percentile_breaks(groups: DataFrame, percent: float = 0.95) -> DataFrame:
     return cut.withColumn("chunk", F.coalesce(F.sum(F.col("is_break").cast("int")).over(before), F.lit(0)))
 
 
-def sentence_groups(rows: DataFrame, buffer: int = 1) -> DataFrame:
-    """(hash, seq, sentence) with ``grouped``: each sentence and ``buffer`` on either side."""
-    around = Window.partitionBy("hash").orderBy("seq").rowsBetween(-buffer, buffer)
-    return rows.withColumn("grouped", F.concat_ws("", F.collect_list("sentence").over(around)))
-
-
 def _per_document(docs: DataFrame, make: Callable[[str], list[str]], body: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -215,30 +272,51 @@ def _per_document(docs: DataFrame, make: Callable[[str], list[str]], body: str)
     return docs.select("doc_id", F.col(body).alias("body")).mapInPandas(run, "doc_id long, seq int, text string")
 
 
-def sentence_rows(docs: DataFrame, body: str = "body") -> DataFrame:
-    return _per_document(docs, sentences, body)
-
-
 def split_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP, body: str = "body") -> DataFrame:
     return _per_document(docs, lambda b: split_text(b, size, overlap), body)
 
 
 def pack_documents(docs: DataFrame, cap: int, limit: int = MAX_CHUNKS, body: str = "body") -> DataFrame:
-    return _per_document(docs, lambda b: pack_markdown(b, cap, limit), body)
+    """(doc_id, seq, text, error): packed chunks; a document that cannot be packed has one row that says why."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, b in zip(batch["doc_id"], batch["body"], strict=True):
+                try:
+                    rows += [(i, n, c, None) for n, c in enumerate(pack_markdown(b or "", cap, limit))]
+                except ValueError as e:
+                    rows.append((i, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["doc_id", "seq", "text", "error"]).astype({"seq": "Int32"})
+
+    return docs.select("doc_id", F.col(body).alias("body")).mapInPandas(run, "doc_id long, seq int, text string, error string")
 
 
-def full_pipeline(docs: DataFrame, size: int = CONTEXT - MARGIN, body: str = "body") -> DataFrame:
-    """Sections, cut further where one has more tokens than the embedder takes."""
-    return _per_document(docs, lambda b: [p for s in sections(b) for p in (split_text(s["text"], size, 0) if len(s["text"].split()) > size else [s["text"]])], body)
+def full_pipeline(docs: DataFrame, embed_batch: Callable[[list[str]], np.ndarray] = embed_all, count: Callable[[str], int] = lambda t: len(t.split()), limit: int = CONTEXT - MARGIN, body: str = "body") -> DataFrame:
+    """(doc_id, seq, pos, len, text): the chunks that are stored for retrieval, of documents (doc_id, title, body).
+
+    A document is a row, so its sections, sentence groups, vectors and budget are worked out where it is read, without an exchange.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(i, n, *c) for i, t, b in zip(batch["doc_id"], batch["title"], batch["body"], strict=True) for n, c in enumerate(pipeline(b or "", t or "", embed_batch, count, limit))]
+            yield pd.DataFrame(rows, columns=["doc_id", "seq", "pos", "len", "text"])
+
+    return docs.select("doc_id", "title", F.col(body).alias("body")).mapInPandas(run, "doc_id long, seq int, pos int, len int, text string")
 
 
 def pack_sessions(turns: DataFrame, cap: int, limit: int = MAX_CHUNKS, overlap: int = 3) -> DataFrame:
-    """(conv_id, chunk, turns): packed turn numbers of (conv_id, turn, text); one session is one group, as prompts need it whole."""
+    """(conv_id, chunk, turns, error): packed turn numbers of (conv_id, turn, text); one session is one group, as prompts need it
+    whole. A session that cannot be packed has one row that says why."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("turn")
-        numbers = pdf["turn"].tolist()
-        packed = pack_turns([t or "" for t in pdf["text"]], cap, limit, overlap)
-        return pd.DataFrame({"conv_id": [int(pdf["conv_id"].iloc[0])] * len(packed), "chunk": range(len(packed)), "turns": [[numbers[i] for i in c] for c in packed]})
-
-    return turns.groupBy("conv_id").applyInPandas(run, "conv_id long, chunk int, turns array<long>")
+        numbers, own = pdf["turn"].tolist(), int(pdf["conv_id"].iloc[0])
+        try:
+            packed = pack_turns([t or "" for t in pdf["text"]], cap, limit, overlap)
+        except ValueError as e:
+            return pd.DataFrame({"conv_id": [own], "chunk": pd.array([None], "Int32"), "turns": [None], "error": [str(e)]})
+        return pd.DataFrame({"conv_id": [own] * len(packed), "chunk": pd.array(range(len(packed)), "Int32"), "turns": [[numbers[i] for i in c] for c in packed], "error": [None] * len(packed)})
+
+    return turns.groupBy("conv_id").applyInPandas(run, "conv_id long, chunk int, turns array<long>, error string")

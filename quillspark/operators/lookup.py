@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import stem_of_path
+from quillspark.functions.text import line_slice, stem_of_path
 
 CANDIDATES = 16
+#: Digits of a hash by which prefixes of at least so many meet hashes.
+LEAST = 7
 
 
 def by_prefix(docs: DataFrame, prefix: str) -> DataFrame:
@@ -17,6 +19,28 @@ def by_prefix(docs: DataFrame, prefix: str) -> DataFrame:
     return found.withColumn("status", F.when(total == 1, "unique").otherwise("ambiguous")).orderBy("hash").limit(CANDIDATES)
 
 
+def resolve_many(docs: DataFrame, refs: DataFrame) -> DataFrame:
+    """(rid, ref, tier, and the columns of documents): for each of ``refs`` (rid, ref) the documents of the first tier that has any:
+    1 a hash that begins with it, 2 its stem, 3 its title in any case. Each tier is an equi-join: hashes are met by their first
+    LEAST digits, and shorter prefixes by prefixes of their own length.
+    """
+    asked = refs.select("rid", "ref").filter(F.coalesce("ref", F.lit("")) != "")
+    hexed = asked.filter(F.lower("ref").rlike("^[0-9a-f]{1,64}$")).withColumn("low", F.lower("ref"))
+    long = hexed.filter(F.length("low") >= LEAST).withColumn("head", F.substring("low", 1, LEAST))
+    by_hash = long.join(docs.withColumn("head", F.substring("hash", 1, LEAST)), "head").filter(F.col("hash").startswith(F.col("low"))).drop("head", "low")
+    heads = docs.withColumn("head", F.explode(F.transform(F.sequence(F.lit(1), F.lit(LEAST - 1)), lambda n: F.substr(F.col("hash"), F.lit(1), n))))
+    brief = hexed.filter(F.length("low") < LEAST).withColumnRenamed("low", "head")
+    by_brief = brief.join(heads, "head").drop("head")
+    by_stem = asked.join(docs.withColumn("ref", stem_of_path(F.col("path"))), "ref")
+    by_title = asked.withColumn("low", F.lower("ref")).join(docs.withColumn("low", F.lower("title")), "low").drop("low")
+    found = None
+    for tier, rows in ((1, by_hash), (1, by_brief), (2, by_stem), (3, by_title)):
+        part = rows.withColumn("tier", F.lit(tier)).select("rid", "ref", "tier", *docs.columns)
+        found = part if found is None else found.union(part)
+    best = found.groupBy("rid").agg(F.min("tier").alias("tier"))
+    return found.join(best, ["rid", "tier"]).select("rid", "ref", "tier", *docs.columns)
+
+
 def resolve(docs: DataFrame, ref: str) -> DataFrame:
     """Documents whose hash starts with ``ref``, else whose stem, else whose title is it; the first tier that has any."""
     hexed = ref != "" and all(c in "0123456789abcdef" for c in ref.lower())
@@ -26,7 +50,25 @@ def resolve(docs: DataFrame, ref: str) -> DataFrame:
         .when(F.lower("title") == ref.lower(), 3)
     )
     found = docs.withColumn("tier", tier).filter("tier is not null")
-    return found.withColumn("best", F.min("tier").over(Window.partitionBy(F.lit(0)))).filter("tier = best").drop("best")
+    best = found.agg(F.min("tier").alias("best"))  # one row
+    return found.join(F.broadcast(best), F.col("tier") == F.col("best")).drop("best")
+
+
+def read_many(docs: DataFrame, bodies: DataFrame, refs: DataFrame) -> DataFrame:
+    """(rid, ref, status, doc_type, path, id, title, text): each reference read, sliced to ``count`` lines from ``first`` where given.
+
+    A reference resolves to one document: of its tier the wiki page, else the smallest path. Status is found, missing, or ambiguous
+    where a hash prefix meets several bodies; these have no text.
+    """
+    found = resolve_many(docs.select("doc_type", "path", "hash", "title"), refs)
+    several = (F.col("tier") == 1) & (F.min("hash").over(Window.partitionBy("rid")) != F.max("hash").over(Window.partitionBy("rid")))
+    first = F.row_number().over(Window.partitionBy("rid").orderBy(F.when(F.col("doc_type") == "wiki", 0).otherwise(1), "path"))
+    one = found.withColumns({"several": several, "nth": first}).filter("nth = 1").drop("ref", "nth", "tier")
+    named = refs.join(one, "rid", "left").join(bodies.select("hash", "body").dropDuplicates(["hash"]), "hash", "left")
+    status = F.when(F.col("path").isNull(), "missing").when(F.col("several"), "ambiguous").otherwise("found")
+    text = F.when(F.col("first").isNotNull(), line_slice(F.col("body"), F.col("first"), F.col("count"))).otherwise(F.col("body"))
+    only = lambda c: F.when(F.col("status") == "found", c)
+    return named.withColumn("status", status).select("rid", "ref", "status", *(only(F.col(c)).alias(c) for c in ("doc_type", "path")), only(F.substring("hash", 1, 7)).alias("id"), only(F.col("title")).alias("title"), only(text).alias("text"))
 
 
 def ambiguous_prefixes(docs: DataFrame, length: int) -> DataFrame:

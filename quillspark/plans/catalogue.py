@@ -14,6 +14,7 @@ from quillspark.functions import text as T
 from quillspark.functions.embedder import embed, embed_column
 from quillspark.operators import chunking, fusion, integrity, jobs as J, lexical, links, lookup, store, vectors as V
 from quillspark.plans import ingest, retrieval, views
+from quillspark.plans.library import Library
 from quillspark.plans.views import CHUNKS, DOCS, JOBS, MEMBERS, PAGES, VECTORS, bm25_sql, cosine_sql
 from quillspark.sources import sessions
 
@@ -153,6 +154,32 @@ def index_lines(spark, sf):
     return lookup.index_lines(views.docs(spark, sf))
 
 
+@query(
+    f"""WITH {DOCS}, refs AS (
+      SELECT doc_id AS rid, CASE doc_id % 6 WHEN 0 THEN stem WHEN 1 THEN upper(hash[1:12]) WHEN 2 THEN hash[1:2] WHEN 3 THEN translate(title, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 4 THEN 'no-' || doc_id ELSE hash END AS ref,
+             CASE WHEN doc_id % 2 = 0 THEN 2 END AS first FROM docs
+    ), found AS (
+      SELECT rid, 1 AS tier, docs.* FROM refs JOIN docs ON starts_with(hash, lower(ref)) WHERE regexp_matches(lower(ref), '^[0-9a-f]+$')
+      UNION ALL SELECT rid, 2, docs.* FROM refs JOIN docs ON CASE doc_type WHEN 'wiki' THEN stem ELSE regexp_extract(path, '[^/]*$') END = ref
+      UNION ALL SELECT rid, 3, docs.* FROM refs JOIN docs ON lower(title) = lower(ref) WHERE ref <> ''
+    ), best AS (
+      SELECT *, count(DISTINCT hash) OVER (PARTITION BY rid) AS n FROM (SELECT * FROM found QUALIFY tier = min(tier) OVER (PARTITION BY rid))
+    ), one AS (
+      SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY rid ORDER BY CASE doc_type WHEN 'wiki' THEN 0 ELSE 1 END, path) = 1
+    ), named AS (
+      SELECT refs.rid, ref, first, one.* EXCLUDE (rid, n, tier), CASE WHEN path IS NULL THEN 'missing' WHEN tier = 1 AND n > 1 THEN 'ambiguous' ELSE 'found' END AS status FROM refs LEFT JOIN one USING (rid))
+    SELECT rid, ref, status, CASE WHEN status = 'found' THEN doc_type END AS doc_type, CASE WHEN status = 'found' THEN path END AS path, CASE WHEN status = 'found' THEN hash[1:7] END AS id,
+           CASE WHEN status = 'found' THEN title END AS title, CASE WHEN status = 'found' THEN CASE WHEN first IS NULL THEN body ELSE array_to_string(string_split(body, chr(10))[2:3], chr(10)) END END AS text FROM named"""
+)
+def read_refs(spark, sf):
+    """A table of references of every kind, read at once: stems, hash prefixes long and short, titles, and some to nothing."""
+    rows = views.docs(spark, sf)
+    kind = F.col("doc_id") % 6
+    ref = F.when(kind == 0, F.col("stem")).when(kind == 1, F.upper(F.substring("hash", 1, 12))).when(kind == 2, F.substring("hash", 1, 2)).when(kind == 3, F.translate("title", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(kind == 4, F.concat(F.lit("no-"), F.col("doc_id").cast("string"))).otherwise(F.col("hash"))
+    refs = rows.select(F.col("doc_id").alias("rid"), ref.alias("ref"), F.when(F.col("doc_id") % 2 == 0, 2).alias("first"), F.lit(2).alias("count"))
+    return lookup.read_many(rows, rows, refs)
+
+
 # --- scalar text -----------------------------------------------------------------------------------
 
 
@@ -286,12 +313,25 @@ def fence_parity(spark, sf):
 
 
 @query(
-    f"""WITH {DOCS}, b AS (SELECT DISTINCT hash, body FROM docs)
-    SELECT hash, CAST(unnest([0, 1]) AS BIGINT) AS seq, unnest(['', 'Top']) AS path, CAST(unnest([octet_length(encode('# Top' || chr(10) || 'intro' || chr(10))), octet_length(encode('## Body' || chr(10) || replace(body, '#', '')))]) AS BIGINT) AS len FROM b"""
+    rf"""WITH {DOCS}, b AS (SELECT DISTINCT hash, string_split(replace(body, '#', ''), chr(10)) AS ls FROM docs),
+    l AS (SELECT hash, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS n, len(ls) AS total FROM b),
+    m AS (SELECT hash, n, CASE WHEN n % 5 = 0 THEN '# ' WHEN n % 5 = 3 THEN '##  ' WHEN n % 7 = 4 THEN '~~~' ELSE '' END || line || CASE WHEN n + 1 < total THEN chr(10) ELSE '' END AS line FROM l),
+    f AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^[\s\p{{Z}}]*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY hash ORDER BY n) % 2 = 1 AS fenced FROM m),
+    h AS (SELECT *, CASE WHEN NOT fenced THEN length(regexp_extract(line, '^(#+)\s', 1)) ELSE 0 END AS level FROM f),
+    t AS (SELECT *, CASE WHEN level > 0 THEN regexp_replace(regexp_replace(line, '^#+\s+', ''), '[\s\p{{Z}}]+$', '') END AS title, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY hash ORDER BY n) AS part FROM h),
+    u AS (SELECT *, max(CASE WHEN level = 1 THEN part END) OVER (PARTITION BY hash ORDER BY n) AS top FROM t),
+    s AS (SELECT hash, part, max(level) AS level, max(top) AS top, sum(octet_length(encode(line))) AS len, string_agg(line, '' ORDER BY n) AS text FROM u GROUP BY hash, part),
+    p AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY hash ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM s)
+    SELECT p.hash, CAST(row_number() OVER (PARTITION BY p.hash ORDER BY p.part) - 1 AS BIGINT) AS seq, CAST(pos AS BIGINT) AS pos, CAST(len AS BIGINT) AS len, CASE WHEN p.level = 2 THEN coalesce(title, '') ELSE '' END AS path, sha256(text) AS text_hash
+    FROM p LEFT JOIN (SELECT hash, part, title FROM t WHERE level = 1) x ON x.hash = p.hash AND x.part = p.top WHERE regexp_matches(text, '[^ \t-\r]')"""
 )
 def md_sections(spark, sf):
-    page = F.concat(F.lit("# Top\nintro\n## Body\n"), F.regexp_replace("body", "#", ""))
-    return longs(chunking.markdown_chunks(views.docs(spark, sf).select("hash", page.alias("body"))).select("hash", "seq", "path", "len"), "seq", "len")
+    """Pages whose every fifth line is a heading, and every fifth from the fourth on one below it; some of them inside fences."""
+    n = F.col("n")
+    lines = views.docs(spark, sf).select("hash", F.regexp_replace("body", "#", "").alias("body")).distinct().select("hash", F.posexplode(F.split("body", "\n")).alias("n", "line"))
+    marked = F.concat(F.when(n % 5 == 0, "# ").when(n % 5 == 3, "##  ").when(n % 7 == 4, "~~~").otherwise(""), "line")
+    pages = lines.select("hash", "n", marked.alias("line")).groupBy("hash").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    return longs(chunking.markdown_chunks(pages).select("hash", "seq", "pos", "len", "path", F.sha2("text", 256).alias("text_hash")), "seq", "pos", "len")
 
 
 # --- lexical ---------------------------------------------------------------------------------------
@@ -303,8 +343,7 @@ def terms_df(spark, sf):
 
 
 def _bm25(spark, sf, text: str | list, mode: str = "and") -> DataFrame:
-    index = lexical.LexicalIndex.build(views.chunks(spark, sf), "chunk_text", ["hash", "seq"])
-    return longs(rounded(lexical.search(index, text, mode), "raw", "score"), "seq")
+    return longs(rounded(lexical.search(views.library(spark, sf).index(), text, mode), "raw", "score"), "seq")
 
 
 def _bm25_oracle(clauses, mode: str = "and") -> str:
@@ -333,6 +372,37 @@ def bm25_titles(spark, sf):
     return rounded(lexical.search(lexical.LexicalIndex.build(pages, "title", ["doc_id"]), "the"), "raw", "score")
 
 
+_CLEAN = r"array_to_string(regexp_extract_all(lower(title), '[\p{L}\p{N}]+'), ' ')"
+
+
+@query(
+    rf"""WITH {VECTORS}, asked AS (SELECT doc_id AS tid, {_CLEAN} AS query FROM docs WHERE doc_type = 'wiki'),
+    pages AS (SELECT doc_id, hash, path FROM docs WHERE doc_type = 'wiki' AND doc_id % 5 = 0),
+    tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}]+')) AS term FROM docs),
+    lens AS (SELECT doc_id, len(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}]+')) AS dl FROM docs), st AS (SELECT count(*) AS nn, avg(dl) AS mean FROM lens),
+    qc AS (SELECT query, word, count(*) AS times FROM (SELECT DISTINCT query, unnest(string_split(query, ' ')) AS word, generate_subscripts(string_split(query, ' '), 1) AS i FROM asked) WHERE word <> '' GROUP BY query, word),
+    starts AS (SELECT word, term FROM (SELECT DISTINCT word FROM qc) JOIN (SELECT DISTINCT term FROM tok) ON starts_with(term, word)),
+    f AS (SELECT word, doc_id, count(*) AS f FROM starts JOIN tok USING (term) GROUP BY word, doc_id), df AS (SELECT word, count(*) AS df FROM f GROUP BY word),
+    hits AS (SELECT query, doc_id, sum(times * greatest(ln((nn - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / mean))) AS raw, count(*) AS n
+      FROM qc JOIN f USING (word) JOIN df USING (word) JOIN lens USING (doc_id) CROSS JOIN st GROUP BY query, doc_id),
+    five AS (SELECT query, path, raw / (1 + raw) AS score, row_number() OVER (PARTITION BY query ORDER BY round(raw / (1 + raw), 9) DESC, path) AS rank
+      FROM hits JOIN pages USING (doc_id) WHERE n = (SELECT count(*) FROM qc WHERE qc.query = hits.query) QUALIFY rank <= 5),
+    sig AS (SELECT query, max(CASE WHEN rank = 1 THEN score END) AS s1, max(CASE WHEN rank = 2 THEN score END) AS s2, arg_min(path, rank) AS first FROM five GROUP BY query),
+    judged AS (SELECT tid, query, first, coalesce(s1, 0) >= 0.85 AND coalesce(s1, 0) - coalesce(s2, 0) >= 0.15 AS strong FROM asked LEFT JOIN sig USING (query)),
+    probes AS (SELECT tid, e.embedding AS q FROM judged JOIN embeddings e ON e.vec_id = tid WHERE first IS NOT NULL AND NOT strong),
+    near AS (SELECT tid, hash, {cosine_sql("embedding", "q")} AS s FROM probes CROSS JOIN (SELECT * FROM vectors WHERE hash IN (SELECT hash FROM pages))),
+    vec AS (SELECT tid, path, row_number() OVER (PARTITION BY tid ORDER BY round(s, 9) DESC, path) AS rank FROM (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY tid ORDER BY s DESC, hash) <= 60) JOIN pages USING (hash) QUALIFY rank <= 20),
+    lanes AS (SELECT tid, path, rank, 2.0 AS w FROM judged JOIN five USING (query) WHERE NOT strong UNION ALL SELECT tid, path, rank, 1.0 FROM vec),
+    fused AS (SELECT tid, path, row_number() OVER (PARTITION BY tid ORDER BY round(sum(w / (60.0 + rank) + CASE WHEN rank = 1 THEN 0.05 WHEN rank <= 3 THEN 0.02 ELSE 0 END), 12) DESC, path) AS rank FROM lanes GROUP BY tid, path)
+    SELECT tid, regexp_extract(CASE WHEN strong THEN first ELSE f.path END, '([^/]*)\.md$', 1) AS slug FROM judged LEFT JOIN (SELECT tid, path FROM fused WHERE rank = 1) f USING (tid)""".replace("\\\\", "\\")
+)
+def title_slugs(spark, sf):
+    corpus = views.corpus(spark, sf)
+    asked = corpus.docs.filter("doc_type = 'wiki'").select(F.col("doc_id").alias("tid"), F.array_join(F.regexp_extract_all(F.lower("title"), F.lit(lexical.TOKEN), F.lit(0)), " ").alias("title"))
+    own = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("tid"), F.col("embedding").alias("probe"))
+    return retrieval.title_slugs(corpus, asked, lambda titles: titles.join(own, "tid"))
+
+
 # --- vectors ---------------------------------------------------------------------------------------
 
 
@@ -376,6 +446,32 @@ def knn_block(spark, sf):
     return longs(rounded(V.knn_join(queries, vecs, 5).select("qid", F.col("hash").alias("vec_id"), "score", "rank"), "score"), "rank")
 
 
+@query(
+    """WITH t AS (SELECT vec_id, list_transform(range(0, 8), lambda i: embedding[8 * i + 1:8 * i + 8]) AS tokens, list_transform(range(0, 8), lambda i: CASE WHEN (vec_id + i) % 3 <> 0 AND vec_id % 11 <> 0 THEN 1 ELSE 0 END) AS mask FROM embeddings)
+    SELECT vec_id, list_transform(range(1, 9), lambda j: round(coalesce(list_sum(list_transform(range(1, 9), lambda i: CAST(tokens[i][j] AS DOUBLE) * mask[i])), 0) / greatest(list_sum(mask), 1), 6)) AS pooled FROM t"""
+)
+def mean_pooling(spark, sf):
+    """Each vector taken as eight token vectors of eight, some of them masked; of some texts all."""
+    kept = lambda i: F.when(((F.col("vec_id") + i) % 3 != 0) & (F.col("vec_id") % 11 != 0), 1).otherwise(0)
+    rows = views.table(spark, sf, "embeddings").select("vec_id", F.array(*(F.slice("embedding", 8 * i + 1, 8) for i in range(8))).alias("tokens"), F.array(*map(kept, range(8))).alias("mask"))
+    return V.mean_pool(rows, "vec_id").select("vec_id", F.transform("pooled", lambda x: F.round(x, 6)).alias("pooled"))
+
+
+@query(
+    f"""WITH q AS (SELECT vec_id AS qid, label AS own, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT qid, own, vec_id, label, {_COS} AS s FROM embeddings CROSS JOIN q WHERE vec_id <> qid),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, vec_id) AS rank FROM s), f AS (SELECT qid, min(CASE WHEN label = own THEN rank END) AS first FROM r GROUP BY qid)
+    SELECT CAST(k AS BIGINT) AS cutoff, round(avg(CASE WHEN first <= k THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS questions FROM f CROSS JOIN (SELECT unnest([10, 20, 50, 200]) AS k) GROUP BY k"""
+)
+def accuracy_at_cutoffs(spark, sf):
+    """Questions answered within 10, 20, 50 and 200 results, from one ranked prefix each: a result is right if it has the question's label."""
+    rows = views.table(spark, sf, "embeddings")
+    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("probe"), F.col("label").alias("own"))
+    near = V.knn_join(asked.select("qid", "probe"), rows.select(F.col("vec_id").alias("hash"), F.lit(0).alias("seq"), "embedding"), 201)
+    hits = near.filter("hash <> qid").join(rows.select(F.col("vec_id").alias("hash"), "label"), "hash").join(asked.select("qid", "own"), "qid")
+    ranked = hits.select("qid", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "hash")).alias("rank"), (F.col("label") == F.col("own")).alias("right"))
+    return longs(rounded(fusion.accuracy_at(ranked, asked.select("qid"), [10, 20, 50, 200]), "accuracy"), "cutoff")
+
+
 # --- fusion ----------------------------------------------------------------------------------------
 
 _LANE = f"""WITH {CHUNKS}, {bm25_sql([("prefix", ["heon"], False)], "chunks", "hash, seq", "chunk_text")},
@@ -434,6 +530,30 @@ def hybrid_topk(spark, sf):
     return longs(rounded(retrieval.hybrid(views.corpus(spark, sf), "heon", _probe(spark, sf)), "score"), "rank", "chunk_seq")
 
 
+def _hybrid_oracle(of_docs: str, after: str = "") -> str:
+    """The fused list over some documents, and of that the results for which ``after`` holds."""
+    return f"""{_LANE.replace("JOIN docs USING (hash)),", f"JOIN (SELECT * FROM docs WHERE {of_docs}) USING (hash)),", 1).replace("AS q FROM vectors) JOIN docs USING (hash))", f"AS q FROM vectors WHERE hash IN (SELECT hash FROM docs WHERE {of_docs})) JOIN (SELECT * FROM docs WHERE {of_docs}) USING (hash))", 1)},
+    f AS (SELECT path, chunk_seq, {_GAIN} AS rrf FROM lanes WHERE rank <= 20 GROUP BY path, chunk_seq),
+    r AS (SELECT *, row_number() OVER (ORDER BY round(rrf, 12) DESC, path, chunk_seq) AS position FROM f),
+    k AS (SELECT *, row_number() OVER (ORDER BY position) AS rank FROM r JOIN docs d USING (path) {after})
+    SELECT k.rank, k.path, k.chunk_seq, round(1.0 / k.position, 6) AS score, c.chunk_text AS body FROM k LEFT JOIN chunks c ON c.hash = k.hash AND c.seq = k.chunk_seq WHERE k.rank <= 10"""
+
+
+@query(_hybrid_oracle("doc_id % 5 = 0"))
+def hybrid_default(spark, sf):
+    """An empty selection is the collection ``default``."""
+    rows = retrieval.hybrid(views.corpus(spark, sf), "heon", _probe(spark, sf), collections=[])
+    return longs(rounded(rows.select("rank", "path", "chunk_seq", "score", "body"), "score"), "rank", "chunk_seq")
+
+
+@query(_hybrid_oracle("TRUE", "WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND doc_id % 17 <> 0"))
+def hybrid_stale(spark, sf):
+    """Results whose file is gone or no longer as it was indexed are dropped."""
+    corpus = views.corpus(spark, sf)
+    corpus.files = _files(spark, sf).select("doc_type", "path", "size", "mtime")
+    return longs(rounded(retrieval.hybrid(corpus, "heon", _probe(spark, sf)).select("rank", "path", "chunk_seq", "score", "body"), "score"), "rank", "chunk_seq")
+
+
 @query()
 def hybrid_expanded(spark, sf):
     more = retrieval.Expansion(lex=["ouen", "thinin"], vectors=[views.table(spark, sf, "embeddings").filter("vec_id = 9").first()["embedding"]], answer="heon of the ouen")
@@ -469,17 +589,15 @@ def link_degree(spark, sf):
     return links.degree(views.linked_pages(spark, sf))
 
 
-_NAMES = "names AS (SELECT stem, string_split(lower(title), ' ')[1] || ' ' || string_split(lower(title), ' ')[2] AS name FROM pages_)"
-
-
 @query(
-    f"""WITH {PAGES}, {_NAMES}, n AS (SELECT DISTINCT stem, array_to_string(regexp_extract_all(name, '[\\p{{L}}\\p{{N}}]+'), ' ') AS gram FROM names), t AS (SELECT stem AS src, ' ' || array_to_string(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' AS words FROM pages_)
-    SELECT DISTINCT src, stem AS dst FROM t JOIN n ON contains(words, ' ' || gram || ' ') WHERE src <> stem AND gram <> '' AND (src, stem) NOT IN (SELECT src, dst FROM edges)""".replace("\\\\", "\\")
+    rf"""WITH {PAGES}, names AS (SELECT stem, lower(title) AS name FROM pages_ WHERE title <> '' UNION SELECT stem, replace(stem, '-', ' ') FROM pages_),
+    marked AS (SELECT DISTINCT stem, name, CASE WHEN regexp_matches(name, '^[\p{{L}}\p{{N}}_]') THEN '(^|[^\p{{L}}\p{{N}}_])' ELSE '[\p{{L}}\p{{N}}_]' END || regexp_escape(name)
+      || CASE WHEN regexp_matches(name, '[\p{{L}}\p{{N}}_]$') THEN '($|[^\p{{L}}\p{{N}}_])' ELSE '[\p{{L}}\p{{N}}_]' END AS pattern FROM names), low AS (SELECT stem AS src, lower(body) AS body FROM pages_)
+    SELECT DISTINCT src, stem AS dst FROM low JOIN marked ON contains(body, name) AND regexp_matches(body, pattern) WHERE src <> stem AND (src, stem) NOT IN (SELECT src, dst FROM edges)""".replace("\\\\", "\\")
 )
 def missing_links(spark, sf):
     pages = views.linked_pages(spark, sf)
-    names = pages.select("stem", F.array_join(F.slice(F.split(F.lower("title"), " "), 1, 2), " ").alias("name"))
-    return links.missing(pages, names)
+    return links.missing(pages, links.names_of(pages))
 
 
 @query("SELECT 'doc-' || doc_id AS stem FROM documents WHERE doc_id % 4 = 0 AND source = 'src8'")
@@ -625,6 +743,76 @@ def cache_first_writer(spark, sf):
     return J.insert_cache(rows.limit(0), rows).select("key", "created_at")
 
 
+# --- the store: commits, guards, counts of bodies -----------------------------------------------------
+
+
+def _edited(spark, sf, version: int = 5) -> Library:
+    """A store of its own, made once an application, at one of its commits: 1 two thirds of the documents; 2 edits, some guarded by a
+    hash that is out of date, and deletions, some of pages that are linked to; 3 one body for many documents; 4 more edits; 5 some
+    of the first bodies again; 6 a rebuild from the wiki tree alone."""
+    root = views.store_path(spark, sf, "edited")
+    store = Library(spark, root)
+    if store.version < 6:
+        rows = views.docs(spark, sf)
+        raw = rows.filter("doc_type = 'raw'")
+        wiki = rows.filter("doc_type = 'wiki'").withColumn("body", F.concat("body", F.lit(" [[doc-"), (F.col("doc_id") + 12).cast("string"), F.lit("]]")))
+        store.commit(wiki.unionByName(raw).filter("doc_id % 3 <> 0"))
+        edits = rows.filter("doc_id % 4 = 1").withColumns({"body": F.concat("body", F.lit(" heon again")), "base": F.when(F.col("doc_id") % 5 == 0, "0" * 64), "mtime": F.col("mtime") + 1})
+        store.commit(edits, rows.filter("doc_id % 10 >= 8").select("doc_type", "path"))
+        store.commit(raw.filter("doc_id % 7 = 1").withColumns({"body": F.lit("one heon body"), "mtime": F.col("mtime") + 2}))
+        store.commit(raw.filter("doc_id % 9 = 1").withColumns({"body": F.concat("body", F.lit(" ouen")), "mtime": F.col("mtime") + 3}))
+        store.commit(raw.filter("doc_id % 14 = 1").withColumn("mtime", F.col("mtime") + 4))
+        store.rebuild(store.with_bodies().filter("doc_type = 'wiki'"))
+    return Library(spark, root, version=version)
+
+
+EDITED = DOCS + """, first AS (
+  SELECT doc_id, doc_type, path, stem, CASE WHEN doc_type = 'wiki' THEN body || ' [[doc-' || (doc_id + 12) || ']]' ELSE body END AS body FROM docs WHERE doc_id % 3 <> 0
+), report AS (
+  SELECT d.doc_type, d.path, CASE WHEN d.doc_id % 5 = 0 THEN 'conflict' WHEN f.doc_id IS NULL THEN 'inserted' ELSE 'updated' END AS outcome FROM docs d LEFT JOIN first f USING (doc_id) WHERE d.doc_id % 4 = 1
+  UNION ALL SELECT d.doc_type, d.path, CASE WHEN d.doc_id % 4 = 1 THEN 'conflict' WHEN f.doc_id IS NULL THEN 'absent' WHEN f.doc_type = 'wiki' AND (f.doc_id - 12) IN (SELECT doc_id FROM first WHERE doc_type = 'wiki') THEN 'backlinked' ELSE 'deleted' END
+  FROM docs d LEFT JOIN first f USING (doc_id) WHERE d.doc_id % 10 >= 8
+), final AS (
+  SELECT d.doc_id, d.doc_type, d.path, d.stem, CASE
+    WHEN d.doc_type = 'raw' AND d.doc_id % 14 = 1 THEN d.body
+    WHEN d.doc_type = 'raw' AND d.doc_id % 9 = 1 THEN d.body || ' ouen'
+    WHEN d.doc_type = 'raw' AND d.doc_id % 7 = 1 THEN 'one heon body'
+    WHEN d.doc_id % 4 = 1 AND d.doc_id % 5 <> 0 THEN d.body || ' heon again'
+    WHEN d.path NOT IN (SELECT path FROM report WHERE outcome = 'deleted') THEN f.body END AS body
+  FROM docs d LEFT JOIN first f USING (doc_id))"""
+
+
+@query(f"WITH {EDITED} SELECT doc_type, path, outcome FROM report")
+def commit_report(spark, sf):
+    return _edited(spark, sf, 2).table("report")
+
+
+@query(f"WITH {EDITED} SELECT doc_type, path, sha256(body) AS hash FROM final WHERE body IS NOT NULL")
+def commit_documents(spark, sf):
+    return _edited(spark, sf).documents().select("doc_type", "path", "hash")
+
+
+@query(f"WITH {EDITED} SELECT sha256(body) AS hash, count(*) AS refs FROM final WHERE body IS NOT NULL GROUP BY 1")
+def body_references(spark, sf):
+    """Counts of bodies from change rows alone; the garbage of five commits is gone."""
+    return _edited(spark, sf).refs().groupBy("hash").agg(F.sum("refs").alias("refs")).filter("refs > 0")
+
+
+_EDITED_CHUNKS = CHUNKS.replace(DOCS + ", ", "", 1).replace("FROM docs", "FROM final WHERE body IS NOT NULL", 1).replace("SELECT DISTINCT hash, body", "SELECT DISTINCT sha256(body) AS hash, body", 1)
+
+
+@query(f"WITH {EDITED}, {_EDITED_CHUNKS}, {bm25_sql([('prefix', ['heon'], False), ('prefix', ['ouen'], False)], 'chunks', 'hash, seq', 'chunk_text')} SELECT hash, seq, round(raw, 6) AS raw, round(raw / (1 + raw), 6) AS score FROM scored")
+def bm25_segments(spark, sf):
+    """The index of five commits, merged along the way, answers as one built at once would."""
+    return longs(rounded(lexical.search(_edited(spark, sf).index(), "heon ouen"), "raw", "score"), "seq")
+
+
+@query(f"WITH {EDITED}, kept AS (SELECT * FROM final WHERE body IS NOT NULL AND doc_type = 'wiki') SELECT stem, sha256(body) AS hash, octet_length(encode(body)) AS size FROM kept")
+def rebuild_pages(spark, sf):
+    """A rebuild from the wiki tree alone: other documents go, and bodies that nothing refers to with them."""
+    return _edited(spark, sf, 6).with_bodies().select("stem", "hash", F.octet_length("body").cast("long").alias("size"))
+
+
 # --- transcripts -----------------------------------------------------------------------------------
 
 

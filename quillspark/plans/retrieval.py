@@ -1,7 +1,8 @@
 """Hybrid retrieval: lexical and vector lanes by document type, fused, with bodies; and the question handler.
 
-``Corpus`` holds the tables: docs (doc_id, doc_type, path, title, hash, ...), chunks (hash, seq, chunk_text),
-vectors (hash, seq, embedding) and memberships (doc_id, name).
+``Corpus`` holds the tables: docs (doc_id, doc_type, path, title, hash, size, mtime), chunks (hash, seq, chunk_text),
+vectors (hash, seq, embedding), memberships (doc_id, name), the indexes of chunks and titles, and the listing of
+files (doc_type, path, size, mtime), against which results are dropped that no longer are what was indexed.
 """
 
 from __future__ import annotations
@@ -18,8 +19,11 @@ from quillspark.functions import text as T
 from quillspark.functions.embedder import embed
 from quillspark.operators import fusion, lexical, vectors
 from quillspark.operators.lookup import memberships
+from quillspark.session import stage
 
 LANE, POOL, WIDE_POOL = 20, 200, 600
+#: Candidates of a title lookup; chunks fetched for each body wanted of a lane and of a pool.
+TITLES, OVERFETCH, POOL_FETCH = 5, 3, 15
 PRIMARY, EXPANDED = 2.0, 1.0
 TOP_K, MOST = 10, 1000
 KEYS = ("path", "chunk_seq")
@@ -41,6 +45,8 @@ class Corpus:
     vectors: DataFrame | None = None
     members: DataFrame | None = None
     index: lexical.LexicalIndex | None = None
+    titles: lexical.LexicalIndex | None = None
+    files: DataFrame | None = None
     _hits: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     def lexical(self) -> lexical.LexicalIndex:
@@ -49,15 +55,17 @@ class Corpus:
         return self.index
 
     def hits(self, query: str) -> DataFrame:
-        """Chunk hits of a query, kept for the lanes of both document types."""
+        """Chunk hits of a query; the lanes of both document types share one plan."""
         if query not in self._hits:
-            self._hits[query] = lexical.search(self.lexical(), query).persist()
+            self._hits[query] = lexical.search(self.lexical(), query)
         return self._hits[query]
 
     def selected(self, doc_type: str, collections: list[str] | None) -> DataFrame:
-        """Documents of a type; with a selection only those of these collections (``default`` where they have none)."""
+        """Documents of a type. None selects all; a selection those of its collections (``default`` where they have none),
+        and an empty one ``default``."""
         rows = self.docs.filter(F.col("doc_type") == doc_type)
         if collections is not None and self.members is not None:
+            collections = sorted({c.strip().lower() for c in collections} - {""}) or ["default"]
             named = memberships(rows, self.members).filter(F.arrays_overlap("collections", F.array(*map(F.lit, collections)))).select("doc_id")
             rows = rows.join(named, "doc_id", "left_semi")
         return rows.select("hash", "doc_id", "doc_type", "path", "title")
@@ -73,7 +81,7 @@ def vector_lane(corpus: Corpus, probe: list[float], doc_type: str, collections:
     """The best chunk of each of the nearest bodies, with one row for each document."""
     docs = corpus.selected(doc_type, collections)
     pool = POOL if collections in (None, ["default"]) else WIDE_POOL
-    near = vectors.nearest(corpus.vectors.join(docs.select("hash").distinct(), "hash", "left_semi"), probe, pool)
+    near = vectors.nearest(corpus.vectors.join(docs.select("hash").distinct(), "hash", "left_semi"), probe, pool * POOL_FETCH)
     return vectors.collapse(near, pool).join(docs, "hash").withColumnRenamed("seq", "chunk_seq")
 
 
@@ -108,13 +116,17 @@ def hybrid(corpus: Corpus, question: str, probe: list[float] | None = None, expa
     for n, more in enumerate(expansion.vectors if corpus.vectors is not None else []):
         for kind in ("wiki", "raw"):
             lane(vector_lane(corpus, more, kind, collections), f"vec{n}-{kind}", EXPANDED)
-    fused = fusion.fuse(lanes, keys=KEYS, payload=payload).filter("score >= 0").orderBy("position").limit(min(top_k, MOST)).persist()  # at most MOST rows, used by both body joins
+    fused = fusion.fuse(lanes, keys=KEYS, payload=payload).filter("score >= 0")
+    if corpus.files is not None:
+        fused = unchanged(fused.join(corpus.docs.select("doc_type", "path", "size", "mtime"), ["doc_type", "path"]), corpus.files)
+    # at most MOST rows, used by both body joins
+    fused = fused.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("position"))).filter(F.col("place") <= min(top_k, MOST)).persist()
     strong = signal_of(primary, intent is not None).agg(F.coalesce(F.max("strong"), F.lit(False)).alias("strong"))
     return (
         with_bodies(fused, corpus.chunks, question, expansion, intent)
         .crossJoin(F.broadcast(strong))  # one row
         .select(
-            F.col("position").alias("rank"),
+            F.col("place").alias("rank"),
             T.short_id(F.col("hash")).alias("id"),
             "path",
             F.when(F.col("doc_type") == "wiki", T.stem_of_path(F.col("path"))).otherwise(F.col("title")).alias("title"),
@@ -144,11 +156,38 @@ def with_bodies(results: DataFrame, chunks: DataFrame, question: str, expansion:
     return results.join(hit, ["hash", "chunk_seq"], "left").join(best, "hash", "left").withColumn("body", F.coalesce("hit", "best")).drop("hit", "best")
 
 
-def title_lookup(corpus: Corpus, title: str, doc_level: bool = False) -> DataFrame:
-    """The page whose title matches best, if any matches lexically."""
-    pages = corpus.docs.filter("doc_type = 'wiki'").select("doc_id", "path", "title")
-    index = lexical.LexicalIndex.build(pages, "title", ["doc_id"])
-    return lexical.search(index, title).join(pages, "doc_id").orderBy(F.desc("score"), "path").limit(1).select(T.stem_of_path(F.col("path")).alias("slug"), "score")
+def title_slugs(corpus: Corpus, titles: DataFrame, embedder: Callable[[DataFrame], DataFrame] | None = None, collections: list[str] | None = None) -> DataFrame:
+    """(tid, slug): the page that each of ``titles`` (tid, title) names, null where no page shares its words.
+
+    The five best pages by title are candidates. If the best stands out it is taken; else it is fused, at twice the
+    weight, with the pages nearest to the title's vector: ``embedder`` turns (tid, title) into (tid, probe), for such titles alone.
+    """
+    index = corpus.titles or lexical.LexicalIndex.build(corpus.docs, "title", ["doc_id"])
+    pages = corpus.selected("wiki", collections if collections is not None else ["default"]).select("doc_id", "hash", "path")
+    asked = titles.select("tid", F.col("title").alias("query"))
+    hits = lexical.search_many(index, asked).join(pages, "doc_id")
+    best_first = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "path")
+    five = stage(hits.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= TITLES).select("query", "path", "rank", "score"), "titles")
+    signal = five.groupBy("query").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("s1"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("s2"), F.min_by("path", "rank").alias("first"))
+    judged = asked.join(signal, "query", "left").withColumn("strong", lexical.strong_signal(F.col("s1"), F.col("s2")))
+    lane = judged.filter("first is not null and not strong").join(five, "query").select("tid", "path", "rank", F.lit(2.0).alias("weight"))
+    if embedder is not None and corpus.vectors is not None:
+        probes = embedder(judged.filter("first is not null and not strong").select("tid", F.col("query").alias("title"))).select(F.col("tid").alias("qid"), "probe")
+        near = vectors.knn_join(probes, corpus.vectors.join(pages.select("hash").distinct(), "hash", "left_semi"), LANE * OVERFETCH)
+        closest = near.groupBy("qid", "hash").agg(F.max("score").alias("score")).join(pages, "hash")
+        nearest_first = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "path")
+        ranked = closest.withColumn("rank", F.row_number().over(nearest_first)).filter(F.col("rank") <= LANE)
+        lane = lane.union(ranked.select(F.col("qid").alias("tid"), "path", "rank", F.lit(1.0).alias("weight")))
+    fused = lane.groupBy("tid", "path").agg(F.sum(fusion.gain(F.col("weight"), F.col("rank"))).alias("rrf"))
+    chosen = fused.groupBy("tid").agg(F.min_by("path", F.struct((-F.round("rrf", 12)).alias("back"), "path")).alias("fused"))
+    named = judged.join(chosen, "tid", "left")
+    return named.select("tid", T.stem_of_path(F.when(F.col("strong"), F.col("first")).otherwise(F.col("fused"))).alias("slug"))
+
+
+def title_lookup(corpus: Corpus, title: str, embedder: Callable[[DataFrame], DataFrame] | None = None) -> str | None:
+    """The slug of the page that a title names, if any."""
+    one = corpus.docs.sparkSession.createDataFrame([(0, title)], "tid long, title string")
+    return title_slugs(corpus, one, embedder).first()["slug"]
 
 
 def unchanged(results: DataFrame, files: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators.chunking import line_chunks
+from quillspark.plans.library import Library, members_of
 from quillspark.plans.retrieval import Corpus
+from quillspark.session import workspace
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,10 +63,40 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("hash", F.lit(0).alias("seq"), "embedding")
 
 
+def _signature(spark: SparkSession, path: str) -> str:
+    """What changes when the files of a table do."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    summary, status = fs.getContentSummary(place), fs.getFileStatus(place)
+    return f"{path} {summary.getLength()} {summary.getFileCount()} {status.getModificationTime()}"
+
+
+def store_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The folder of a store over a folder of tables as they are now."""
+    key = " ".join(_signature(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "embeddings"))
+    return f"{workspace(spark)}/{name}-{hashlib.sha256(key.encode()).hexdigest()[:16]}"
+
+
+def collections_of(rows: DataFrame) -> DataFrame:
+    """``rows`` with the names that ``members`` gives them as a column."""
+    names = F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<string>")).when(F.col("doc_id") % 2 == 0, F.array("lang", "source")).otherwise(F.array("lang"))
+    return rows.withColumn("collections", names)
+
+
+def library(spark: SparkSession, sf_dir: str) -> Library:
+    """The derived store over a folder of tables. It is filled by the first query that asks for it and read by all others of
+    the application; where the files change it is filled anew."""
+    store = Library(spark, store_path(spark, sf_dir, "library"), embedder=lambda chunks: vectors(spark, sf_dir))
+    if not store.version:
+        store.commit(collections_of(docs(spark, sf_dir)))
+    return store
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    """The tables of retrieval, kept, as a stored corpus would be: they are used by every lane."""
-    rows = docs(spark, sf_dir)
-    return Corpus(rows.drop("body").persist(), chunks(spark, sf_dir).persist(), vectors(spark, sf_dir).persist(), members(spark, sf_dir))
+    """The tables of retrieval, from the store."""
+    store = library(spark, sf_dir)
+    rows = store.documents()
+    return Corpus(rows, store.live("chunks"), store.live("vectors"), members_of(rows), store.index())
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
