@@ -10,11 +10,12 @@ Rates, one a document and none negative, are then fitted so that the expected to
 sum of rate x tokens x posterior, match the targets in the least-squares sense. Steps of projected
 gradient descent start from rates of 1: against the gradient of the squared residuals, which lies in the
 span of the posteriors, then projected onto the nonnegative rates. So after any number of steps the rates
-are max(0, 1 - posterior . m) for one vector ``m`` of as many numbers as domains, each within LIMIT: a
-classifier that cannot tell thus cannot empty the corpus. A step is one distributed aggregate: the totals,
-and the Gram matrix of the posteriors over rows with a rate above 0, which scales the step. The fit ends
-when the residual is within the tolerance for each domain whose number is not at LIMIT, and raises if that
-does not come about; the residual that is left is reported.
+are max(0, 1 - posterior . m) for one vector ``m`` of as many numbers as domains. A step is one distributed
+aggregate: the totals, and the Gram matrix of the posteriors over rows with a rate above 0, which scales
+the step. The fit ends when each domain's residual is within the tolerance. Where no nonnegative rates meet the
+targets it ends when steps no longer bring them nearer, with the nearest rates it met; the residual that is left is
+reported. A ``limit`` on the numbers of ``m``, off by default, keeps a classifier that cannot tell from emptying the corpus;
+a domain whose number stands at it may miss its target.
 
 Targets: where each domain has a weight, these are the shares of the largest whole that repeats no domain.
 Otherwise they are the largest shares that domains may have: one that has less keeps what it has, those
@@ -23,14 +24,16 @@ from a hash of its id and text.
 
 Defined results: a null or blank text has 0 tokens, the posterior of a text without words, and stays; a
 long text is read whole; rows with a null id are treated as any other; repeated rows share their
-posterior and their fate; of several labels of an id the first domain by name counts; with no labelled
-rows all posteriors are equal; an empty table gives no rows; extra columns pass through ``mix``, whatever
+posterior and their fate; of several labels of an id the first domain by name counts, of several texts of a labelled id
+the one of the smallest hash; with no labelled rows all posteriors are equal, and labels of one domain alone give posteriors by
+length alone; an empty table gives no rows; extra columns pass through ``mix``, whatever
 their names.
 """
 
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +43,6 @@ from quillspark.llm.common import materialise
 DOMAINS = ("good", "low", "toxic")
 #: Largest shares of the expected tokens.
 WEIGHTS = {"low": 0.01, "toxic": 0.01}
-#: Largest share of its rate that a document loses (or gains) for each unit of posterior.
-LIMIT = 1.5
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE_ROWS = 20_000
 #: Buckets of words, labelled rows that a bucket must stand in, and standard errors by which log odds are drawn to 0.
@@ -54,9 +55,13 @@ TELLING = 1.5
 FOLDS = 3
 RIDGE = 1.0
 NEWTON_STEPS = 25
+#: Length to which a step of the regression or the fit is cut.
+LONGEST_STEP = 10.0
 #: Steps of the fit at most, and the residual, as part of all tokens, at which it ends.
 STEPS = 50
 TOLERANCE = 1e-4
+#: Steps without an improvement by a hundredth after which no better rates are looked for.
+PATIENCE = 12
 SYMBOLS = "[#*$%&|<>!]"
 SPACES = " \t\n\x0b\x0c\r.,;:?"
 MEASURES = 8
@@ -98,6 +103,13 @@ def _table(odds: dict[int, tuple[float, float]]) -> Column:
     return F.from_json(F.lit(json.dumps([{"l": odds[b][0], "t": odds[b][1]} if b in odds else None for b in range(BUCKETS)], separators=(",", ":"))), "array<struct<l: double, t: double>>")
 
 
+def odds_table(found: DataFrame) -> DataFrame:
+    """The same as one row of one column ``odds``, from rows of a bucket ``b`` and its ``all``: BUCKETS entries whatever the corpus."""
+    dense = found.sparkSession.range(BUCKETS).withColumnRenamed("id", "b").join(found.select("b", "all"), "b", "left")
+    entries = F.array_sort(F.collect_list(F.struct("b", "all")))
+    return materialise(dense.agg(F.transform(entries, lambda e: e["all"]).alias("odds")), "odds")
+
+
 def _measures(s, n: Column) -> Column:
     return F.array(F.lit(1.0), s["sl"] / 10, s["st"] / 10, s["ml"], s["mt"], F.log1p(s["kl"]), F.log1p(s["kt"]), F.log1p(n.cast("double")) / 5)
 
@@ -149,7 +161,7 @@ def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
 
 
 def _regress(rows: DataFrame) -> list[list[float]]:
-    """Weights of the multinomial regression of ``y`` (1 low, 2 toxic) on ``z``, by Newton steps; each is one aggregate."""
+    """Weights of the multinomial regression of ``y`` (1 low, 2 toxic) on ``z``, by Newton steps of bounded length; each is one aggregate."""
     k = range(MEASURES)
     w = [[0.0] * MEASURES for _ in (1, 2)]
     pairs = [(i, j) for i in k for j in k if i <= j]
@@ -165,23 +177,25 @@ def _regress(rows: DataFrame) -> list[list[float]]:
         slope = [(got[f"g{c}_{i}"] or 0.0) + RIDGE * w[c][i] for c in (0, 1) for i in k]
         bend = [[(got[f"h{min(c, d)}{max(c, d)}_{min(i, j)}_{max(i, j)}"] or 0.0) + RIDGE * (c == d and i == j) for d in (0, 1) for j in k] for c in (0, 1) for i in k]
         step = solve(bend, slope)
-        w = [[w[c][i] - step[c * MEASURES + i] for i in k] for c in (0, 1)]
+        shorter = min(1.0, LONGEST_STEP / max(LONGEST_STEP, *map(abs, step)))
+        w = [[w[c][i] - shorter * step[c * MEASURES + i] for i in k] for c in (0, 1)]
         if max(map(abs, step)) < 1e-4:
-            return w
-    raise RuntimeError(f"the regression did not settle in {NEWTON_STEPS} steps")
+            break
+    return w
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> dict | None:
     """Log odds by bucket and weights of the regression; nothing where no row is labelled.
 
-    At most ``sample`` labelled ids are drawn, by hash, so they may be broadcast; what reaches the driver
-    are log odds of at most BUCKETS buckets.
+    At most ``sample`` labelled ids are drawn, by hash, so they may be broadcast. ``table`` is a one-row table of the log
+    odds of all BUCKETS buckets; the weights are a few numbers.
     """
     drawn = labels.select(F.col("doc_id").alias("_id"), label_domain().alias("domain")).filter("_id is not null and domain is not null").groupBy("_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     words = _bind(words_column(F.coalesce(F.col("text"), F.lit(""))), lambda w: F.struct(F.size(w).alias("n"), buckets_column(w, F.col("text")).alias("b")))
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select(F.array_position(F.array(*map(F.lit, DOMAINS)), F.col("domain")).cast("int").alias("y"), F.pmod(F.xxhash64(F.lit("fold"), "_id"), F.lit(FOLDS)).cast("int").alias("fold"), words.alias("s"), "_id")
-    # of rows that share a labelled id one is learned from
-    rows = materialise(rows.select("_id", (F.col("y") - 1).alias("y"), "fold", "s.n", "s.b").dropDuplicates(["_id"]), "labelled")
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select(F.array_position(F.array(*map(F.lit, DOMAINS)), F.col("domain")).cast("int").alias("y"), F.pmod(F.xxhash64(F.lit("fold"), "_id"), F.lit(FOLDS)).cast("int").alias("fold"), words.alias("s"), "_id", F.xxhash64("text").alias("_t"))
+    # of rows that share a labelled id the one of the smallest hash of its text is learned from
+    rows = rows.select("_id", F.struct("_t", (F.col("y") - 1).alias("y"), "fold", F.col("s.n").alias("n"), F.col("s.b").alias("b")).alias("r"))
+    rows = materialise(rows.groupBy("_id").agg(F.min("r").alias("r")).select("_id", "r.y", "r.fold", "r.n", "r.b"), "labelled")
     totals = {(r["fold"], r["y"]): r["n"] for r in rows.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}
     if not totals:
         return None
@@ -213,23 +227,33 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS
     )
     joined = rows.select("_id", "y", "n").join(sums, "_id", "left").fillna(0.0)
     weights = _regress(materialise(joined.select("y", _measures({c: F.col(c) for c in ("sl", "st", "ml", "mt", "kl", "kt")}, F.col("n")).alias("z")), "measures"))
-    odds_of_all = {r["b"]: (r["l"], r["t"]) for r in found.filter(F.col("all").isNotNull()).select("b", "all.l", "all.t").toLocalIterator()}
-    return {"odds": odds_of_all, "weights": weights}
+    return {"table": odds_table(found), "weights": weights}
 
 
-def scored(model: dict | None, text: Column) -> Column:
-    """Struct of ``n``, the words of a text, and ``p``, its posteriors in the order of DOMAINS."""
+def scored(model: dict | None, text: Column, table: Column | None = None) -> Column:
+    """Struct of ``n``, the words of a text, and ``p``, its posteriors in the order of DOMAINS; log odds by bucket are ``table``, or the model's own."""
 
     def classify(words: Column) -> Column:
         if model is None:
             p = F.array(*(F.lit(1.0 / len(DOMAINS)) for _ in DOMAINS))
         else:
-            p = _bind(measures(_table(model["odds"]), buckets_column(words, text), F.size(words)), lambda z: _posterior(model["weights"], z))
+            p = _bind(measures(_table(model["odds"]) if table is None else table, buckets_column(words, text), F.size(words)), lambda z: _posterior(model["weights"], z))
         return F.struct(F.size(words).cast("long").alias("n"), p.alias("p"))
 
     return _bind(words_column(F.coalesce(text, F.lit(""))), classify)
 
 
+def posteriors(docs: DataFrame, model: dict | None, *columns: Column | str) -> DataFrame:
+    """``columns`` of ``docs``, with ``n``, ``p`` and ``_h``, a hash of the text, as a written table."""
+    if model is None:
+        rows = docs.select(*columns, scored(None, F.col("text")).alias("s"), F.xxhash64("text").alias("_h"))
+    else:  # one row of BUCKETS entries beside every document
+        rows = docs.select(*columns, F.col("text").alias("_text")).crossJoin(F.broadcast(model["table"].select(F.col("odds").alias("_odds"))))
+        names = [c for c in rows.columns if c not in ("_text", "_odds")]
+        rows = rows.select(*names, scored(model, F.col("_text"), F.col("_odds")).alias("s"), F.xxhash64("_text").alias("_h"))
+    return materialise(rows.select(*(c for c in rows.columns if c not in ("s", "_h")), "s.n", "s.p", "_h"), "posteriors")
+
+
 def targets_of(have: list[float], weights: dict[str, float]) -> list[float]:
     """Target totals from what the domains have."""
     if all(d in weights for d in DOMAINS):
@@ -250,9 +274,10 @@ def rate_of(moved: list[float]) -> Column:
     return F.greatest(F.lit(0.0), F.lit(1.0) - sum(F.col("p")[i] * F.lit(moved[i]) for i in range(len(DOMAINS))))
 
 
-def fit_rates(rows: DataFrame, weights: dict[str, float], steps: int = STEPS, tolerance: float = TOLERANCE) -> dict:
+def fit_rates(rows: DataFrame, weights: dict[str, float], steps: int = STEPS, tolerance: float = TOLERANCE, limit: float | None = None) -> dict:
     """``moved`` (see rate_of), ``targets``, ``reached`` and ``residual`` for rows of ``n`` (tokens) and ``p`` (posteriors)."""
     k = range(len(DOMAINS))
+    limit = math.inf if limit is None else limit
 
     def look(moved: list[float]) -> tuple[list[float], list[list[float]], float]:
         """Totals, Gram matrix, and what the rates cost together with what they are moved for."""
@@ -269,24 +294,36 @@ def fit_rates(rows: DataFrame, weights: dict[str, float], steps: int = STEPS, to
     reached, gram, cost = look(moved)
     everything = sum(reached)
     targets = targets_of(reached, weights) if everything else reached
-    for _ in range(steps):
+    best, since = None, 0
+    for turn in range(steps + 1):
         off = [a - b for a, b in zip(reached, targets, strict=True)]
-        free = [i for i in k if not (moved[i] >= LIMIT and off[i] > 0 or moved[i] <= -LIMIT and off[i] < 0)]
-        if max((abs(off[i]) for i in free), default=0.0) <= tolerance * everything:
-            return {"moved": moved, "targets": targets, "reached": reached, "residual": max(map(abs, off)) / everything if everything else 0.0}
+        far = sum(o * o for o in off)
+        since = 0 if best is None or far < 0.98 * best[0] else since + 1
+        if best is None or far < best[0]:
+            best = far, moved, reached, max(map(abs, off)) / everything if everything else 0.0
+        free = [i for i in k if not (moved[i] >= limit and off[i] > 0 or moved[i] <= -limit and off[i] < 0)]
+        if turn == steps or since > PATIENCE or max((abs(off[i]) for i in free), default=0.0) <= tolerance * everything:
+            break
         small = 1e-9 * sum(gram[i][i] for i in k) + 1e-12
-        step = dict(zip(free, solve([[gram[i][j] + small * (i == j) for j in free] for i in free], [off[i] for i in free]), strict=True))
-        value, size = cost - sum(m * t for m, t in zip(moved, targets, strict=True)), 1.0
-        while size > 1e-6:
-            tried = [max(-LIMIT, min(LIMIT, moved[i] + size * step.get(i, 0.0))) for i in k]
-            new = look(tried)
-            if new[2] - sum(m * t for m, t in zip(tried, targets, strict=True)) > value:
+        value = cost - sum(m * t for m, t in zip(moved, targets, strict=True))
+        # Newton's direction; where the posteriors are all but collinear, each domain's own
+        ways = solve([[gram[i][j] + small * (i == j) for j in free] for i in free], [off[i] for i in free]), [off[i] / (sum(gram[i]) + small) for i in free]
+        found = None
+        for step in (dict(zip(free, way, strict=True)) for way in ways):
+            size = min(1.0, LONGEST_STEP / max(LONGEST_STEP, *map(abs, step.values())))
+            while size > 1e-5 and found is None:
+                tried = [max(-limit, min(limit, moved[i] + size * step.get(i, 0.0))) for i in k]
+                new = look(tried)
+                if new[2] - sum(m * t for m, t in zip(tried, targets, strict=True)) > value:
+                    found = tried, new
+                size /= 4
+            if found is not None:
                 break
-            size /= 2
-        else:
+        if found is None:
             break
-        moved, (reached, gram, cost) = tried, new
-    raise RuntimeError(f"rates did not settle: {reached} for {targets}")
+        moved, (reached, gram, cost) = found
+    _, moved, reached, residual = best
+    return {"moved": moved, "targets": targets, "reached": reached, "residual": residual}
 
 
 def _kept(rate: Column) -> Column:
@@ -294,20 +331,17 @@ def _kept(rate: Column) -> Column:
     return (F.col("n") == 0) | (draw < rate)
 
 
-def mix_report(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def mix_report(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, limit: float | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, posteriors, rate, whether it is kept, and the residual of the fit as part of all tokens."""
-    model = fit_classifier(docs, labels)
-    rows = docs.select("doc_id", scored(model, F.col("text")).alias("s"), F.xxhash64("text").alias("_h")).select("doc_id", "s.n", "s.p", "_h")
-    rows = materialise(rows, "posteriors")
-    fit = fit_rates(rows, WEIGHTS if weights is None else weights)
+    rows = posteriors(docs, fit_classifier(docs, labels), "doc_id")
+    fit = fit_rates(rows, WEIGHTS if weights is None else weights, limit=limit)
     rate = rate_of(fit["moved"])
     return rows.select("doc_id", F.col("n").alias("n_tokens"), *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), rate.alias("rate"), _kept(rate).alias("kept"), F.lit(float(fit["residual"])).alias("residual"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, limit: float | None = None) -> DataFrame:
     """The rows of ``docs`` that the rates keep, with all their columns."""
-    model = fit_classifier(docs, labels)
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", scored(model, F.col("text")).alias("s"), F.xxhash64("text").alias("_h")).select("_row", "doc_id", "s.n", "s.p", "_h")
-    rows = materialise(rows, "posteriors")  # with the rows themselves: ids may be null or repeat, and scoring twice costs more
-    rate = rate_of(fit_rates(rows, WEIGHTS if weights is None else weights)["moved"])
+    # with the rows themselves: ids may be null or repeat, and scoring twice costs more
+    rows = posteriors(docs, fit_classifier(docs, labels), F.struct(*docs.columns).alias("_row"), "doc_id")
+    rate = rate_of(fit_rates(rows, WEIGHTS if weights is None else weights, limit=limit)["moved"])
     return rows.filter(_kept(rate)).select("_row.*")

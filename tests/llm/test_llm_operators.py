@@ -291,13 +291,13 @@ def test_quality_verdicts_agree_with_labels(spark, tiny):
 # --- mixing ----------------------------------------------------------------------------------------
 
 
-def brute_rates(n, p, weights, steps=60_000):
+def brute_rates(n, p, weights, steps=60_000, limit=np.inf):
     """Rates by many small projected gradient steps, one document a number, and the targets."""
     have = n @ p
     targets = mixing.targets_of(have.tolist(), weights)
     moved = np.zeros(3)
     for _ in range(steps):
-        moved = np.clip(moved + 0.5 * ((n * np.maximum(0, 1 - p @ moved)) @ p - targets) / have.sum(), -mixing.LIMIT, mixing.LIMIT)
+        moved = np.clip(moved + 0.5 * ((n * np.maximum(0, 1 - p @ moved)) @ p - targets) / have.sum(), -limit, limit)
     return np.maximum(0, 1 - p @ moved), np.array(targets)
 
 
@@ -306,22 +306,43 @@ def test_rates_meet_targets_and_brute_force(spark):
     n, p = r.integers(1, 500, 400), r.dirichlet([0.6, 0.3, 0.2], 400)
     rows = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n long, p array<double>")
     for weights in ({"low": 0.2, "toxic": 0.12}, {"low": 0.15}, {"toxic": 0.01}, {"low": 0.9, "toxic": 0.9}, {"good": 0.6, "low": 0.3, "toxic": 0.1}, {}):
-        fit = mixing.fit_rates(rows, weights, tolerance=1e-9)
-        got = np.array([x[0] for x in rows.select(mixing.rate_of(fit["moved"])).collect()])
-        expect, targets = brute_rates(n, p, weights)
-        assert np.allclose(got, expect, atol=1e-3) and (got >= 0).all() and np.allclose(fit["targets"], targets)
-        within = np.abs(fit["moved"]) < mixing.LIMIT
-        assert np.allclose((n * got) @ p, fit["reached"]) and np.allclose(np.array(fit["reached"])[within], targets[within], rtol=0.01)
-        assert within.all() or weights == {"toxic": 0.01}
+        for limit in (None, 1.5):
+            fit = mixing.fit_rates(rows, weights, tolerance=1e-9, limit=limit)
+            got = np.array([x[0] for x in rows.select(mixing.rate_of(fit["moved"])).collect()])
+            targets = np.array(fit["targets"])
+            assert (got >= 0).all() and np.allclose((n * got) @ p, fit["reached"]) and np.allclose(targets, mixing.targets_of((n @ p).tolist(), weights))
+            if limit:
+                expect, _ = brute_rates(n, p, weights, limit=limit)
+                within = np.abs(fit["moved"]) < limit
+                assert np.allclose(got, expect, atol=1e-3) and np.allclose(np.array(fit["reached"])[within], targets[within], rtol=0.01)
+            else:
+                assert np.allclose(fit["reached"], targets, rtol=0.01, atol=1e-3 * n.sum()) and np.allclose(got, np.maximum(0, 1 - p @ np.array(fit["moved"])))
 
 
-def test_targets_out_of_reach_are_reported(spark):
+def test_targets_out_of_reach_give_the_nearest_rates(spark):
     rows = spark.createDataFrame([(100, [0.5, 0.3, 0.2])] * 5, "n long, p array<double>")
     fit = mixing.fit_rates(rows, {"good": 0.9, "low": 0.05, "toxic": 0.05})
-    assert fit["residual"] > 0.05 and all(abs(m) <= mixing.LIMIT for m in fit["moved"])
+    t, q = np.array(fit["targets"]), 500 * np.array([0.5, 0.3, 0.2])
+    least = np.linalg.norm(q * (q @ t) / (q @ q) - t)
+    assert fit["residual"] > 0.05 and np.linalg.norm(np.array(fit["reached"]) - t) < 1.1 * least
+    assert all(abs(m) <= 1.5 for m in mixing.fit_rates(rows, {"good": 0.9, "low": 0.05, "toxic": 0.05}, limit=1.5)["moved"])
     assert mixing.fit_rates(rows.limit(0), {"toxic": 0.1})["residual"] == 0
 
 
+def test_labels_of_one_domain_do_not_crash(spark, tiny):
+    docs, labels = (spark.read.parquet(f"{tiny}/{t}.parquet") for t in ("documents", "labels"))
+    for column, value in (("toxic", 1), ("toxic", 0)):
+        got = mixing.mix_report(docs, labels.withColumn(column, F.lit(value)).withColumn("quality", F.lit(1))).toPandas()
+        assert len(got) == docs.count() and (got.rate >= 0).all() and got.residual.nunique() == 1
+
+
+def test_default_targets_are_met(spark, tiny):
+    docs, labels = (spark.read.parquet(f"{tiny.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    got = mixing.mix_report(docs, labels).toPandas()
+    reached = np.array([(got.n_tokens * got.rate * got[f"p_{d}"]).sum() for d in mixing.DOMAINS])
+    assert got.residual.max() <= mixing.TOLERANCE and np.allclose(reached[1:] / reached.sum(), 0.01, rtol=0.02)
+
+
 def test_labelled_classifier_end_to_end(spark, tiny):
     """On held-out labels: calibrated, soft, and telling toxic from clean; rates meet each target."""
     docs, labels = (spark.read.parquet(f"{tiny.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
