@@ -5,6 +5,7 @@ Scores are rounded to six places on both sides; counts and ranks are longs; ever
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,7 +17,9 @@ from quillspark.operators import chunking, fusion, integrity, jobs as J, lexical
 from quillspark.plans import ingest, retrieval, views
 from quillspark.plans.library import Library
 from quillspark.plans.views import CHUNKS, DOCS, JOBS, MEMBERS, PAGES, VECTORS, bm25_sql, cosine_sql
+from quillspark.session import workspace
 from quillspark.sources import sessions
+from quillspark.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -813,6 +816,24 @@ def rebuild_pages(spark, sf):
     return _edited(spark, sf, 6).with_bodies().select("stem", "hash", F.octet_length("body").cast("long").alias("size"))
 
 
+@query(
+    "WITH a AS (SELECT 'wiki/page-' || user_id || '.md' AS path, ts, CASE event_type WHEN 'error' THEN 'remove' WHEN 'purchase' THEN 'remove' ELSE 'touch' END AS action FROM events) "
+    "SELECT path, arg_max(action, ts) AS action, max(ts) AS ts, CAST(0 AS BIGINT) AS stale FROM a GROUP BY path"
+)
+def change_stream(spark, sf):
+    """All events replayed out of order, in batches, through the keyed stream; ``stale``: what it handed on that was not news."""
+    folder = f"{workspace(spark)}/replay-{uuid.uuid4().hex[:12]}"
+    kind = F.when(F.col("event_type") == "error", "remove").when(F.col("event_type") == "purchase", "rename_from").otherwise("modify")
+    rows = views.table(spark, sf, "events").select(kind.alias("kind"), F.concat(F.lit("wiki/page-"), F.col("user_id").cast("string"), F.lit(".md")).alias("path"), F.lit(None).cast("string").alias("to"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    rows.repartition(3, "event_id").drop("event_id").write.parquet(f"{folder}/events")
+    events = spark.readStream.schema(changes.SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
+    changes.follow_newest(changes.normalise(events), f"{folder}/checkpoint", lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/applied/batch={n}"), late=90 * 86_400).awaitTermination()
+    applied = spark.read.schema("path string, action string, ts timestamp, batch int").parquet(f"{folder}/applied")
+    before = Window.partitionBy("path").orderBy("batch")
+    news = applied.withColumn("stale", (F.coalesce(F.lag("ts").over(before) >= F.col("ts"), F.lit(False))).cast("long"))
+    return news.groupBy("path").agg(F.max_by("action", "batch").alias("action"), F.max_by("ts", "batch").alias("ts"), F.sum("stale").alias("stale"))
+
+
 # --- transcripts -----------------------------------------------------------------------------------
 
 

@@ -242,3 +242,25 @@ def test_references_are_read_together(spark):
         1: ("found", "wiki/a.md", "one\ntwo\nthree\n"), 2: ("ambiguous", None, None), 3: ("found", "wiki/abba.md", "c"), 4: ("found", "wiki/a.md", "two\n"), 5: ("missing", None, None),
         6: ("missing", None, None), 7: ("missing", None, None), 8: ("found", "wiki/b.md", "b"), 9: ("ambiguous", None, None),
     }
+
+
+def test_changes_out_of_order_and_over_restarts(spark, tmp_path):
+    from quillspark.streaming import changes
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["modify", "remove", "create"]), f"wiki/p{rng.randrange(9)}.md", None, f"2024-01-0{1 + rng.randrange(9)} 0{rng.randrange(9)}:00:0{i % 10}.{i:03d}") for i in range(120)]
+    table = spark.createDataFrame([*rows, ("modify", "notes.txt", None, "2024-01-01 00:00:00")], "kind string, path string, to string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    truth = {r["path"]: (r["action"], r["ts"]) for r in changes.latest(changes.normalise(table)).collect()}
+    state, news = {}, []
+
+    def apply(df, number):
+        for r in df.collect():
+            news.append((r["path"], r["ts"]))
+            assert r["path"] not in state or state[r["path"]][1] <= r["ts"]  # what is handed on is newer than all before
+            state[r["path"]] = (r["action"], r["ts"])
+
+    for part in range(3):  # each run catches up and ends; state outlives it
+        table.filter(F.pmod(F.hash("ts", "path"), F.lit(3)) == part).write.mode("append").parquet(f"file://{tmp_path}/events")
+        stream = spark.readStream.schema(changes.SCHEMA).option("maxFilesPerTrigger", 2).parquet(f"file://{tmp_path}/events")
+        changes.follow_newest(changes.normalise(stream), f"file://{tmp_path}/checkpoint", apply, late=30 * 86_400).awaitTermination()
+    assert state == truth and len(news) > len(truth)
