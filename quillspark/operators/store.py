@@ -46,8 +46,10 @@ def replace_members(members: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def union_members(members: DataFrame, new: DataFrame) -> DataFrame:
-    """Memberships of both; a default membership yields to a named one."""
-    return members.unionByName(new).distinct()
+    """Memberships of both, trimmed and in small letters; a document of ``new`` that had none keeps ``default`` beside them."""
+    implied = new.select("doc_id").distinct().join(members, "doc_id", "left_anti").withColumn("name", F.lit("default"))
+    every = members.unionByName(new).unionByName(implied)
+    return every.select("doc_id", F.lower(F.trim("name")).alias("name")).filter("name <> ''").distinct()
 
 
 def ensure_default(docs: DataFrame, members: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.functions.embedder import embed, embed_column
 from quillspark.operators import chunking, fusion, integrity, jobs as J, lexical, links, lookup, store, vectors as V
-from quillspark.plans import ingest, retrieval, views
+from quillspark.plans import ingest, requests, retrieval, views
 from quillspark.plans.library import Library
 from quillspark.plans.views import CHUNKS, DOCS, JOBS, MEMBERS, PAGES, VECTORS, bm25_sql, cosine_sql
 from quillspark.session import workspace
@@ -710,9 +710,9 @@ def member_replace(spark, sf):
     return store.ensure_default(rows, store.replace_members(views.members(spark, sf), team))
 
 
-@query(f"WITH {MEMBERS} SELECT DISTINCT doc_id, name FROM (SELECT * FROM members UNION ALL SELECT doc_id, 'en' FROM docs WHERE doc_id % 3 = 0)")
+@query(f"WITH {MEMBERS} SELECT DISTINCT doc_id, name FROM (SELECT * FROM members UNION ALL SELECT doc_id, 'en' FROM docs WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'default' FROM docs WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT doc_id FROM members))")
 def member_union(spark, sf):
-    return store.union_members(views.members(spark, sf), views.docs(spark, sf).filter("doc_id % 3 = 0").select("doc_id", F.lit("en").alias("name")))
+    return store.union_members(views.members(spark, sf), views.docs(spark, sf).filter("doc_id % 3 = 0").select("doc_id", F.lit(" EN ").alias("name")))
 
 
 _NOW = "(SELECT max(ts) FROM events)"
@@ -746,6 +746,28 @@ def cache_first_writer(spark, sf):
     return J.insert_cache(rows.limit(0), rows).select("key", "created_at")
 
 
+# --- requests --------------------------------------------------------------------------------------
+
+
+@query(
+    r"""WITH asked AS (SELECT page_id AS rid, CASE page_id % 5 WHEN 0 THEN 'doc ' || (page_id * 4) WHEN 1 THEN 'New Page ' || (page_id % 40) || '.md' WHEN 2 THEN '---' WHEN 3 THEN 'a' || chr(10) || 'b' ELSE 'One ' || page_id END AS title,
+      CASE WHEN page_id % 10 = 4 THEN 'nothing' WHEN page_id % 10 = 9 THEN (SELECT sha256(text)[1:20] FROM documents WHERE doc_id = 1) END AS source, page_id % 2 = 0 AND page_id % 5 = 0 AS force FROM pages),
+    s AS (SELECT *, trim(regexp_replace(lower(regexp_replace(title, '\.md$', '')), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM asked),
+    j AS (SELECT s.*, CASE WHEN contains(title, chr(10)) THEN 'control_in_title' WHEN slug = '' THEN 'empty_slug'
+      WHEN NOT force AND slug IN (SELECT 'doc-' || doc_id FROM documents WHERE doc_id % 4 = 0) THEN 'exists' WHEN source = 'nothing' THEN 'source_not_found' END AS bad FROM s)
+    SELECT rid, slug, coalesce(bad, CASE WHEN row_number() OVER (PARTITION BY slug, bad IS NULL ORDER BY force DESC, CASE WHEN force THEN -rid ELSE rid END) = 1 THEN 'accepted' ELSE 'exists' END) AS outcome FROM j"""
+)
+def write_requests(spark, sf):
+    """Requests to write pages, judged: over existing pages, with and without force, for one slug, without a usable title or source."""
+    i = F.col("page_id")
+    number = lambda c: c.cast("string")
+    title = F.when(i % 5 == 0, F.concat(F.lit("doc "), number(i * 4))).when(i % 5 == 1, F.concat(F.lit("New Page "), number(i % 40), F.lit(".md"))).when(i % 5 == 2, "---").when(i % 5 == 3, "a\nb").otherwise(F.concat(F.lit("One "), number(i)))
+    known = views.table(spark, sf, "documents").filter("doc_id = 1").select(F.substring(T.body_hash(F.col("text")), 1, 20)).first()[0]
+    source = F.when(i % 10 == 4, "nothing").when(i % 10 == 9, known)
+    asked = views.table(spark, sf, "pages").select(i.alias("rid"), title.alias("title"), F.col("html").alias("content"), source.alias("source"), ((i % 2 == 0) & (i % 5 == 0)).alias("force"))
+    return requests.judge_pages(views.library(spark, sf), asked).select("rid", "slug", "outcome")
+
+
 # --- the store: commits, guards, counts of bodies -----------------------------------------------------
 
 

@@ -264,3 +264,35 @@ def test_changes_out_of_order_and_over_restarts(spark, tmp_path):
         stream = spark.readStream.schema(changes.SCHEMA).option("maxFilesPerTrigger", 2).parquet(f"file://{tmp_path}/events")
         changes.follow_newest(changes.normalise(stream), f"file://{tmp_path}/checkpoint", apply, late=30 * 86_400).awaitTermination()
     assert state == truth and len(news) > len(truth)
+
+
+def test_pages_written_by_requests(spark, store):
+    from quillspark.plans.requests import write_pages
+
+    store.commit(spark.createDataFrame([("raw", "raw/12/34", "x", "the source", 1), page("red-fox", "about Blue Whale and dogs")], WIKI))
+    rows = [
+        (1, "Blue Whale", "---\ntitle: t\n---\n\nA red fox, a [[ghost]] and [[red-fox]].", "x", None), (2, "blue whale", "second", None, False), (3, "Red Fox", "x", None, False), (4, "...", "x", None, None),
+        (5, "a\tb", "x", None, None), (6, "n" * 300, "x", None, None), (7, "No Source", "x", "missing ref", None), (8, "B", "beta forced", None, True), (9, None, None, None, None),
+    ]
+    asked = spark.createDataFrame(rows, "rid long, title string, content string, source string, force boolean")
+    got = {r["rid"]: (r["outcome"], r["slug"], r["linked"], r["backlinked"], r["suggest_create"]) for r in write_pages(store, asked).collect()}
+    assert got[1] == ("accepted", "blue-whale", ["red-fox"], ["red-fox"], ["ghost"]) and got[8] == ("accepted", "b", [], [], [])
+    assert [got[i][0] for i in (2, 3, 4, 5, 6, 7, 9)] == ["exists", "exists", "empty_slug", "control_in_title", "long_slug", "source_not_found", "empty_slug"]
+    docs, bodies = state_of(store)
+    assert bodies[docs["wiki/blue-whale.md"]] == "A [[red-fox]], a [[ghost]] and [[red-fox]]." and bodies[docs["wiki/red-fox.md"]] == "about [[blue-whale]] and dogs" and bodies[docs["wiki/b.md"]] == "beta forced"
+    gone = spark.createDataFrame([("raw", "raw/12/34")], "doc_type string, path string")
+    assert set(outcomes(store.commit(delete=gone)).values()) == {"referenced"}
+
+
+def test_sources_added_by_requests(spark, store):
+    from quillspark.plans.requests import add_sources
+
+    kind = "rid long, source_path string, content string, collections array<string>"
+    first = [(1, "notes/a.txt", "text a", [" Team "]), (2, "https://x.org/deep/b", "text a", ["other"]), (3, "p", " \n", None), (4, "p\x01", "t", None), (5, "p", "t", ["x" * 65]), (6, None, "t", None), (7, "c.md", "# Head\nrest", None)]
+    got = {r["rid"]: r["outcome"] for r in add_sources(store, spark.createDataFrame(first, kind)).collect()}
+    assert got == {1: "added", 2: "added", 3: "empty", 4: "bad_path", 5: "bad_collection", 6: "bad_path", 7: "added"}
+    again = {r["rid"]: (r["outcome"], r["docid"]) for r in add_sources(store, spark.createDataFrame([(1, "other/path", "text a", ["new"]), (2, "c.md", "# Head\nrest", ["z"])], kind)).collect()}
+    assert again[1][0] == again[2][0] == "known" and len(again[1][1]) == 7
+    rows = {r["title"]: (r["source"], r["collections"]) for r in store.documents().filter("doc_type = 'raw'").collect()}
+    assert rows == {"a": ("notes/a.txt", ["new", "other", "team"]), "Head": ("c.md", ["default", "z"])}
+    state_of(store)
