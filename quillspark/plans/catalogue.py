@@ -928,9 +928,24 @@ def forward_link(spark, sf):
     return links.maintain(wiki, wiki)
 
 
-@query()
+def _buckets_sql(text: str, dim: int) -> str:
+    """The buckets of a text's words: 32-bit FNV-1a over their UTF-8 bytes."""
+    bytes_of = (
+        "flatten(list_transform(string_split(w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] WHEN unicode(c) < 2048 THEN [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] "
+        "WHEN unicode(c) < 65536 THEN [224 + (unicode(c) >> 12), 128 + ((unicode(c) >> 6) & 63), 128 + (unicode(c) & 63)] "
+        "ELSE [240 + (unicode(c) >> 18), 128 + ((unicode(c) >> 12) & 63), 128 + ((unicode(c) >> 6) & 63), 128 + (unicode(c) & 63)] END))"
+    )
+    fold = f"list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform({bytes_of}, lambda b: CAST(b AS BIGINT))), lambda h, b: (xor(h, b) * 16777619) & 4294967295)"
+    return f"list_transform(regexp_extract_all({text}, '[^\\s\\x0B\\x1C-\\x1F\\x85\\p{{Z}}]+'), lambda w: {fold} % {dim})".replace("\\\\", "\\")
+
+
+def _embed_sql(dim: int = 64) -> str:
+    return f"list_transform(range(0, {dim}), lambda i: CAST(len(list_filter(buckets, lambda b: b = i)) AS FLOAT))"
+
+
+@query(f"WITH {CHUNKS}, b AS (SELECT hash, seq, {_buckets_sql('chunk_text', 64)} AS buckets FROM chunks) SELECT hash, seq, {_embed_sql()} AS embedding FROM b")
 def mock_embed(spark, sf):
-    return views.chunks(spark, sf).select("hash", "seq", embed_column(F.col("chunk_text"), 64).alias("embedding"))
+    return views.chunks(spark, sf).select("hash", F.col("seq").cast("long").alias("seq"), embed_column(F.col("chunk_text"), 64).alias("embedding"))
 
 
 @query()
@@ -976,7 +991,11 @@ def ingest_pages(spark, sf):
     return ingest.extract(ingest.document_jobs(rows), _answer, limit=100)
 
 
-@query()
+@query(
+    f"WITH {CHUNKS}, b AS (SELECT hash, seq, {_buckets_sql('chunk_text', 64)} AS buckets FROM chunks), e AS (SELECT hash, seq, {_embed_sql()} AS embedding FROM b), "
+    f"p AS (SELECT {_embed_sql()} AS q FROM (SELECT {_buckets_sql(chr(39) + 'heon of the ouen' + chr(39), 64)} AS buckets)), s AS (SELECT hash, max({_COS}) AS s FROM e CROSS JOIN p GROUP BY hash) "
+    "SELECT hash, round(s, 6) AS score FROM s ORDER BY s DESC, hash LIMIT 20"
+)
 def query_embedding(spark, sf):
     """Retrieval with the default embedder's own vectors."""
     vecs = views.chunks(spark, sf).select("hash", "seq", embed_column(F.col("chunk_text"), 64).alias("embedding"))
