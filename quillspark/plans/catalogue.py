@@ -664,7 +664,19 @@ def delete_guard(spark, sf):
     return integrity.guard(integrity.diff(_files(spark, sf), views.docs(spark, sf)), views.docs(spark, sf))
 
 
-@query()
+@query(
+    rf"""WITH {FILES}, {PAGES.removeprefix(DOCS + ", ")}, wiki AS (SELECT * FROM docs WHERE doc_type = 'wiki'), disk AS (SELECT * FROM files WHERE doc_type = 'wiki'),
+    names AS (SELECT stem, stem AS name FROM pages_ UNION SELECT stem, replace(stem, '-', ' ') FROM pages_), low AS (SELECT stem AS src, lower(body) AS body FROM pages_),
+    found AS (
+      SELECT 'StaleIndex' AS kind, stem AS page, NULL AS target FROM wiki JOIN disk USING (path) WHERE hash <> sha256(disk.body)
+      UNION ALL SELECT 'UntrackedFile', regexp_extract(path, '([^/]*)\.md$', 1), NULL FROM disk WHERE path NOT IN (SELECT path FROM wiki)
+      UNION ALL SELECT 'MissingFile', stem, NULL FROM wiki WHERE path NOT IN (SELECT path FROM disk)
+      UNION ALL SELECT 'OutdatedEmbedding', embed_model, CAST(count(*) AS VARCHAR) FROM docs WHERE embed_model <> 'model-a' GROUP BY embed_model
+      UNION ALL SELECT 'DanglingLink', src, dst FROM edges WHERE dst NOT IN (SELECT stem FROM pages_)
+      UNION ALL SELECT DISTINCT 'MissingLink', src, stem FROM low JOIN names ON contains(body, name) AND regexp_matches(body, '(^|[^\p{{L}}\p{{N}}_])' || name || '($|[^\p{{L}}\p{{N}}_])')
+        WHERE src <> stem AND (src, stem) NOT IN (SELECT src, dst FROM edges))
+    SELECT *, CASE kind WHEN 'StaleIndex' THEN 'reindex' WHEN 'UntrackedFile' THEN 'reindex' WHEN 'MissingFile' THEN 'drop_row' WHEN 'OutdatedEmbedding' THEN 'embed_again' ELSE 'report' END AS repair FROM found""".replace("\\\\", "\\")
+)
 def lint_all(spark, sf):
     pages = views.linked_pages(spark, sf).withColumn("title", F.col("stem"))
     return integrity.repair_plan(integrity.lint(_files(spark, sf), views.docs(spark, sf), pages, "model-a"))
