@@ -245,13 +245,12 @@ def scored(model: dict | None, text: Column, table: Column | None = None) -> Col
 
 def posteriors(docs: DataFrame, model: dict | None, *columns: Column | str) -> DataFrame:
     """``columns`` of ``docs``, with ``n``, ``p`` and ``_h``, a hash of the text, as a written table."""
-    if model is None:
-        rows = docs.select(*columns, scored(None, F.col("text")).alias("s"), F.xxhash64("text").alias("_h"))
-    else:  # one row of BUCKETS entries beside every document
-        rows = docs.select(*columns, F.col("text").alias("_text")).crossJoin(F.broadcast(model["table"].select(F.col("odds").alias("_odds"))))
-        names = [c for c in rows.columns if c not in ("_text", "_odds")]
-        rows = rows.select(*names, scored(model, F.col("_text"), F.col("_odds")).alias("s"), F.xxhash64("_text").alias("_h"))
-    return materialise(rows.select(*(c for c in rows.columns if c not in ("s", "_h")), "s.n", "s.p", "_h"), "posteriors")
+    rows = docs.select(*columns, F.col("text").alias("_text"))
+    names = [c for c in rows.columns if c != "_text"]
+    if model is not None:  # a scalar subquery: one row, worked out once and held by each task, beside no document
+        rows = rows.withColumn("_odds", model["table"].select("odds").scalar())
+    rows = rows.select(*names, scored(model, F.col("_text"), None if model is None else F.col("_odds")).alias("s"), F.xxhash64("_text").alias("_h"))
+    return materialise(rows.select(*names, "s.n", "s.p", "_h"), "posteriors")
 
 
 def targets_of(have: list[float], weights: dict[str, float]) -> list[float]:
