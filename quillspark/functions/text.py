@@ -24,6 +24,13 @@ DIRECTIVE = r"<(\s*/?(?:antml:function_calls|antml:invoke|antml:parameter|functi
 # Slug segments that mark an episode and not a subject.
 MONTHS = "january february march april may june july august september october november december".split()
 EPISODES = ("conversation", "session", "episode")
+#: Characters of Unicode's class Zs, which are what trims take off.
+SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+
+
+def trimmed(text: Column) -> Column:
+    """A text without the spaces around it. Given as it is to ``transform``, ``F.trim`` would take the index for the characters to trim."""
+    return F.trim(text, F.lit(SPACES))
 
 
 def body_hash(body: Column) -> Column:
@@ -120,7 +127,7 @@ def front_list(block: Column, name: str) -> Column:
 
 def summary_line(body: Column, limit: int) -> Column:
     """The first line that is neither empty nor a heading, cut at a word where too long."""
-    line = F.coalesce(F.get(F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: (x != "") & ~x.startswith("#")), F.lit(0)), F.lit(""))
+    line = F.coalesce(F.get(F.filter(F.transform(F.split(body, "\n"), lambda x: trimmed(x)), lambda x: (x != "") & ~x.startswith("#")), F.lit(0)), F.lit(""))
     head = F.substring(line, 1, limit)
     cut = F.when(head.contains(" "), F.regexp_replace(head, " [^ ]*$", "")).otherwise(head)
     return F.when(F.char_length(line) <= limit, line).otherwise(F.concat(cut, F.lit("...")))
@@ -185,7 +192,7 @@ def wiki_links(body: Column) -> Column:
 
 
 def citations(answer: Column) -> Column:
-    return F.array_distinct(F.transform(wiki_links(answer), F.trim))
+    return F.array_distinct(F.transform(wiki_links(answer), lambda x: trimmed(x)))
 
 
 def wiki_path(slug: Column) -> Column:

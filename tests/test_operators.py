@@ -327,3 +327,12 @@ def test_scalar_edges(spark):
     assert one(spark, T.hash_of_raw_path(F.col("t")), t="raw/ab/" + "c" * 62) == "ab" + "c" * 62
     assert one(spark, T.human_size(F.col("n")), n=1536) == "1.5 KB"
     assert one(spark, T.cosine(F.col("a"), F.col("b")), a=[0.0, 0.0], b=[1.0, 0.0]) == 0.0
+
+
+def test_lines_are_trimmed_of_spaces_and_of_nothing_else(spark):
+    """The index of a line is no character to trim: the second line kept neither a 1 at its ends nor the third a 2."""
+    rows = spark.createDataFrame([(1, "# a\n1 is 1"), (2, "# a\n\n2 and 2"), (3, "# a\n\u00a0\u3000x \u00a0"), (4, "\u2003\n# b\n")], "i int, body string")
+    got = {r["i"]: r["s"] for r in rows.select("i", T.summary_line(F.col("body"), 80).alias("s")).collect()}
+    assert got == {1: "1 is 1", 2: "2 and 2", 3: "x", 4: ""}
+    cited = rows.limit(1).select(T.citations(F.lit("[[0a0]] [[1b1]] [[ c ]]")).alias("c")).first()["c"]
+    assert cited == ["0a0", "1b1", "c"]
