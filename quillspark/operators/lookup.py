@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import line_slice, stem_of_path
@@ -19,6 +19,11 @@ def by_prefix(docs: DataFrame, prefix: str) -> DataFrame:
     return found.withColumn("status", F.when(total == 1, "unique").otherwise("ambiguous")).orderBy("hash").limit(CANDIDATES)
 
 
+def _heads() -> Column:
+    """A row for each prefix of a hash that is shorter than LEAST."""
+    return F.explode(F.transform(F.sequence(F.lit(1), F.lit(LEAST - 1)), lambda n: F.substr(F.col("hash"), F.lit(1), n)))
+
+
 def resolve_many(docs: DataFrame, refs: DataFrame) -> DataFrame:
     """(rid, ref, tier, and the columns of documents): for each of ``refs`` (rid, ref) the documents of the first tier that has any:
     1 a hash that begins with it, 2 its stem, 3 its title in any case. Each tier is an equi-join: hashes are met by their first
@@ -28,9 +33,8 @@ def resolve_many(docs: DataFrame, refs: DataFrame) -> DataFrame:
     hexed = asked.filter(F.lower("ref").rlike("^[0-9a-f]{1,64}$")).withColumn("low", F.lower("ref"))
     long = hexed.filter(F.length("low") >= LEAST).withColumn("head", F.substring("low", 1, LEAST))
     by_hash = long.join(docs.withColumn("head", F.substring("hash", 1, LEAST)), "head").filter(F.col("hash").startswith(F.col("low"))).drop("head", "low")
-    heads = docs.withColumn("head", F.explode(F.transform(F.sequence(F.lit(1), F.lit(LEAST - 1)), lambda n: F.substr(F.col("hash"), F.lit(1), n))))
     brief = hexed.filter(F.length("low") < LEAST).withColumnRenamed("low", "head")
-    by_brief = brief.join(heads, "head").drop("head")
+    by_brief = brief.join(docs.select("hash").distinct().withColumn("head", _heads()), "head").drop("head").join(docs, "hash")
     by_stem = asked.join(docs.withColumn("ref", stem_of_path(F.col("path"))), "ref")
     by_title = asked.withColumn("low", F.lower("ref")).join(docs.withColumn("low", F.lower("title")), "low").drop("low")
     found = None
@@ -54,16 +58,42 @@ def resolve(docs: DataFrame, ref: str) -> DataFrame:
     return found.join(F.broadcast(best), F.col("tier") == F.col("best")).drop("best")
 
 
+def _meetings(docs: DataFrame, refs: DataFrame) -> DataFrame:
+    """(rid, tier, best, low, high): for each reference and tier that has any document, the one to read, and the least and greatest hash.
+
+    Documents (doc_type, path, hash, title) are gathered by the key of the tier before references meet them, so a key that many have costs
+    their number and not its product with the references.
+    """
+    place = F.struct(F.when(F.col("doc_type") == "wiki", 0).otherwise(1).alias("kind"), "path", "doc_type", "hash", "title")
+
+    def gathered(rows: DataFrame, key: Column) -> DataFrame:
+        return rows.groupBy(key.alias("key")).agg(F.min("best").alias("best"), F.min("best.hash").alias("low"), F.max("best.hash").alias("high"))
+
+    asked = refs.select("rid", "ref").filter(F.coalesce("ref", F.lit("")) != "")
+    each = docs.select(place.alias("best"))
+    bodies = each.groupBy(F.col("best.hash").alias("hash")).agg(F.min("best").alias("best"))
+    hexed = asked.filter(F.lower("ref").rlike("^[0-9a-f]{1,64}$")).select("rid", F.lower("ref").alias("ref"))
+    whole = hexed.filter(F.length("ref") >= LEAST).join(bodies, F.substring("ref", 1, LEAST) == F.substring("hash", 1, LEAST)).filter(F.col("hash").startswith(F.col("ref")))
+    by_hash = whole.groupBy("rid").agg(F.min("best").alias("best"), F.min("hash").alias("low"), F.max("hash").alias("high"))
+    by_brief = hexed.filter(F.length("ref") < LEAST).withColumnRenamed("ref", "key").join(gathered(bodies.select("best", _heads().alias("head")), F.col("head")), "key")
+    by_stem = asked.withColumnRenamed("ref", "key").join(gathered(each, stem_of_path(F.col("best.path"))), "key")
+    by_title = asked.select("rid", F.lower("ref").alias("key")).join(gathered(each, F.lower("best.title")), "key")
+    found = None
+    for tier, rows in ((1, by_hash), (1, by_brief), (2, by_stem), (3, by_title)):
+        part = rows.select("rid", F.lit(tier).alias("tier"), "best", "low", "high")
+        found = part if found is None else found.union(part)
+    return found
+
+
 def read_many(docs: DataFrame, bodies: DataFrame, refs: DataFrame) -> DataFrame:
     """(rid, ref, status, doc_type, path, id, title, text): each reference read, sliced to ``count`` lines from ``first`` where given.
 
     A reference resolves to one document: of its tier the wiki page, else the smallest path. Status is found, missing, or ambiguous
     where a hash prefix meets several bodies; these have no text.
     """
-    found = resolve_many(docs.select("doc_type", "path", "hash", "title"), refs)
-    several = (F.col("tier") == 1) & (F.min("hash").over(Window.partitionBy("rid")) != F.max("hash").over(Window.partitionBy("rid")))
-    first = F.row_number().over(Window.partitionBy("rid").orderBy(F.when(F.col("doc_type") == "wiki", 0).otherwise(1), "path"))
-    one = found.withColumns({"several": several, "nth": first}).filter("nth = 1").drop("ref", "nth", "tier")
+    met = _meetings(docs.select("doc_type", "path", "hash", "title"), refs)
+    first = met.groupBy("rid").agg(F.min(F.struct("tier", "best", "low", "high")).alias("m"))
+    one = first.select("rid", ((F.col("m.tier") == 1) & (F.col("m.low") != F.col("m.high"))).alias("several"), *(F.col(f"m.best.{c}").alias(c) for c in ("doc_type", "path", "hash", "title")))
     named = refs.join(one, "rid", "left").join(bodies.select("hash", "body").dropDuplicates(["hash"]), "hash", "left")
     status = F.when(F.col("path").isNull(), "missing").when(F.col("several"), "ambiguous").otherwise("found")
     text = F.when(F.col("first").isNotNull(), line_slice(F.col("body"), F.col("first"), F.col("count"))).otherwise(F.col("body"))

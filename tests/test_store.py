@@ -296,3 +296,38 @@ def test_sources_added_by_requests(spark, store):
     rows = {r["title"]: (r["source"], r["collections"]) for r in store.documents().filter("doc_type = 'raw'").collect()}
     assert rows == {"a": ("notes/a.txt", ["new", "other", "team"]), "Head": ("c.md", ["default", "z"])}
     state_of(store)
+
+
+def test_a_commit_writes_each_body_once_and_exchanges_no_word(spark, tmp_path):
+    rows = spark.createDataFrame([("raw", f"raw/{i}", f"t{i}", f"heon {i % 7}\n\n éè ouen heon {i % 7} heon\n ") for i in range(40)], "doc_type string, path string, title string, body string")
+    store = Library(spark, f"file://{tmp_path}/lib")
+    store.commit(rows)
+    with_body = {p.name.split("-")[0] for p in (tmp_path / "lib").iterdir() if p.name != "log" and "body" in spark.read.parquet(f"{p}/bodies" if p.name.startswith("segment") else str(p)).columns}
+    assert with_body == {"segment"}
+    assert store.live("bodies").count() == 7 and store.live("chunks").count() == 14
+    plan = lexical.postings(store.live("chunks"), "chunk_text", ["hash", "seq"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    heon = store.live("postings").filter("term = 'heon' and seq = 1").select("tf", "positions", "dl").distinct().collect()
+    assert [tuple(r) for r in heon] == [(2, [2, 4], 5)]
+    assert {(r["seq"], r["pos"], r["len"], r["chunk_text"][:4]) for r in store.live("chunks").collect()} == {(0, 0, 6, "heon"), (1, 8, 22, " éè ")}
+
+
+def test_references_are_read_from_the_best_of_each_key_and_not_from_all_pairs(spark):
+    """What a short prefix or a title meets is gathered once a key, so many references to many documents cost their sum."""
+    docs = spark.range(300).select(
+        F.when(F.col("id") % 4 == 0, "wiki").otherwise("raw").alias("doc_type"), F.concat(F.lit("p/n"), F.col("id").cast("string")).alias("path"),
+        F.sha2((F.col("id") % 100).cast("string"), 256).alias("hash"), F.concat(F.lit("T"), (F.col("id") % 3).cast("string")).alias("title"), (F.col("id") % 100).cast("string").alias("body"))
+    hashes = {r["path"]: r["hash"] for r in docs.collect()}
+    asked = [h[:n] for h in sorted(set(hashes.values()))[:9] for n in (1, 2, 6, 7, 40, 64)] + ["t0", "T2", "n5", "n77", "zz", "", None]
+    refs = spark.createDataFrame([(i, r, None, None) for i, r in enumerate(asked)], "rid long, ref string, first int, count int")
+    rows = docs.collect()
+    for r in lookup.read_many(docs, docs, refs).collect():
+        ref = r["ref"] or ""
+        tiers = [[d for d in rows if re.fullmatch("[0-9a-f]{1,64}", ref) and d["hash"].startswith(ref)], [d for d in rows if d["path"][2:] == ref], [d for d in rows if ref and d["title"].lower() == ref.lower()]]
+        met = next((t for t in tiers if t), [])
+        several = met and met is tiers[0] and len({d["hash"] for d in met}) > 1
+        best = min(met, key=lambda d: (d["doc_type"] != "wiki", d["path"]), default=None)
+        assert (r["status"], r["path"], r["text"]) == (("ambiguous", None, None) if several else ("found", best["path"], best["body"]) if met else ("missing", None, None))
+    heavy = docs.select(F.col("path").alias("rid"), F.substring("hash", 1, 1).alias("ref"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("count"))
+    metrics = lookup._meetings(docs.select("doc_type", "path", "hash", "title"), heavy)
+    assert metrics.count() <= 300
