@@ -265,6 +265,7 @@ def markdown_chunks(docs: DataFrame, body: str = "body") -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows)
 
+    bounded_batches(docs.sparkSession)
     return docs.select("hash", F.col(body).alias("body")).dropDuplicates(["hash"]).mapInPandas(run, "hash string, " + SECTION_SCHEMA)
 
 
@@ -291,6 +292,7 @@ def _per_document(docs: DataFrame, make: Callable[[str], list[str]], body: str)
             rows = [(i, n, c) for i, b in zip(batch["doc_id"], batch["body"], strict=True) for n, c in enumerate(make(b or ""))]
             yield pd.DataFrame(rows, columns=["doc_id", "seq", "text"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", F.col(body).alias("body")).mapInPandas(run, "doc_id long, seq int, text string")
 
 
@@ -311,6 +313,7 @@ def pack_documents(docs: DataFrame, cap: int, limit: int = MAX_CHUNKS, body: str
                     rows.append((i, None, None, str(e)))
             yield pd.DataFrame(rows, columns=["doc_id", "seq", "text", "error"]).astype({"seq": "Int32"})
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", F.col(body).alias("body")).mapInPandas(run, "doc_id long, seq int, text string, error string")
 
 
@@ -325,6 +328,7 @@ def full_pipeline(docs: DataFrame, embed_batch: Callable[[list[str]], np.ndarray
             rows = [(i, n, *c) for i, t, b in zip(batch["doc_id"], batch["title"], batch["body"], strict=True) for n, c in enumerate(pipeline(b or "", t or "", embed_batch, count, limit))]
             yield pd.DataFrame(rows, columns=["doc_id", "seq", "pos", "len", "text"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "title", F.col(body).alias("body")).mapInPandas(run, "doc_id long, seq int, pos int, len int, text string")
 
 
