@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators.chunking import pack_markdown, pack_turns
 from quillspark.operators.links import link_forward, scrub
+from quillspark.session import bounded_batches
 
 PAGE_CHARS = 20_000
 DEFAULT_LIMITS = (128_000, 16_000)
@@ -154,6 +155,7 @@ def extract(jobs: DataFrame, model: Callable[[str], str], cap: int | None = None
                     rows.append((job, None, None, None, str(error)[:500]))
             yield pd.DataFrame(rows, columns=["job_id", "slug", "title", "body", "error"])
 
+    bounded_batches(jobs.sparkSession)
     return jobs.select("job_id", "job_type", "text").mapInPandas(run, "job_id string, slug string, title string, body string, error string")
 
 
@@ -190,6 +192,7 @@ def diff_rows(pairs: DataFrame) -> DataFrame:
     def diff(old: pd.Series, new: pd.Series) -> pd.Series:
         return pd.Series([unified(a or "", b or "") for a, b in zip(old, new, strict=True)])
 
+    bounded_batches(pairs.sparkSession)
     return pairs.select("id", diff("old", "new").alias("diff"))
 
 
