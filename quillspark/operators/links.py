@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import wiki_links
 from quillspark.operators.mentions import BLOCK_BYTES, Sweep, WholeNames, blocks, link_forward  # noqa: F401  link_forward is the rewriting of one body
+from quillspark.session import bounded_batches, stage
 
 
 def edges(pages: DataFrame, body: str = "body", stem: str = "stem") -> DataFrame:
@@ -39,6 +40,7 @@ def missing(pages: DataFrame, names: DataFrame, body: str = "body", stem: str =
     Names of any length go through one automaton a block of at most ``block`` bytes: a body is read once a block.
     """
     out = None
+    bounded_batches(pages.sparkSession)
     for new in blocks(names.select("stem", "name").filter("name <> ''").distinct(), block):
         shared = pages.sparkSession.sparkContext.broadcast(new)
 
@@ -64,10 +66,14 @@ def maintain(pages: DataFrame, targets: DataFrame, block: int = BLOCK_BYTES) ->
     """(stem, body, linked): each page rewritten with links to all targets (stem, title; hyphenated stems only).
 
     Targets come in blocks of at most ``block`` bytes, longest titles first over all blocks, so the result is that of one block.
+    Between blocks the pages are a table of the workspace.
     """
     ordered = targets.filter(F.col("stem").contains("-")).select("stem", F.coalesce("title", F.lit("")).alias("title")).orderBy(F.desc(F.octet_length("title")), "stem")
     out = pages.select("stem", F.coalesce("body", F.lit("")).alias("body"), F.array().cast("array<string>").alias("linked"))
-    for new in blocks(ordered, block):
+    bounded_batches(pages.sparkSession)
+    for nth, new in enumerate(blocks(ordered, block)):
+        if nth:  # a task that ran all blocks would hold a worker with an automaton for each
+            out = stage(out, "linked")
         shared = pages.sparkSession.sparkContext.broadcast(new)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import embedder
 from quillspark.operators import chunking, lexical, links, lookup, mentions, segments, vectors
 from quillspark.operators.commits import CommitLog, Conflict
+from quillspark.plans import ingest
 from quillspark.plans.library import Library
 from quillspark.plans.retrieval import Corpus, title_lookup, title_slugs
 
@@ -331,3 +332,23 @@ def test_references_are_read_from_the_best_of_each_key_and_not_from_all_pairs(sp
     heavy = docs.select(F.col("path").alias("rid"), F.substring("hash", 1, 1).alias("ref"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("count"))
     metrics = lookup._meetings(docs.select("doc_type", "path", "hash", "title"), heavy)
     assert metrics.count() <= 300
+
+
+def test_python_steps_hold_one_block_and_small_batches(spark, monkeypatch):
+    """Batches are bounded by bytes, a task has one automaton at a time, and the neighbours that it keeps are bounded too."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.createDataFrame([(i, "h%d" % i, "t", f"# a\nshared words {i}. More page-{i % 5}.\n") for i in range(20)], "doc_id long, hash string, title string, body string")
+    for make in (chunking.markdown_chunks, chunking.full_pipeline, lambda t: ingest.diff_rows(t.select(F.col("doc_id").alias("id"), F.col("body").alias("old"), F.lit("x").alias("new")))):
+        spark.conf.unset(name)
+        assert make(texts).count() == 20
+        assert int(spark.conf.get(name)) == 4 << 20
+    pages = spark.createDataFrame([(f"page-{i}", f"Title {i}", f"of page {i % 7} and title {i % 11}") for i in range(12)], "stem string, title string, body string")
+    whole, parts = links.maintain(pages, pages), links.maintain(pages, pages, block=40)
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect()))
+    assert parts._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    rows = spark.range(60).select(F.col("id").alias("hash"), F.lit(0).alias("seq"), F.array(F.sin("id"), F.cos("id")).cast("array<float>").alias("embedding"))
+    asked = rows.select(F.col("hash").alias("qid"), F.col("embedding").alias("probe"))
+    once = sorted(map(tuple, vectors.knn_join(asked, rows, 4).collect()))
+    monkeypatch.setattr(vectors, "KEPT", 40)
+    split = vectors.knn_join(asked, rows, 4)
+    assert split._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 6 and sorted(map(tuple, split.collect())) == once
