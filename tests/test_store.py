@@ -352,3 +352,27 @@ def test_python_steps_hold_one_block_and_small_batches(spark, monkeypatch):
     monkeypatch.setattr(vectors, "KEPT", 40)
     split = vectors.knn_join(asked, rows, 4)
     assert split._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 6 and sorted(map(tuple, split.collect())) == once
+
+
+def test_a_commit_exchanges_only_bodies_that_several_rows_bring(spark, tmp_path, monkeypatch):
+    schema = "doc_type string, path string, title string, body string, mtime long"
+    first = spark.createDataFrame([("raw", f"raw/{i}", "t", f"body {i if i < 30 else i % 3}", 1) for i in range(40)] + [("raw", "raw/5", "t", "body 9", 0), ("raw", "raw/6", "t", "body gone", 0)], schema)
+    second = spark.createDataFrame([("raw", f"raw/{i}", "t", f"body {i}" if i % 2 else f"new {i // 8}", 2) for i in range(40)], schema)
+
+    class Watched(Library):
+        plans: list = []
+
+        def _segment(self, bodies, most, born):
+            self.plans.append(bodies._jdf.queryExecution().optimizedPlan().toString())
+            return super()._segment(bodies, most, born)
+
+    truth = {f"body {i}" for i in range(40) if i % 2} | {f"new {i}" for i in range(5)}
+    for named in (800_000, 0):  # hashes to take, or to leave, by a broadcast; or all by an exchange
+        monkeypatch.setattr("quillspark.plans.library.NAMED", named)
+        store = Watched(spark, f"file://{tmp_path}/lib-{named}")
+        store.commit(first)
+        assert sorted(r["body"] for r in store.live("bodies").collect()) == sorted(f"body {i}" for i in range(30))
+        store.commit(second)
+        assert sorted(r["body"] for r in store.live("bodies").collect()) == sorted(truth)
+    assert "LeftAnti" in Watched.plans[0] and Watched.plans[0].count("Aggregate [hash") == 1
+    assert all("LeftAnti" not in p and "Union" not in p for p in Watched.plans[2:])
