@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import wiki_links
-from quillspark.operators.mentions import BLOCK_BYTES, Sweep, WholeNames, blocks, link_forward  # noqa: F401  link_forward is the rewriting of one body
+from quillspark.operators.mentions import BLOCK_BYTES, KEY_BYTES, Sweep, WholeNames, blocks, key_of, link_forward, same_name  # noqa: F401  link_forward is the rewriting of one body
 from quillspark.session import bounded_batches, stage
 
+#: Bytes of a key with what belongs to it, and pages of one name that a part has on average.
+KEY_SIZE, PART = 24, 500
+
 
 def edges(pages: DataFrame, body: str = "body", stem: str = "stem") -> DataFrame:
     """(src, nth, dst): every link of every page, in order."""
@@ -34,27 +37,49 @@ def names_of(pages: DataFrame) -> DataFrame:
     return pages.select("stem", F.col("title").alias("name")).union(pages.select("stem", F.regexp_replace("stem", "-", " ")))
 
 
-def missing(pages: DataFrame, names: DataFrame, body: str = "body", stem: str = "stem", block: int = BLOCK_BYTES) -> DataFrame:
+def missing(pages: DataFrame, names: DataFrame, body: str = "body", stem: str = "stem", block: int = KEY_BYTES) -> DataFrame:
     """(src, dst): pages that mention another by one of its ``names`` (stem, name), whole and in any case, without a link to it.
 
-    Names of any length go through one automaton a block of at most ``block`` bytes: a body is read once a block.
+    Names are looked up by hashes of their runs, ``block`` bytes of them a broadcast: a body is read once a block. What was said is
+    compared with the names of its hash, and pages meet the pages of a name in parts of ``PART``.
     """
-    out = None
     bounded_batches(pages.sparkSession)
-    for new in blocks(names.select("stem", "name").filter("name <> ''").distinct(), block):
-        shared = pages.sparkSession.sparkContext.broadcast(new)
+    lower = F.when(F.col("name").rlike(r"^[\x00-\x7F]*$"), F.lower("name")).otherwise(F.col("name"))  # see mentions.plain
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.concat([batch, pd.DataFrame([key_of(n) for n in batch["name"]], columns=["key", "runs", "first"])], axis=1)
+
+    named = stage(names.filter("name <> ''").select("stem", lower.alias("name")).distinct().mapInPandas(keyed, "stem string, name string, key long, runs int, first long"), "names")
+    keys = named.select("key", "runs", "first").distinct()
+    parts = -(-keys.count() * KEY_SIZE // block)
+    said = None
+    for nth in range(parts):
+        table = keys.filter(F.pmod("key", F.lit(parts)) == nth).toArrow()
+        shared = pages.sparkSession.sparkContext.broadcast([table.column(c).to_numpy() for c in ("key", "runs", "first")])
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            matcher = WholeNames(shared.value)
+            matcher = WholeNames(*shared.value)
             for batch in batches:
-                rows = [(s, d) for s, b in zip(batch["src"], batch["body"], strict=True) for d in sorted(matcher.named(b)) if d != s]
-                yield pd.DataFrame(rows, columns=["src", "dst"])
+                yield pd.DataFrame([(s, *m) for s, b in zip(batch["src"], batch["body"], strict=True) for m in matcher.named(b)], columns=["src", "key", "said"])
 
-        part = pages.select(F.col(stem).alias("src"), F.coalesce(body, F.lit("")).alias("body")).mapInPandas(run, "src string, dst string")
-        out = part if out is None else out.union(part)
-    if out is None:
+        part = pages.select(F.col(stem).alias("src"), F.coalesce(body, F.lit("")).alias("body")).mapInPandas(run, "src string, key long, said string")
+        said = part if said is None else said.union(part)
+    if said is None:
         return pages.select(F.col(stem).alias("src"), F.col(stem).alias("dst")).limit(0)
-    return out.distinct().join(edges(pages, body, stem).select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+    said = stage(said, "said")
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[same_name(n, s) for n, s in zip(batch["name"], batch["said"], strict=True)]]
+
+    meant = said.select("key", "said").distinct().join(named.select("key", "name").distinct(), "key").mapInPandas(compared, "key long, said string, name string")
+    sizes = named.groupBy("name").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    mentions = said.join(meant, ["key", "said"]).select("src", "name").distinct().join(sizes, "name").select("src", "name", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    targets = named.join(sizes, "name").select("name", F.pmod(F.xxhash64("stem"), "parts").alias("part"), F.col("stem").alias("dst"))
+    pairs = mentions.join(targets, ["name", "part"]).filter("src <> dst").select("src", "dst", F.lit(False).alias("linked"))
+    linked = edges(pages, body, stem).select("src", "dst", F.lit(True))
+    return pairs.union(linked).groupBy("src", "dst").agg(F.bool_or("linked").alias("linked")).filter("not linked").select("src", "dst")
 
 
 def scrub(body: str, known: set[str]) -> str:

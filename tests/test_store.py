@@ -376,3 +376,27 @@ def test_a_commit_exchanges_only_bodies_that_several_rows_bring(spark, tmp_path,
         assert sorted(r["body"] for r in store.live("bodies").collect()) == sorted(truth)
     assert "LeftAnti" in Watched.plans[0] and Watched.plans[0].count("Aggregate [hash") == 1
     assert all("LeftAnti" not in p and "Union" not in p for p in Watched.plans[2:])
+
+
+def test_whole_names_are_looked_up_by_runs_as_a_pattern_finds_them(spark):
+    """One broadcast of keys for names that came in many blocks before; every odd name against the pattern itself."""
+    rng = random.Random(5)
+    pieces = ["ab", "AB", "é", "É", "_", " ", "-", ".", "ſ", "s", "K", "k", "ͅ", "Ι", "ι", "İ", "i", "ß", "12", "\n"]
+    text = lambda n: "".join(rng.choice(pieces) for _ in range(n))
+    rows = [(f"p-{i}", text(rng.choice([1, 1, 2, 3, 5, 12])), text(40)) for i in range(60)] + [("long", "ab-" * 9 + "ab", "x"), ("twice", "same", "Same SAME"), ("again", "same", "ab-" * 11 + "ab.")]
+    solid = lambda c: c.isalnum() or c == "_"
+
+    def whole(name: str, body: str) -> bool:
+        edge = lambda i: (i > 0 and solid(body[i - 1])) != (i < len(body) and solid(body[i]))
+        pattern = re.compile(f"(?=({re.escape(name)}))", re.IGNORECASE)
+        return any(mentions.fold(name) == mentions.fold(m[1]) and edge(m.start()) and edge(m.start() + len(name)) for m in pattern.finditer(body))
+
+    truth = {(s, d) for s, _, b in rows for d, t, _ in rows if s != d and (whole(t, b) or whole(d.replace("-", " "), b))}
+    table = spark.createDataFrame(rows, "stem string, title string, body string")
+    assert {tuple(r) for r in links.missing(table, links.names_of(table)).collect()} == truth and len(truth) > 100
+    found = links.missing(table, links.names_of(table), block=24 * 40)
+    assert {tuple(r) for r in found.collect()} == truth
+    names = {n for _, t, _ in rows for n in [t]}
+    keys = np.array([mentions.key_of(n) for n in names])
+    one = mentions.WholeNames(keys[:, 0], keys[:, 1], keys[:, 2])
+    assert any(m == "ab-" * 9 + "ab" for _, m in one.named("ab-" * 9 + "ab."))
