@@ -421,3 +421,29 @@ def test_late_changes_count_without_python_a_path(spark, tmp_path):
         plan = query._jsq.explainInternal(False)
         assert "Pandas" not in plan and "StateStoreSave" in plan
     assert news == [{("wiki/a.md", "touch", at(80)), ("wiki/b.md", "touch", at(1))}, {("wiki/a.md", "touch", at(90))}, {("wiki/late.md", "touch", at(2)), ("wiki/b.md", "remove", at(1, 1))}]
+
+
+def test_a_commit_keeps_text_once_and_no_table_that_nothing_reads(spark, tmp_path):
+    """Lines are made from bodies where they are read; chunks of another chunker are stored, and both live on through a merge."""
+    rows = lambda n: spark.createDataFrame([("raw", f"raw/{n}-{i}", "t", f"one {n} {i}\n\n two Σ") for i in range(2)], "doc_type string, path string, title string, body string")
+    store = Library(spark, f"file://{tmp_path}/lib")
+    store.commit(rows(0))
+    folders = {p.name.split("-")[0]: p for p in (tmp_path / "lib").iterdir()}
+    assert set(folders) == {"log", "documents", "refs", "report", "segment"}
+    assert {p.name for p in folders["segment"].iterdir()} == {"bodies", "links", "postings", "sizes"}
+    lines = lambda b: {tuple(r) for r in b.select("hash", "seq", "pos", "len", "chunk_text", "dl").collect()}
+    assert {r[1:] for r in lines(store.live("chunks"))} == {(0, 0, 7, "one 0 0", 3), (0, 0, 7, "one 0 1", 3), (1, 9, 7, " two Σ", 2)}
+    one = store.documents().select("hash").orderBy("path").limit(1)
+    assert {r[4] for r in lines(store.chunks_of(one))} == {"one 0 0", " two Σ"}
+    assert (store.state["n"], store.state["tokens"]) == (4, 10)
+    store.rechunk(lambda b: chunking.line_chunks(b).withColumn("chunk_text", F.upper("chunk_text")))
+    store.chunker = chunking.chunks_of_lines
+    for n in (1, 2, 3):
+        store.commit(rows(n))
+    assert len(store.state["segments"]) == 1 and not store.state["segments"][0]["lines"] and store.state["n"] == 16
+    assert {r[4] for r in lines(store.live("chunks"))} == {"ONE 0 0", "ONE 0 1", " TWO Σ", " two Σ"} | {f"one {n} {i}" for n in (1, 2, 3) for i in range(2)}
+    assert store.live("postings").filter("term = 'two'").count() == 8
+    kept = Library(spark, f"file://{tmp_path}/other")
+    for n in range(4):
+        kept.commit(rows(n))
+    assert len(kept.state["segments"]) == 1 and kept.state["segments"][0]["lines"] and kept.live("chunks").count() == kept.state["n"] == 16
