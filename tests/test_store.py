@@ -447,3 +447,7 @@ def test_a_commit_keeps_text_once_and_no_table_that_nothing_reads(spark, tmp_pat
     for n in range(4):
         kept.commit(rows(n))
     assert len(kept.state["segments"]) == 1 and kept.state["segments"][0]["lines"] and kept.live("chunks").count() == kept.state["n"] == 16
+    odd = spark.createDataFrame([(str(i), b) for i, b in enumerate(["", "\n", " \t\n\r\n\x0b\na", "\u00a0\nx \n\u2003\n\u3000y\n\n", "a\r\nb\n\f\n\x1c\nc", "\u200b\n\x85\nz"])], "hash string, body string")
+    assert sorted(chunking.texts_of_lines(odd).collect()) == sorted(chunking.chunks_of_lines(odd).select("hash", "seq", "chunk_text").collect())
+    plan = lexical.postings(chunking.texts_of_lines(odd), "chunk_text", ["hash", "seq"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
