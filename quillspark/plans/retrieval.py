@@ -50,6 +50,7 @@ class Corpus:
     files: DataFrame | None = None
     texts: Callable[[DataFrame], DataFrame] | None = None
     _hits: dict[str, DataFrame] = field(default_factory=dict, repr=False)
+    _chosen: dict[tuple[str, ...], DataFrame] = field(default_factory=dict, repr=False)
 
     def lexical(self) -> lexical.LexicalIndex:
         if self.index is None:
@@ -65,12 +66,14 @@ class Corpus:
     def selected(self, doc_type: str, collections: list[str] | None) -> DataFrame:
         """Documents of a type. None selects all; a selection those of its collections (``default`` where they have none),
         and an empty one ``default``."""
-        rows = self.docs.filter(F.col("doc_type") == doc_type)
+        rows = self.docs.select("hash", "doc_id", "doc_type", "path", "title")
         if collections is not None and self.members is not None:
-            collections = sorted({c.strip().lower() for c in collections} - {""}) or ["default"]
-            named = memberships(rows, self.members).filter(F.arrays_overlap("collections", F.array(*map(F.lit, collections)))).select("doc_id")
-            rows = rows.join(named, "doc_id", "left_semi")
-        return rows.select("hash", "doc_id", "doc_type", "path", "title")
+            names = tuple(sorted({c.strip().lower() for c in collections} - {""})) or ("default",)
+            if names not in self._chosen:  # judged once and not once a lane
+                named = memberships(self.docs, self.members).filter(F.arrays_overlap("collections", F.array(*map(F.lit, names)))).select("doc_id")
+                self._chosen[names] = stage(rows.join(named, "doc_id", "left_semi"), "selected")
+            rows = self._chosen[names]
+        return rows.filter(F.col("doc_type") == doc_type)
 
 
 def lexical_lane(corpus: Corpus, query: str, doc_type: str, collections: list[str] | None) -> DataFrame:
@@ -84,7 +87,7 @@ def vector_lane(corpus: Corpus, probe: list[float], doc_type: str, collections:
     docs = corpus.selected(doc_type, collections)
     pool = POOL if collections in (None, ["default"]) else WIDE_POOL
     near = vectors.nearest(corpus.vectors.join(docs.select("hash").distinct(), "hash", "left_semi"), probe, pool * POOL_FETCH)
-    return vectors.collapse(near, pool).join(docs, "hash").withColumnRenamed("seq", "chunk_seq")
+    return docs.join(F.broadcast(vectors.collapse(near, pool)), "hash").withColumnRenamed("seq", "chunk_seq")  # at most WIDE_POOL rows
 
 
 def signal_of(lanes: list[DataFrame], intent: bool = False) -> DataFrame:

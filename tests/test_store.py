@@ -451,3 +451,15 @@ def test_a_commit_keeps_text_once_and_no_table_that_nothing_reads(spark, tmp_pat
     assert sorted(chunking.texts_of_lines(odd).collect()) == sorted(chunking.chunks_of_lines(odd).select("hash", "seq", "chunk_text").collect())
     plan = lexical.postings(chunking.texts_of_lines(odd), "chunk_text", ["hash", "seq"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+
+
+def test_a_selection_of_collections_is_judged_once_for_all_lanes(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "wiki").otherwise("raw").alias("doc_type"), F.concat(F.lit("p/"), F.col("id").cast("string")).alias("path"), F.lit("t").alias("title"), F.col("id").cast("string").alias("hash"))
+    members = docs.filter("doc_id % 5 <> 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de").alias("name"))
+    corpus = Corpus(docs, docs.limit(0), None, members)
+    parts = [corpus.selected(kind, names) for kind in ("wiki", "raw") for names in ([" EN", "default"], ["default", "en"])]
+    ids = [{r["doc_id"] for r in p.collect()} for p in parts]
+    assert ids[0] == ids[1] == {i for i in range(0, 40, 4)} and ids[2] == ids[3] == {i for i in range(40) if i % 4 and (i % 5 == 0 or i % 2 == 0)}
+    assert len({f for p in parts for f in p.inputFiles()}) == len(parts[0].inputFiles()) > 0
+    assert all("Join" not in p._jdf.queryExecution().optimizedPlan().toString() for p in parts)
+    assert {r["doc_id"] for r in corpus.selected("wiki", []).collect()} == {0, 20} and corpus.selected("wiki", None).count() == 10
