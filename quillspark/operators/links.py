@@ -14,7 +14,7 @@ from quillspark.operators.mentions import BLOCK_BYTES, KEY_BYTES, Sweep, WholeNa
 from quillspark.session import bounded_batches, stage
 
 #: Bytes of a key with what belongs to it, and pages of one name that a part has on average.
-KEY_SIZE, PART = 24, 500
+KEY_SIZE, PART = 24, 1000
 
 
 def edges(pages: DataFrame, body: str = "body", stem: str = "stem") -> DataFrame:
@@ -41,7 +41,8 @@ def missing(pages: DataFrame, names: DataFrame, body: str = "body", stem: str =
     """(src, dst): pages that mention another by one of its ``names`` (stem, name), whole and in any case, without a link to it.
 
     Names are looked up by hashes of their runs, ``block`` bytes of them a broadcast: a body is read once a block. What was said is
-    compared with the names of its hash, and pages meet the pages of a name in parts of ``PART``.
+    compared with the names of its hash, and pages meet the pages of a name in parts of ``PART``. A page is met by the name that most share
+    with it, and those alone that are met by another of its names are exchanged: pairs by the first are made where they are handed on.
     """
     bounded_batches(pages.sparkSession)
     lower = F.when(F.col("name").rlike(r"^[\x00-\x7F]*$"), F.lower("name")).otherwise(F.col("name"))  # see mentions.plain
@@ -74,12 +75,23 @@ def missing(pages: DataFrame, names: DataFrame, body: str = "body", stem: str =
             yield batch[[same_name(n, s) for n, s in zip(batch["name"], batch["said"], strict=True)]]
 
     meant = said.select("key", "said").distinct().join(named.select("key", "name").distinct(), "key").mapInPandas(compared, "key long, said string, name string")
-    sizes = named.groupBy("name").agg(F.ceil(F.count("*") / PART).alias("parts"))
-    mentions = said.join(meant, ["key", "said"]).select("src", "name").distinct().join(sizes, "name").select("src", "name", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    targets = named.join(sizes, "name").select("name", F.pmod(F.xxhash64("stem"), "parts").alias("part"), F.col("stem").alias("dst"))
-    pairs = mentions.join(targets, ["name", "part"]).filter("src <> dst").select("src", "dst", F.lit(False).alias("linked"))
-    linked = edges(pages, body, stem).select("src", "dst", F.lit(True))
-    return pairs.union(linked).groupBy("src", "dst").agg(F.bool_or("linked").alias("linked")).filter("not linked").select("src", "dst")
+    mentions = stage(said.join(meant, ["key", "said"]).select("src", "name").distinct(), "mentions")
+    linked = stage(edges(pages, body, stem).select("src", "dst").distinct(), "links")
+    sizes = named.groupBy("name").agg(F.count("*").alias("n"))
+    main = named.join(sizes, "name").groupBy("stem").agg(F.max_by("name", F.struct("n", "name")).alias("name"))
+    main = stage(main.select(F.col("stem").alias("dst"), "name"), "main")
+    other = named.select(F.col("stem").alias("dst"), "name").join(main, ["dst", "name"], "left_anti")
+    by_other = stage(mentions.join(other, "name").select("src", "dst").filter("src <> dst").distinct(), "others")
+    # What is linked or known already is kept from the pairs where they are made, so that they are not exchanged.
+    known = linked.union(by_other).distinct().join(main, "dst").groupBy("src", "name").agg(F.collect_list("dst").alias("known"))
+    parts = main.groupBy("name").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    asked = mentions.join(known, ["src", "name"], "left").join(parts, "name").select("src", "name", "known", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    targets = main.join(parts, "name").select("name", F.pmod(F.xxhash64("dst"), "parts").alias("part"), "dst")
+    # Few bytes make many pairs, so sizes do not say how many tasks there should be.
+    spark = pages.sparkSession
+    asked = asked.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), "name", "part")
+    by_main = asked.join(targets, ["name", "part"]).filter((F.col("src") != F.col("dst")) & ~F.coalesce(F.array_contains("known", F.col("dst")), F.lit(False))).select("src", "dst")
+    return by_main.union(by_other.join(linked, ["src", "dst"], "left_anti"))
 
 
 def scrub(body: str, known: set[str]) -> str:

@@ -497,3 +497,26 @@ def test_titles_meet_queries_without_an_exchange_of_pairs_and_without_the_store(
     for block in (100, 1 << 20):
         assert sorted(map(tuple, vectors.knn_lookup(probes, vecs, 6, block).collect())) == truth
     assert vectors.knn_lookup(probes, vecs.limit(0), 2).collect() == []
+
+
+def _exchanged(spark) -> int:
+    """Records that this session has exchanged so far."""
+    jvm = spark._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(s.shuffleWriteRecords() for s in jvm.scala.jdk.CollectionConverters.SeqHasAsJava(stages).asJava())
+
+
+def test_missing_links_of_copies_are_not_exchanged(spark, monkeypatch):
+    pages = [(f"p-{i}", "twin heron" if i < 300 else f"lone {i}", f"Twin Heron here, p {i + 1}, lone {i + 2} [[p-{i + 1}]] [[p-{i + 3}]] [[none]]") for i in range(320)]
+    table = spark.createDataFrame(pages, "stem string, title string, body string").repartition(3)
+    truth = set()
+    for stem, _, body in pages:
+        said = body.lower().replace(",", " ").replace("[", " ").split()
+        said = f" {' '.join(said)} "
+        truth |= {(stem, s) for s, t, _ in pages if s != stem and f"[[{s}]]" not in body and (f" {t} " in said or f" {s.replace('-', ' ')} " in said)}
+    for part in (4000, 70):
+        monkeypatch.setattr(links, "PART", part)
+        before = _exchanged(spark)
+        got = links.missing(table, links.names_of(table)).collect()
+        assert len(got) == len(truth) > 90_000 and set(map(tuple, got)) == truth
+        assert _exchanged(spark) - before < 20_000
