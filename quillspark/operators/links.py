@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import wiki_links
-from quillspark.operators.mentions import BLOCK_BYTES, KEY_BYTES, Sweep, WholeNames, blocks, key_of, link_forward, same_name  # noqa: F401  link_forward is the rewriting of one body
+from quillspark.operators.mentions import BLOCK_BYTES, KEY_BYTES, WholeNames, blocks, key_of, link_forward, same_name, sweep_of  # noqa: F401  link_forward is the rewriting of one body
 from quillspark.session import bounded_batches, stage
 
 #: Bytes of a key with what belongs to it, and pages of one name that a part has on average.
@@ -109,12 +110,12 @@ def maintain(pages: DataFrame, targets: DataFrame, block: int = BLOCK_BYTES) ->
     out = pages.select("stem", F.coalesce("body", F.lit("")).alias("body"), F.array().cast("array<string>").alias("linked"))
     bounded_batches(pages.sparkSession)
     for nth, new in enumerate(blocks(ordered, block)):
-        if nth:  # a task that ran all blocks would hold a worker with an automaton for each
+        if nth:  # a task that ran all blocks would hold a worker with the names of each
             out = stage(out, "linked")
-        shared = pages.sparkSession.sparkContext.broadcast(new)
+        shared = pages.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, new))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            sweep = Sweep(shared.value)
+            sweep = sweep_of(*shared.value)
             for batch in batches:
                 done = [sweep.link(b, s) for s, b in zip(batch["stem"], batch["body"], strict=True)]
                 yield pd.DataFrame({"stem": batch["stem"], "body": [x[0] for x in done], "linked": [[*old, *x[1]] for old, x in zip(batch["linked"], done, strict=True)]})

@@ -520,3 +520,13 @@ def test_missing_links_of_copies_are_not_exchanged(spark, monkeypatch):
         got = links.missing(table, links.names_of(table)).collect()
         assert len(got) == len(truth) > 90_000 and set(map(tuple, got)) == truth
         assert _exchanged(spark) - before < 20_000
+
+
+def test_forward_links_take_one_pass_for_many_names_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(links, "stage", None)  # pages are written between passes
+    targets = spark.range(60_000).selectExpr("concat('doc-', id) AS stem", "IF(id < 400, 'The Same Heron', concat('name ', repeat('long ', 9), id)) AS title")
+    body = "the same heron, doc 7 and the same HERON " * 20 + "name " + "long " * 9 + "59999 [[the same heron]] doc 399"
+    got = links.maintain(spark.createDataFrame([("doc-1", body)], "stem string, body string"), targets).first()
+    few = [(f"doc-{i}", "The Same Heron") for i in range(400)] + [("doc-59999", "name " + "long " * 9 + "59999")]
+    few += [(f"doc-{i}", "name " + "long " * 9 + f"{i}") for i in (5999, 599, 9999)]
+    assert (got["body"], got["linked"]) == links.link_forward(body, few, "doc-1") and len(got["linked"]) > 40
